@@ -52,6 +52,12 @@ def numeric(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
+def reported(df: DataFrame, name: str) -> Column:
+    """True where something was reported, be it text that is no number."""
+    text = isinstance(df.schema[name].dataType, T.StringType)
+    return F.col(name).isNotNull() if text else numeric(df, name).isNotNull()
+
+
 def if_else(condition: Column, yes, no) -> Column:
     """Two-way choice that is NULL when the condition is NULL."""
     return F.when(condition, yes).when(~condition, no)
@@ -104,3 +110,15 @@ def matching_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     right = right.withColumnsRenamed(renamed)
     joined = left.join(right, same_keys(left, right, list(renamed.items())), how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*renamed.values())
+
+
+SMALL_SIDE_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
+    """Mark a lookup table for broadcast if it has at most ``max_rows`` rows.
+
+    The check reads at most one row more than that. A larger table is left to
+    the optimizer, which joins it by shuffling.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
