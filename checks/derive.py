@@ -31,6 +31,9 @@ ANALYTES = [
     ("Iron", 0.0, 2.0),
 ]
 SECCHI_INDEX = 8
+# By percent of tax and of discount.
+QUALIFIERS = [None, None, None, "ND", "J", "Trip ID: 7 | J5", "Q", "S", "TNTC"]
+UNITS = ["mg/L"] * 9 + [None, "mg/kg"]
 DENSE_ANALYTES = ["Ammonia-nitrogen", "Ammonia-nitrogen", "pH", "Temperature, water"]
 
 STANDARDS = [
@@ -53,6 +56,11 @@ def _month() -> Column:
     return (F.lit(1) + F.expr("l_orderkey div 2") % 12).cast("int")
 
 
+def _percent(name: str) -> Column:
+    """A share with two decimals as a whole number of percent."""
+    return (F.col(name) * 100 + 0.5).cast("int")
+
+
 def _pick(index: Column, values: list) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
@@ -64,8 +72,7 @@ def raw_samples(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFr
     ammonia rules enough rows per site.
     """
     items = table(spark, sf_dir, "lineitem")
-    tax = F.round(F.col("l_tax") * 100).cast("int")
-    discount = F.round(F.col("l_discount") * 100).cast("int")
+    tax, discount = _percent("l_tax"), _percent("l_discount")
     share = F.col("l_quantity") / 50.0
     depth = F.col("l_linenumber") * 0.75
     if dense:
@@ -82,14 +89,6 @@ def raw_samples(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFr
     unreported = ((tax == 3) & (F.col("l_linenumber") % 2 == 1)) | ((tax == 5) & (F.col("l_linenumber") == 7))
     no_depth = (F.col("l_linenumber") == 1) & (F.col("l_quantity") == 13)
     limit_type = F.when(F.col("l_linenumber") == 5, "Lower Reporting Limit").otherwise("Method Detection Level")
-    qualifiers = (
-        F.when(tax == 3, "ND")
-        .when(tax == 4, "J")
-        .when(tax == 5, "Trip ID: 7 | J5")
-        .when(tax == 6, "Q")
-        .when(tax == 7, "S")
-        .when(tax == 8, "TNTC")
-    )
     order_line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     within_line = (F.col("l_partkey") * 7919 + F.col("l_suppkey")) % 1048576
     return items.select(
@@ -106,8 +105,8 @@ def raw_samples(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFr
         .when(F.col("l_returnflag") == "A", "Total")
         .alias("sample_fraction"),
         F.when(~unreported, value).alias("result_value"),
-        F.when(discount == 10, "mg/kg").when(discount == 9, None).otherwise("mg/L").alias("result_unit"),
-        qualifiers.alias("result_comment"),
+        _pick(discount, UNITS).alias("result_unit"),
+        _pick(tax, QUALIFIERS).alias("result_comment"),
         limit_type.alias("detection_limit_type_1"),
         F.lit(0.02).alias("detection_limit_value_1"),
         F.lit("mg/L").alias("detection_limit_unit_1"),

@@ -29,7 +29,9 @@ from lakeassess.operators.tsi import (
     tsi_use_support,
 )
 from lakeassess.params import HARDNESS_STANDARDS
+from lakeassess.plans.session import tune
 from lakeassess.sources.columns import map_macrophyte_columns, map_sample_columns
+from lakeassess.sources.storage import keep
 
 from . import derive
 
@@ -38,7 +40,7 @@ class Lake:
     """Derived inputs of one data folder, and the tables shared by queries."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, dense: bool = False):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = tune(spark), sf_dir
         self.samples = map_sample_columns(derive.raw_samples(spark, sf_dir, dense))
         self.stations = derive.stations(spark, sf_dir)
         self.standards = derive.standards(spark)
@@ -59,6 +61,10 @@ class Lake:
     def tsi_requirements(self) -> DataFrame:
         return tsi_requirements(self.prepared(), self.thermoclines(), self.macrophytes(), self.hot)
 
+    def kept_requirements(self) -> DataFrame:
+        """Written once, as in the full assessment: the verdict reads it twice."""
+        return keep(self.tsi_requirements(), "tsi-requirements")
+
 
 def published(df: DataFrame, *columns: str) -> DataFrame:
     """Chosen columns, doubles rounded to 6 decimals."""
@@ -291,12 +297,12 @@ def tsi_param_requirements(spark, sf_dir):
 
 
 def tsi_point_rows(spark, sf_dir):
-    return published(tsi_points(analyte_year_values(Lake(spark, sf_dir).tsi_requirements())))
+    return published(tsi_points(analyte_year_values(Lake(spark, sf_dir).kept_requirements())))
 
 
 def tsi_support_rows(spark, sf_dir):
     return published(
-        tsi_use_support(Lake(spark, sf_dir).tsi_requirements()),
+        tsi_use_support(Lake(spark, sf_dir).kept_requirements()),
         "AUID",
         "analyte",
         "collection_year",

@@ -41,7 +41,9 @@ def ph_curve(low: float, high: float, transition_ph: float, ph: Column) -> Colum
 def crossing_day(day_before: Column, q_before: Column, day: Column, q: Column) -> Column:
     """Day on which the line between two readings passes a quotient of 1.
 
-    An infinite quotient puts the crossing at an undefined place, which is
-    missing rather than NaN.
+    Two readings of one day cross on that day; the general formula would give
+    the same up to rounding noise, on which later comparisons would depend. An
+    infinite quotient puts the crossing at an undefined place, which is missing.
     """
-    return no_nan(F.try_divide(day_before * (F.lit(1.0) - q) + day * (q_before - F.lit(1.0)), q_before - q))
+    weighted = day_before * (F.lit(1.0) - q) + day * (q_before - F.lit(1.0))
+    return F.when(day_before == day, day).otherwise(no_nan(F.try_divide(weighted, q_before - q)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .missing import matching_join
@@ -10,43 +12,56 @@ from .missing import matching_join
 BUCKETS_PER_LOG = 65536.0
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Median of the non-missing values of double column ``value``.
+def exact_median(
+    df: DataFrame, keys: list[str], value: str, name: str, sums: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Median of the non-missing values of double column ``value`` in each group.
+
+    ``sums`` are further aggregates that add up (counts and sums), computed on
+    the way. A group without values has a NULL median.
 
-    Values are counted first (map-side combined). Counts per coarse bucket tell
-    which bucket holds the middle; only that bucket's distinct values are then
-    ranked. The bucket is a non-decreasing function of the value, so a group is
-    never sorted as a whole: the first window sees one row per bucket, the
-    second the distinct values of one bucket.
+    Equal values are counted first (map-side combined). Counts per coarse bucket
+    tell which bucket holds the middle; only that bucket's distinct values are
+    then ranked. The bucket never decreases as the value grows, so no group is
+    sorted as a whole: the first window sees one row per bucket, the second the
+    distinct values of one bucket.
     """
+    sums = dict(sums or {})
     number = F.col(value)
     bucket = F.floor(F.signum(number) * F.log1p(F.abs(number)) * F.lit(BUCKETS_PER_LOG))
     counted = (
-        df.where(number.isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("__n"))
+        df.groupBy(*keys, value)
+        .agg(F.count(value).alias("__n"), *[c.alias(n) for n, c in sums.items()])
         .withColumn("__bucket", bucket)
     )
-    by_bucket = Window.partitionBy(*keys).orderBy("__bucket")
+    by_bucket = Window.partitionBy(*keys).orderBy(F.col("__bucket").asc_nulls_first())
     whole = Window.partitionBy(*keys)
     total = F.sum("__n").over(whole)
     middle = (
         counted.groupBy(*keys, "__bucket")
-        .agg(F.sum("__n").alias("__n"))
+        .agg(*[F.sum(c).alias(c) for c in ("__n", *sums)])
         .withColumns(
             {
                 "__reached": F.sum("__n").over(by_bucket),
                 "__low": F.floor((total + 1) / 2),
                 "__high": F.floor(total / 2) + 1,
+                **{n: F.sum(n).over(whole) for n in sums},
             }
         )
-        .where((F.col("__reached") >= F.col("__low")) & (F.col("__reached") - F.col("__n") < F.col("__high")))
-        .select(*keys, "__bucket", "__low", "__high", (F.col("__reached") - F.col("__n")).alias("__below"))
+        # The buckets holding the two middle ranks; the missing values' own row
+        # stands in for a group that has no others.
+        .where(
+            ((F.col("__reached") >= F.col("__low")) & (F.col("__reached") - F.col("__n") < F.col("__high")))
+            & (F.col("__bucket").isNotNull() | (F.col("__low") == 0))
+        )
+        .select(*keys, "__bucket", "__low", "__high", (F.col("__reached") - F.col("__n")).alias("__below"), *sums)
     )
     in_bucket = Window.partitionBy(*keys, "__bucket").orderBy(value)
-    ranked = matching_join(counted, middle, [*keys, "__bucket"], "inner").withColumn(
-        "__rank", F.col("__below") + F.sum("__n").over(in_bucket)
-    )
+    ranked = matching_join(
+        counted.select(*keys, value, "__n", "__bucket"), middle, [*keys, "__bucket"], "inner"
+    ).withColumn("__rank", F.col("__below") + F.sum("__n").over(in_bucket))
     low = F.min(F.when(F.col("__rank") >= F.col("__low"), number))
     high = F.min(F.when(F.col("__rank") >= F.col("__high"), number))
-    return ranked.groupBy(*keys).agg(((low + high) / 2).alias(name))
+    return ranked.groupBy(*keys).agg(
+        ((low + high) / 2).alias(name), *[F.max(n).alias(n) for n in sums]
+    )

@@ -85,11 +85,6 @@ def exceeds(quotient: Column) -> Column:
     return if_else(quotient > 1, F.lit("EXCEEDANCE"), F.lit("NONE"))
 
 
-def if_complete(aggregate: Column, value: Column) -> Column:
-    """Result of an aggregate, or NULL as soon as one row of the group is NULL."""
-    return F.when(F.count(F.lit(1)) == F.count(value), aggregate)
-
-
 def nulls_last(names: list[str]) -> list[Column]:
     return [F.col(n).asc_nulls_last() for n in names]
 

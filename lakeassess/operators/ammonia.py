@@ -11,7 +11,7 @@ from ..functions.missing import divide, exceeds, matching_join, numeric, round_e
 from ..params import AmmoniaParams, AmmoniaStage
 from ..schema import AMMONIA, PH, TEMPERATURE
 from .chronic import depth_class, undersampled_series
-from .events import SPAN_TOTALS, EventColumns
+from .events import EventColumns, span_totals
 from .standards import with_numbers
 
 
@@ -151,7 +151,7 @@ def ammonia_chronic_events(
         position=day_position(),
         previous=needed,
         following=needed,
-        totals={**chronic.totals(), **subchronic.totals(), **SPAN_TOTALS},
+        totals={**chronic.totals(), **subchronic.totals(), **span_totals()},
     )
     above_both = (F.col("quotient_chronic") > 1) & (F.col("quotient_subchronic") > 1)
     flags = {

@@ -11,7 +11,7 @@ from ..functions.groups import GroupSpec, HotSites, day_position, find_hot_sites
 from ..functions.missing import divide, if_else, matching_join, numeric, reported, round_even, small_side
 from ..params import HARDNESS_STANDARDS, HardnessStandard
 from .dependent import hardness_standard
-from .events import SPAN_TOTALS, EventColumns
+from .events import EventColumns, span_totals
 from .standards import with_numbers
 
 MIN_VISITS = 3
@@ -136,7 +136,7 @@ def chronic_events(
         position=day_position(),
         previous=("numeric_date", "quotient"),
         following=("numeric_date", "quotient"),
-        totals={**events.totals(), **SPAN_TOTALS},
+        totals={**events.totals(), **span_totals()},
     )
     names = [
         "row_id",

@@ -61,11 +61,13 @@ class EventColumns:
         }
 
 
-SPAN_TOTALS = {
-    "__first_day": Total(F.min("numeric_date"), F.min),
-    "__last_day": Total(F.max("numeric_date"), F.max),
-    "__undated": Total(F.count_if(F.col("numeric_date").isNull()), F.sum),
-}
+def span_totals() -> dict[str, Total]:
+    """Group totals that ``series_span`` needs."""
+    return {
+        "__first_day": Total(F.min("numeric_date"), F.min),
+        "__last_day": Total(F.max("numeric_date"), F.max),
+        "__undated": Total(F.count_if(F.col("numeric_date").isNull()), F.sum),
+    }
 
 
 def series_span() -> Column:

@@ -23,27 +23,22 @@ NON_DETECT_SHARE = 0.5
 
 def water_body(site: Column, joined: Column) -> Column:
     """Water body of a site: the hand-set ones first, else the station table's."""
-    by_hand = F
-    for name, body in SITE_WATER_BODIES.items():
-        by_hand = by_hand.when(site == name, body)
-    return by_hand.otherwise(joined)
+    by_hand = F.create_map(*[F.lit(v) for pair in SITE_WATER_BODIES.items() for v in pair])
+    return F.coalesce(F.try_element_at(by_hand, site), joined)
 
 
 def data_usability(qualifiers: Column) -> Column:
-    """Usable / Conditional Use / Not Usable, or NULL for an unknown code."""
-    unusable = qualifiers.rlike(UNUSABLE_CODES)
+    """Usable / Not Usable / Conditional Use, or NULL for an unknown code."""
     return (
         F.when(qualifiers.isNull() | qualifiers.rlike(USABLE_CODES), "Usable")
-        .when(qualifiers.rlike(CONDITIONAL_CODES) & ~unusable, "Conditional Use")
-        .when(unusable, "Not Usable")
+        .when(qualifiers.rlike(UNUSABLE_CODES), "Not Usable")
+        .when(qualifiers.rlike(CONDITIONAL_CODES), "Conditional Use")
     )
 
 
 def strip_trip_id(qualifiers: Column) -> Column:
     """Drop everything up to the last pipe after a trip number."""
-    return F.when(qualifiers.rlike("(?i)Trip ID"), F.regexp_replace(qualifiers, TRIP_PREFIX, "")).otherwise(
-        qualifiers
-    )
+    return F.regexp_replace(qualifiers, TRIP_PREFIX, "")
 
 
 def with_water_body(samples: DataFrame, stations: DataFrame) -> DataFrame:

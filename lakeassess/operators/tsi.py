@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.formulas import half_of_sites
 from ..functions.groups import GroupSpec, HotSites, Total, find_hot_sites, group_window
 from ..functions.median import exact_median
-from ..functions.missing import if_complete, matching_join, natural_log, numeric
+from ..functions.missing import matching_join, natural_log, numeric
 from ..schema import CHLOROPHYLL, LIMIT_COLUMNS, NVSS, PHOSPHORUS, SECCHI, TSS, VSS
 
 # Fixed values.
@@ -163,13 +163,11 @@ def drop_work_columns(df: DataFrame) -> DataFrame:
 
 def parameter_requirements(sites: DataFrame) -> DataFrame:
     """Whether enough parameters met the site requirements in a lake and year;
-    NULL for rows that cannot count towards it. Works on the small table of
-    ``site_requirements``."""
+    NULL for rows that cannot count towards it. ``sites`` has one row per lake,
+    analyte and year, so the window holds a handful of rows."""
     counts = (F.col("min_site_reqs") == "met") & F.col("analyte").isin(*PARAMETER_ANALYTES)
-    lakes = sites.where(counts).groupBy(*LAKE_YEAR).agg(F.count(F.lit(1)).alias("__parameters"))
-    joined = matching_join(sites, lakes, LAKE_YEAR, "left")
-    use = F.when(counts, _yes_no(F.col("__parameters") >= MIN_PARAMETERS))
-    return joined.withColumn("use_param", use).drop("__parameters")
+    parameters = F.count_if(counts).over(Window.partitionBy(*LAKE_YEAR))
+    return sites.withColumn("use_param", F.when(counts, _yes_no(parameters >= MIN_PARAMETERS)))
 
 
 def tsi_requirements(
@@ -186,21 +184,21 @@ def tsi_requirements(
 def analyte_year_values(requirements: DataFrame) -> DataFrame:
     """Median result and mean coverage of each lake, analyte and year that met
     the site requirements; NULL when any value of the group is missing."""
-    values = requirements.withColumns(
-        {
-            "result_value": numeric(requirements, "result_value"),
-            "coverage": numeric(requirements, "coverage"),
-        }
-    ).where(F.col("min_site_reqs") == "met")
-    means = values.groupBy(*ANALYTE_YEAR).agg(
-        (F.count(F.lit(1)) == F.count("result_value")).alias("__complete"),
-        if_complete(F.avg("coverage"), F.col("coverage")).alias("mean_coverage"),
+    coverage = numeric(requirements, "coverage")
+    values = requirements.where(F.col("min_site_reqs") == "met").select(
+        *ANALYTE_YEAR, numeric(requirements, "result_value").alias("result_value"), coverage.alias("coverage")
     )
-    medians = exact_median(values, ANALYTE_YEAR, "result_value", "__median")
-    return matching_join(means, medians, ANALYTE_YEAR, "left").select(
+    extras = {
+        "__rows": F.count(F.lit(1)),
+        "__results": F.count("result_value"),
+        "__covered": F.count("coverage"),
+        "__coverage": F.sum("coverage"),
+    }
+    rows = F.col("__rows")
+    return exact_median(values, ANALYTE_YEAR, "result_value", "__median", extras).select(
         *ANALYTE_YEAR,
-        F.when(F.col("__complete"), F.col("__median")).alias("median_analyte"),
-        "mean_coverage",
+        F.when(rows == F.col("__results"), F.col("__median")).alias("median_analyte"),
+        F.when(rows == F.col("__covered"), F.col("__coverage") / rows).alias("mean_coverage"),
     )
 
 
