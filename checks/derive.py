@@ -42,10 +42,14 @@ STANDARDS = [
     ("COPPER", "Dissolved", None, "mg/L", 20.0, "mg/L"),
     ("FLUORIDE", "Total", 4.0, "mg/L", None, "mg/L"),
 ]
-STANDARDS_SCHEMA = (
-    "Analyte string, sample_fraction string, acute_standard double, acute_units string, "
-    "chronic_standard double, chronic_units string"
-)
+STANDARDS_COLUMNS = [
+    "Analyte",
+    "sample_fraction",
+    "acute_standard",
+    "acute_units",
+    "chronic_standard",
+    "chronic_units",
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,8 +65,20 @@ def _percent(name: str) -> Column:
     return (F.col(name) * 100 + 0.5).cast("int")
 
 
-def _pick(index: Column, values: list) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+def _values(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
+    values = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
+
+
+def _codes(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
+    """Fixed code table of a few rows, broadcast to the samples."""
+    return F.broadcast(_values(spark, columns, rows))
+
+
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    return f"'{value}'" if isinstance(value, str) else f"{value}D" if isinstance(value, float) else str(value)
 
 
 def raw_samples(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
@@ -71,21 +87,25 @@ def raw_samples(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFr
     ``dense`` spreads all rows over ammonia, pH and temperature, which gives the
     ammonia rules enough rows per site.
     """
-    items = table(spark, sf_dir, "lineitem")
-    tax, discount = _percent("l_tax"), _percent("l_discount")
+    tax, discount = F.col("tax_percent"), F.col("discount_percent")
     share = F.col("l_quantity") / 50.0
     depth = F.col("l_linenumber") * 0.75
     if dense:
-        index = F.col("l_partkey") % 4
+        analytes = _codes(spark, ["kind", "analyte"], list(enumerate(DENSE_ANALYTES)))
+        kind = F.col("kind")
         warm = F.lit(5.0) + 2.0 * (6 - F.abs(_month() - 7)) + 1.5 * share
-        analyte = _pick(index, DENSE_ANALYTES)
-        value = F.when(index <= 1, 6.0 * share).when(index == 2, 6.0 + 3.0 * share).otherwise(warm)
+        value = F.when(kind <= 1, 6.0 * share).when(kind == 2, 6.0 + 3.0 * share).otherwise(warm)
     else:
-        index = F.col("l_partkey") % 16
-        analyte = _pick(index, [a for a, _, _ in ANALYTES])
-        low, span = _pick(index, [lo for _, lo, _ in ANALYTES]), _pick(index, [s for _, _, s in ANALYTES])
-        value = low + share * span
-        depth = F.when(index == SECCHI_INDEX, 0.5).otherwise(depth)
+        analytes = _codes(spark, ["kind", "analyte", "low", "span"], [(i, *a) for i, a in enumerate(ANALYTES)])
+        value = F.col("low") + share * F.col("span")
+        depth = F.when(F.col("kind") == SECCHI_INDEX, 0.5).otherwise(depth)
+    kinds = len(DENSE_ANALYTES) if dense else len(ANALYTES)
+    items = (
+        table(spark, sf_dir, "lineitem")
+        .join(analytes, F.col("l_partkey") % kinds == F.col("kind"))
+        .join(_codes(spark, ["tax_percent", "qualifier"], list(enumerate(QUALIFIERS))), _percent("l_tax") == tax)
+        .join(_codes(spark, ["discount_percent", "unit"], list(enumerate(UNITS))), _percent("l_discount") == discount)
+    )
     unreported = ((tax == 3) & (F.col("l_linenumber") % 2 == 1)) | ((tax == 5) & (F.col("l_linenumber") == 7))
     no_depth = (F.col("l_linenumber") == 1) & (F.col("l_quantity") == 13)
     limit_type = F.when(F.col("l_linenumber") == 5, "Lower Reporting Limit").otherwise("Method Detection Level")
@@ -100,13 +120,13 @@ def raw_samples(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFr
         (F.col("l_orderkey") * 7 % 86400).cast("int").alias("activity_start_time"),
         F.when(~no_depth, depth).alias("activity_depth_height"),
         F.lit("m").alias("activity_depth_height_unit"),
-        analyte.alias("characteristic_name"),
+        F.col("analyte").alias("characteristic_name"),
         F.when(F.col("l_returnflag") == "R", "Dissolved")
         .when(F.col("l_returnflag") == "A", "Total")
         .alias("sample_fraction"),
         F.when(~unreported, value).alias("result_value"),
-        _pick(discount, UNITS).alias("result_unit"),
-        _pick(tax, QUALIFIERS).alias("result_comment"),
+        F.col("unit").alias("result_unit"),
+        F.col("qualifier").alias("result_comment"),
         limit_type.alias("detection_limit_type_1"),
         F.lit(0.02).alias("detection_limit_value_1"),
         F.lit("mg/L").alias("detection_limit_unit_1"),
@@ -125,7 +145,8 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def standards(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(STANDARDS, STANDARDS_SCHEMA)
+    table = _values(spark, STANDARDS_COLUMNS, STANDARDS)
+    return table.withColumns({c: F.col(c).cast("double") for c in ("acute_standard", "chronic_standard")})
 
 
 def raw_macrophytes(spark: SparkSession, sf_dir: str) -> DataFrame:

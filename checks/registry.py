@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,27 +44,36 @@ class Lake:
         self.spark, self.sf_dir = tune(spark), sf_dir
         self.samples = map_sample_columns(derive.raw_samples(spark, sf_dir, dense))
         self.stations = derive.stations(spark, sf_dir)
-        self.standards = derive.standards(spark)
         self.hot: HotSites = find_hot_sites(self.samples)
 
+    @cached_property
+    def standards(self) -> DataFrame:
+        return derive.standards(self.spark)
+
+    @cached_property
     def prepared(self) -> DataFrame:
         return prepare_samples(self.samples, self.stations, self.hot)
 
+    @cached_property
     def thermoclines(self) -> DataFrame:
-        return thermocline(self.prepared(), self.hot)
+        return thermocline(self.prepared, self.hot)
 
+    @cached_property
     def macrophytes(self) -> DataFrame:
         return map_macrophyte_columns(derive.raw_macrophytes(self.spark, self.sf_dir))
 
+    @cached_property
     def tsi_samples(self) -> DataFrame:
-        return tsi_samples(self.prepared(), self.thermoclines(), self.macrophytes(), self.hot)
+        return tsi_samples(self.prepared, self.thermoclines, self.macrophytes, self.hot)
 
+    @cached_property
     def tsi_requirements(self) -> DataFrame:
-        return tsi_requirements(self.prepared(), self.thermoclines(), self.macrophytes(), self.hot)
+        return tsi_requirements(self.prepared, self.thermoclines, self.macrophytes, self.hot)
 
+    @cached_property
     def kept_requirements(self) -> DataFrame:
         """Written once, as in the full assessment: the verdict reads it twice."""
-        return keep(self.tsi_requirements(), "tsi-requirements")
+        return keep(self.tsi_requirements, "tsi-requirements")
 
 
 def published(df: DataFrame, *columns: str) -> DataFrame:
@@ -86,7 +96,7 @@ def column_map(spark, sf_dir):
 
 
 def prep_samples(spark, sf_dir):
-    return published(Lake(spark, sf_dir).prepared())
+    return published(Lake(spark, sf_dir).prepared)
 
 
 def usability_counts(spark, sf_dir):
@@ -102,7 +112,7 @@ def nondetect_substitution(spark, sf_dir):
 
 
 def hardness_fill(spark, sf_dir):
-    return published(Lake(spark, sf_dir).prepared(), "row_id", "mlid", "start_date", "analyte", "hardness")
+    return published(Lake(spark, sf_dir).prepared, "row_id", "mlid", "start_date", "analyte", "hardness")
 
 
 def standards_override(spark, sf_dir):
@@ -112,28 +122,28 @@ def standards_override(spark, sf_dir):
 
 def acute_checks(spark, sf_dir):
     lake = Lake(spark, sf_dir)
-    return published(acute_single_value(lake.prepared(), lake.standards), *ACUTE, *CHECK, "acute_units")
+    return published(acute_single_value(lake.prepared, lake.standards), *ACUTE, *CHECK, "acute_units")
 
 
 def named_vector_filter(spark, sf_dir):
     pairs = {s.analyte: s.fraction for s in HARDNESS_STANDARDS}
-    kept = filter_by_pairs(Lake(spark, sf_dir).prepared(), "analyte", "sample_fraction", pairs)
+    kept = filter_by_pairs(Lake(spark, sf_dir).prepared, "analyte", "sample_fraction", pairs)
     return published(kept, *ACUTE)
 
 
 def hardness_helper(spark, sf_dir):
     lead = next(s for s in HARDNESS_STANDARDS if s.analyte == "LEAD").acute
-    prepared = Lake(spark, sf_dir).prepared()
+    prepared = Lake(spark, sf_dir).prepared
     value = hardness_equation(lead.a, lead.b, lead.cf_base, lead.cf_slope, F.col("hardness"))
     return published(prepared.withColumn("lead_acute", value), "row_id", "hardness", "lead_acute")
 
 
 def hardness_acute(spark, sf_dir):
-    return published(hardness_dependent(Lake(spark, sf_dir).prepared()), *ACUTE, "hardness", *CHECK)
+    return published(hardness_dependent(Lake(spark, sf_dir).prepared), *ACUTE, "hardness", *CHECK)
 
 
 def hardness_chronic(spark, sf_dir):
-    checked = hardness_dependent(Lake(spark, sf_dir).prepared())
+    checked = hardness_dependent(Lake(spark, sf_dir).prepared)
     ratio = divide(F.col("result_value"), F.col("chronic_standard"))
     return published(
         checked.withColumn("chronic_quotient", ratio), *ACUTE, "hardness", "chronic_standard", "chronic_quotient"
@@ -142,26 +152,26 @@ def hardness_chronic(spark, sf_dir):
 
 def ammonia_acute_checks(spark, sf_dir):
     lake = Lake(spark, sf_dir, dense=True)
-    checked = ammonia_acute(lake.prepared(), hot_sites=lake.hot)
+    checked = ammonia_acute(lake.prepared, hot_sites=lake.hot)
     return published(checked, *ACUTE, "sample_depth", "unrounded_depth", "pH", *CHECK)
 
 
 def sulfate_standard(spark, sf_dir):
-    return published(sulfate_standards(Lake(spark, sf_dir).prepared()))
+    return published(sulfate_standards(Lake(spark, sf_dir).prepared))
 
 
 def sulfate_checks(spark, sf_dir):
-    return published(sulfate_acute(Lake(spark, sf_dir).prepared()), *ACUTE, "hardness", *CHECK)
+    return published(sulfate_acute(Lake(spark, sf_dir).prepared), *ACUTE, "hardness", *CHECK)
 
 
 def thermocline_depths(spark, sf_dir):
-    return published(Lake(spark, sf_dir).thermoclines())
+    return published(Lake(spark, sf_dir).thermoclines)
 
 
 def chronic_standard_match(spark, sf_dir):
     lake = Lake(spark, sf_dir)
     return published(
-        with_chronic_standards(lake.prepared(), lake.standards),
+        with_chronic_standards(lake.prepared, lake.standards),
         *ACUTE,
         "hd_chronic_standard",
         "standards_fraction",
@@ -173,13 +183,13 @@ def chronic_standard_match(spark, sf_dir):
 
 def sparse_series(spark, sf_dir):
     lake = Lake(spark, sf_dir)
-    checked = with_chronic_standards(lake.prepared(), lake.standards)
+    checked = with_chronic_standards(lake.prepared, lake.standards)
     return undersampled_series(checked, SERIES)
 
 
 def chronic_event_rows(spark, sf_dir):
     lake = Lake(spark, sf_dir)
-    events = chronic_events(lake.prepared(), lake.standards, lake.thermoclines(), hot_sites=lake.hot)
+    events = chronic_events(lake.prepared, lake.standards, lake.thermoclines, hot_sites=lake.hot)
     return published(
         events,
         *ACUTE,
@@ -198,7 +208,7 @@ def chronic_event_rows(spark, sf_dir):
 def ammonia_chronic_standard(spark, sf_dir):
     lake = Lake(spark, sf_dir, dense=True)
     return published(
-        ammonia_chronic_standards(lake.prepared(), lake.thermoclines(), hot_sites=lake.hot),
+        ammonia_chronic_standards(lake.prepared, lake.thermoclines, hot_sites=lake.hot),
         "row_id",
         "mlid",
         "start_date",
@@ -214,7 +224,7 @@ def ammonia_chronic_standard(spark, sf_dir):
 
 def _ammonia_events(spark, sf_dir, *columns):
     lake = Lake(spark, sf_dir, dense=True)
-    events = ammonia_chronic_events(lake.prepared(), lake.thermoclines(), hot_sites=lake.hot)
+    events = ammonia_chronic_events(lake.prepared, lake.thermoclines, hot_sites=lake.hot)
     return published(events, "row_id", "mlid", "start_date", "depth_narrative", *columns)
 
 
@@ -248,7 +258,7 @@ def ammonia_first_last(spark, sf_dir):
 
 def tsi_nvss(spark, sf_dir):
     return published(
-        Lake(spark, sf_dir).tsi_samples(),
+        Lake(spark, sf_dir).tsi_samples,
         "mlid",
         "AUID",
         "start_date",
@@ -267,7 +277,7 @@ def tsi_nvss(spark, sf_dir):
 
 
 def tsi_site_requirements(spark, sf_dir):
-    rows = Lake(spark, sf_dir).tsi_samples().withColumns(
+    rows = Lake(spark, sf_dir).tsi_samples.withColumns(
         {"collection_month": F.month("start_date"), "collection_year": F.year("start_date")}
     )
     return site_requirements(rows)
@@ -275,7 +285,7 @@ def tsi_site_requirements(spark, sf_dir):
 
 def tsi_param_requirements(spark, sf_dir):
     return published(
-        Lake(spark, sf_dir).tsi_requirements(),
+        Lake(spark, sf_dir).tsi_requirements,
         "mlid",
         "AUID",
         "start_date",
@@ -297,12 +307,12 @@ def tsi_param_requirements(spark, sf_dir):
 
 
 def tsi_point_rows(spark, sf_dir):
-    return published(tsi_points(analyte_year_values(Lake(spark, sf_dir).kept_requirements())))
+    return published(tsi_points(analyte_year_values(Lake(spark, sf_dir).kept_requirements)))
 
 
 def tsi_support_rows(spark, sf_dir):
     return published(
-        tsi_use_support(Lake(spark, sf_dir).kept_requirements()),
+        tsi_use_support(Lake(spark, sf_dir).kept_requirements),
         "AUID",
         "analyte",
         "collection_year",
@@ -315,7 +325,7 @@ def tsi_support_rows(spark, sf_dir):
 
 def exceedances(spark, sf_dir):
     lake = Lake(spark, sf_dir)
-    prepared = lake.prepared()
+    prepared = lake.prepared
     summary = exceedance_summary(
         acute_single_value(prepared, lake.standards),
         hardness_dependent(prepared),

@@ -144,7 +144,7 @@ def _local(df: DataFrame, spec: GroupSpec, keys: list[str]) -> DataFrame:
 def _cut_hot_groups(df: DataFrame, spec: GroupSpec, hot: HotSites) -> DataFrame:
     """Add the segment number: NULL in ordinary groups, 0.. in hot ones."""
     spark = df.sparkSession
-    shares = [i / MAX_SEGMENTS for i in range(1, MAX_SEGMENTS)]
+    shares = F.expr("array(" + ", ".join(f"{i / MAX_SEGMENTS}D" for i in range(1, MAX_SEGMENTS)) + ")")
     position = spec.position if spec.position is not None else row_position()
     sized = (
         matching_join(df, F.broadcast(hot.frame(spark)), [hot.site_column], "left_semi")

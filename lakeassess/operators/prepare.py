@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +14,7 @@ from ..functions.missing import matching_join, numeric, small_side
 from ..schema import ALKALINITY, PREPARED_COLUMNS, SITE_WATER_BODIES
 
 # Qualifier codes, looked for anywhere in the text.
-USABLE_CODES = r"[SC]"
+USABLE_CODES = ("S", "C")
 CONDITIONAL_CODES = r"A|B|B1|B2|J(?!\p{Nd})|E|I|J5|J6|J7|K|L|L1|L2|M|N|TNTC|ND"
 UNUSABLE_CODES = r"J1|J2|J3|J4|J9|Q|V|X|W|Y"
 TRIP_PREFIX = r"(?i)Trip ID:.+\|\s*"
@@ -27,18 +29,35 @@ def water_body(site: Column, joined: Column) -> Column:
     return F.coalesce(F.try_element_at(by_hand, site), joined)
 
 
+def is_usable(qualifiers: Column) -> Column:
+    return reduce(lambda a, b: a | b, [qualifiers.contains(c) for c in USABLE_CODES], qualifiers.isNull())
+
+
 def data_usability(qualifiers: Column) -> Column:
     """Usable / Not Usable / Conditional Use, or NULL for an unknown code."""
     return (
-        F.when(qualifiers.isNull() | qualifiers.rlike(USABLE_CODES), "Usable")
+        F.when(is_usable(qualifiers), "Usable")
         .when(qualifiers.rlike(UNUSABLE_CODES), "Not Usable")
         .when(qualifiers.rlike(CONDITIONAL_CODES), "Conditional Use")
     )
 
 
+def keep_usable(df: DataFrame) -> DataFrame:
+    """Add ``data_usability`` and drop rows that are not usable or unknown.
+
+    What is left is either usable or conditional, so the full rule runs once
+    per row, in the filter.
+    """
+    qualifiers = F.col("qualifiers")
+    kept = df.where(data_usability(qualifiers) != "Not Usable")
+    return kept.withColumn(
+        "data_usability", F.when(is_usable(qualifiers), "Usable").otherwise("Conditional Use")
+    )
+
+
 def strip_trip_id(qualifiers: Column) -> Column:
     """Drop everything up to the last pipe after a trip number."""
-    return F.regexp_replace(qualifiers, TRIP_PREFIX, "")
+    return F.when(qualifiers.contains("|"), F.regexp_replace(qualifiers, TRIP_PREFIX, "")).otherwise(qualifiers)
 
 
 def with_water_body(samples: DataFrame, stations: DataFrame) -> DataFrame:
@@ -80,10 +99,7 @@ def usable_samples(samples: DataFrame, stations: DataFrame) -> DataFrame:
             "analyte": F.upper("analyte"),
         }
     )
-    usable = typed.withColumn("data_usability", data_usability(F.col("qualifiers"))).where(
-        F.col("data_usability") != "Not Usable"
-    )
-    return with_non_detects(usable)
+    return with_non_detects(keep_usable(typed))
 
 
 def with_hardness(samples: DataFrame, hot_sites: HotSites) -> DataFrame:
