@@ -12,7 +12,7 @@ from ..functions.missing import divide, if_else, matching_join, numeric, reporte
 from ..params import HARDNESS_STANDARDS, HardnessStandard
 from .dependent import hardness_standard
 from .events import EventColumns, span_totals
-from .standards import with_numbers
+from .standards import only_listed_analytes, with_numbers
 
 MIN_VISITS = 3
 SHALLOW_DEPTH = 2
@@ -57,8 +57,9 @@ def with_chronic_standards(
         | (match == "YES")
         | ((match == "NO") & (F.col("standards_fraction") == NO_FRACTION))
     )
+    metals = tuple(s.analyte for s in hardness)
     return (
-        with_numbers(data)
+        with_numbers(only_listed_analytes(data, standards, metals))
         .withColumn("hd_chronic_standard", hardness_standard("chronic", hardness))
         .join(small_side(table), F.col("analyte").eqNullSafe(F.col("__analyte")), "left")
         .withColumn("standards_fraction", wanted)

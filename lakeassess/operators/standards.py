@@ -28,6 +28,25 @@ def override_standards(standards: DataFrame, overrides: DataFrame) -> DataFrame:
     ).select(*standards.columns)
 
 
+MAX_LISTED_ANALYTES = 1000
+
+
+def only_listed_analytes(data: DataFrame, standards: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose analyte is in the standards table or in ``others``.
+
+    A join alone would read every analyte. With the names in a plain filter, a
+    scan of samples sorted by analyte skips the row groups of all others. A
+    table naming more analytes than the limit is left to the join.
+    """
+    named = standards.select("Analyte").distinct().limit(MAX_LISTED_ANALYTES + 1).collect()
+    if len(named) > MAX_LISTED_ANALYTES:
+        return data
+    names = sorted({r[0] for r in named if r[0] is not None} | set(others))
+    listed = F.col("analyte").isin(names)
+    unnamed = any(r[0] is None for r in named)
+    return data.where(listed | F.col("analyte").isNull() if unnamed else listed)
+
+
 def acute_single_value(data: DataFrame, standards: DataFrame) -> DataFrame:
     """Compare results with fixed acute standards.
 
@@ -48,7 +67,7 @@ def acute_single_value(data: DataFrame, standards: DataFrame) -> DataFrame:
     )
     quotient = divide(F.col("result_value"), F.col("acute_standard"))
     return (
-        with_numbers(data)
+        with_numbers(only_listed_analytes(data, standards))
         .join(small_side(acute), applies, "inner")
         .withColumn("quotient", quotient)
         .withColumn("standard_violation", exceeds(F.col("quotient")))

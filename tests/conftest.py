@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.maxMetadataStringLength", "1000")  # whole schemas in plans
         # Compiling plans takes far longer than running them on a few rows.
         .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
