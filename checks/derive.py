@@ -81,6 +81,15 @@ def _literal(value) -> str:
     return f"'{value}'" if isinstance(value, str) else f"{value}D" if isinstance(value, float) else str(value)
 
 
+def site_name() -> Column:
+    return F.concat(F.lit("S"), F.col("l_suppkey"))
+
+
+def sample_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site of every sample, read from its one column."""
+    return table(spark, sf_dir, "lineitem").select(site_name().alias("mlid"))
+
+
 def raw_samples(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
     """Uploaded samples under their default column names.
 
@@ -113,7 +122,7 @@ def raw_samples(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFr
     within_line = (F.col("l_partkey") * 7919 + F.col("l_suppkey")) % 1048576
     return items.select(
         (order_line * 1048576 + within_line).alias("row_id"),
-        F.concat(F.lit("S"), F.col("l_suppkey")).alias("monitoring_location_id"),
+        site_name().alias("monitoring_location_id"),
         F.make_date(
             (2019 + F.col("l_orderkey") % 2).cast("int"), _month(), F.lit(10)
         ).alias("activity_start_date"),

@@ -44,7 +44,7 @@ class Lake:
         self.spark, self.sf_dir = tune(spark), sf_dir
         self.samples = map_sample_columns(derive.raw_samples(spark, sf_dir, dense))
         self.stations = derive.stations(spark, sf_dir)
-        self.hot: HotSites = find_hot_sites(self.samples)
+        self.hot: HotSites = find_hot_sites(derive.sample_sites(spark, sf_dir))
 
     @cached_property
     def standards(self) -> DataFrame:
@@ -54,6 +54,11 @@ class Lake:
     def prepared(self) -> DataFrame:
         return prepare_samples(self.samples, self.stations, self.hot)
 
+    @cached_property
+    def kept_prepared(self) -> DataFrame:
+        """Written once, as in the full assessment, for queries with many checks."""
+        return keep(self.prepared, "prepared", ["analyte"])
+
     @cached_property
     def thermoclines(self) -> DataFrame:
         return thermocline(self.prepared, self.hot)
@@ -325,7 +330,7 @@ def tsi_support_rows(spark, sf_dir):
 
 def exceedances(spark, sf_dir):
     lake = Lake(spark, sf_dir)
-    prepared = lake.prepared
+    prepared = lake.kept_prepared
     summary = exceedance_summary(
         acute_single_value(prepared, lake.standards),
         hardness_dependent(prepared),
