@@ -7,6 +7,8 @@ import pytest
 
 import __spark_entry__ as contract
 from checks.compare import connect, differences
+from checks.oracle import ORACLE_SQL
+from checks.registry import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -19,10 +21,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLE_SQL) <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, name):
     df = contract.queries()[name](spark, SF_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()
