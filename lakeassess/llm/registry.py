@@ -7,6 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op2_byte_bpe
 from .fingerprints import op1_fingerprints
 from .store import ship
 
@@ -20,5 +21,5 @@ def _query(run: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-QUERIES = {run.__name__: _query(run) for run in (op1_fingerprints,)}
+QUERIES = {run.__name__: _query(run) for run in (op1_fingerprints, op2_byte_bpe)}
 SQL: dict[str, str] = {}
