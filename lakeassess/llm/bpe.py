@@ -32,6 +32,8 @@ from .words import joined
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
+DECODED_ROWS = 256
+
 _NONE = np.int64(1 << 40)
 _SHIFT = 20
 
@@ -219,7 +221,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", name: str = "decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = vocabulary(sent.value)
-        for batch in batches:
+        for batch in (b.slice(at, DECODED_ROWS) for b in batches for at in range(0, b.num_rows, DECODED_ROWS)):
             lists = batch.column(ids)
             values = []
             for i in range(len(lists)):

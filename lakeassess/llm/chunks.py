@@ -1,10 +1,10 @@
-"""Encode texts by their distinct space-separated chunks.
+"""Encode texts by their distinct chunks between spaces and line ends.
 
-Words repeat, so a text is cut before its spaces, each distinct chunk is encoded
-once, and token ids are gathered for whole blocks. A cut is safe unless the
-chunk before it ends in white space (or is empty): a run of white space may then
-be one token. Such texts are encoded whole. The table of known chunks is emptied
-when it exceeds a limit, so memory stays bounded.
+Words repeat, so a text is cut before its spaces and line ends, each distinct
+chunk is encoded once, and token ids are gathered for whole blocks. A cut is safe
+unless the chunk before it ends in white space (or is empty): a run of white
+space may then be one token. Such texts are encoded whole. The table of known
+chunks is emptied when it exceeds a limit, so memory stays bounded.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ import pyarrow as pa
 
 from .words import blocks
 
-KNOWN_CHUNKS = 800_000
+KNOWN_CHUNKS = 300_000
+BLOCKS_TOGETHER = 3
 
 # Texts to (flat ids, offsets).
 Encode = Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]]
@@ -59,8 +60,9 @@ class ChunkEncoder:
         new, self.index.new = self.index.new, []
         if not new:
             return
-        # A chunk that opens its text is kept under a key no text can hold.
-        texts = [c[1:] if c[:1] == "\ud800" else " " + c for c in new]
+        # A key that opens its text starts with a mark no text can hold; one that
+        # starts with a line end had no space before it.
+        texts = [c[1:] if c[:1] == "\ud800" else c if c[:1] == "\n" else " " + c for c in new]
         flat, offsets = self.encode(texts)
         self.offsets = np.concatenate([self.offsets, offsets[1:] + self.offsets[-1]])
         self.flat = np.concatenate([self.flat, flat])
@@ -71,7 +73,7 @@ class ChunkEncoder:
         chunks: list[str] = []
         ends = []
         for text in texts:
-            parts = text.split(" ")
+            parts = text.replace("\n", " \n").split(" ")
             parts[0] = "\ud800" + parts[0]
             chunks += parts
             ends.append(len(chunks))
@@ -96,13 +98,19 @@ class ChunkEncoder:
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, flat int32 ids, offsets) for every block of a text column.
 
-        New chunks of all blocks are encoded together.
+        New chunks of a few blocks are encoded together.
         """
-        if len(self.index) > self.known:
-            self._clear()
-        found = []
-        for start, end, data, offsets in blocks(column):
-            found.append((start, end, data, offsets, *self._numbers(texts_of(data, offsets))))
+        found: list[tuple] = []
+        for block in blocks(column):
+            if len(found) == BLOCKS_TOGETHER:
+                yield from self._finish(found)
+                found = []
+            if not found and len(self.index) > self.known:
+                self._clear()
+            found.append((*block, *self._numbers(texts_of(*block[2:]))))
+        yield from self._finish(found)
+
+    def _finish(self, found: list[tuple]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         self._learn()
         for start, end, data, offsets, numbers, ends in found:
             yield start, end, *self._ids(texts_of(data, offsets), numbers, ends)
