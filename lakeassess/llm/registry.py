@@ -12,6 +12,7 @@ from .fingerprints import op1_fingerprints
 from .packing import op6_packing
 from .simhash import op5_simhash
 from .store import ship
+from .substrings import op9_substrings
 
 
 def _query(run: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -23,5 +24,5 @@ def _query(run: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-QUERIES = {run.__name__: _query(run) for run in (op1_fingerprints, op2_byte_bpe, op5_simhash, op6_packing)}
+QUERIES = {run.__name__: _query(run) for run in (op1_fingerprints, op2_byte_bpe, op5_simhash, op6_packing, op9_substrings)}
 SQL: dict[str, str] = {}
