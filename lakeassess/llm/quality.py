@@ -6,7 +6,8 @@ labels; Viterbi decoding picks the best sequence of labels. A document stays if
 enough of its words are in content lines.
 
 The model is fitted here, by the likelihood of the labels, to a bounded sample of
-documents labelled good or bad, each line taking its document's label.
+documents labelled good or bad that pass the base rules, each line taking its
+document's label.
 """
 
 from __future__ import annotations
@@ -143,6 +144,12 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
     return counts, Lines(features, n_words, first)
 
 
+def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
+    """Too few words, or too many in windows that repeat."""
+    n = counts["n_words"]
+    return (n < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
+
+
 @dataclass(frozen=True)
 class LineModel:
     """Weights of a line's features for content, and of label pairs (from, to)."""
@@ -263,11 +270,14 @@ def fit_lines(docs: DataFrame, labels: DataFrame, good: int = SAMPLE_GOOD, bad:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end, data, offsets in blocks(batch.column("text")):
-                _, lines = measure(data, offsets)
+                counts, lines = measure(data, offsets)
                 bounds = pa.array(lines.first * N_FEATURES, pa.int32())
                 values = pa.ListArray.from_arrays(bounds, pa.array(lines.features.ravel()))
                 part = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("label"), values], ["id", "label", "x"])
+                # The verdict only matters where the base rules pass.
+                passed = pa.array(~base_failed(counts))
+                found = pa.RecordBatch.from_arrays([part.column("__id"), part.column("label"), values], ["id", "label", "x"])
+                yield found.filter(passed)
 
     found = rows.mapInArrow(run, "id bigint, label int, x array<double>").toArrow().sort_by([("id", "ascending")])
     chains, marks = [], []
@@ -308,7 +318,7 @@ def judge(docs: DataFrame, model: LineModel | None, min_content: float = MIN_CON
                 else:
                     content = np.where(viterbi(model, lines), lines.words, 0)
                     share = _sums(content, lines.first[:-1], lines.first[1:]) / np.maximum(n, 1)
-                failed = (n < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
+                failed = base_failed(counts)
                 kept = ~failed & (share >= min_content)
                 part = batch.slice(start, end - start)
                 columns = [part.column(c) for c in names]
