@@ -11,6 +11,7 @@ from .bpe import op2_byte_bpe
 from .fingerprints import op1_fingerprints
 from .packing import op6_packing
 from .quality import op10_quality
+from .secret_scan import op4_secrets
 from .simhash import op5_simhash
 from .store import ship
 from .substrings import op9_substrings
@@ -25,5 +26,5 @@ def _query(run: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-QUERIES = {run.__name__: _query(run) for run in (op1_fingerprints, op2_byte_bpe, op5_simhash, op6_packing, op9_substrings, op10_quality)}
+QUERIES = {run.__name__: _query(run) for run in (op1_fingerprints, op2_byte_bpe, op4_secrets, op5_simhash, op6_packing, op9_substrings, op10_quality)}
 SQL: dict[str, str] = {}
