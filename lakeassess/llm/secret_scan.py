@@ -2,10 +2,11 @@
 
 Three patterns find declared secrets. Other long runs of key characters are
 compared under two first-order Markov models of characters, one of random
-strings, one of ordinary identifiers; a run whose log-likelihood ratio per
-character pair is high is a secret too. Both models are counts of character
-pairs over the whole corpus: random strings are the values the patterns found,
-ordinary ones all other runs of ``TRAIN_LENGTH`` characters or more.
+strings, one of ordinary identifiers; a run whose log-likelihood ratio is high is
+a secret too. Both models are counts of character pairs over the whole corpus:
+random strings are the values the patterns found, ordinary ones all other runs of
+12 characters or more that don't mix letters and digits. Runs that do are left
+unlabelled.
 
 All of it is native expressions: no Python runs on the executors.
 """
@@ -28,19 +29,18 @@ ACCESS_LENGTH = 20
 HEX_LENGTH = 24
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
-TRAIN_LENGTH = 12
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}"
+MIXED = r"[A-Za-z].*[0-9]|[0-9].*[A-Za-z]"
 #: Runs this long, of so many different characters, are scored.
 SCORE_LENGTH = 20
 SCORE_DISTINCT = 8
-#: Least mean log-likelihood ratio of a secret, in nats per pair.
-THRESHOLD = 1.0
+#: Least log-likelihood ratio of a secret, in nats: the odds against a run being one.
+THRESHOLD = 10.0
 #: Share of the uniform model mixed into each model.
 UNIFORM_RANDOM = 0.5
 UNIFORM_ORDINARY = 0.05
-#: Pairs of the uniform model added to the counts after each character, so that
-#: a few unlabelled secrets among the ordinary runs don't make their pairs ordinary.
-PSEUDO = 200
+#: Pairs of the uniform model added to the counts after each character.
+PSEUDO = 20
 
 SPAN = "struct<start:int,kind:int,end:int>"
 _NONE = "array()"
@@ -117,18 +117,17 @@ class RunModel:
         return F.split(F.lit(",".join(f"{r:.4f}" for r in self.ratios)), ",").cast("array<double>")
 
     def score(self, run: Column) -> Column:
-        """Mean ratio over a run's pairs of characters."""
+        """Log-likelihood ratio of a run: the sum over its pairs of characters."""
         size, ratios = len(ALPHABET), self.column()
 
         def code(i: Column, add: int) -> Column:
             return F.instr(F.lit(ALPHABET), F.substring(run, i + add, 1))
 
-        total = F.aggregate(
+        return F.aggregate(
             F.sequence(F.lit(1), F.char_length(run) - 1),
             F.lit(0.0),
             lambda seen, i: seen + F.element_at(ratios, (code(i, 0) - 1) * size + code(i, 1)),
         )
-        return total / (F.char_length(run) - 1)
 
 
 def fit_runs(docs: DataFrame) -> RunModel:
@@ -146,7 +145,7 @@ def fit_runs(docs: DataFrame) -> RunModel:
 
     runs = F.concat(
         F.transform(base, lambda s: F.struct(F.lit(1).alias("random"), value(s).alias("run"))),
-        F.transform(_apart(_runs(text), base), lambda r: F.struct(F.lit(0).alias("random"), r["run"].alias("run"))),
+        F.transform(F.filter(_apart(_runs(text), base), lambda r: ~r["run"].rlike(MIXED)), lambda r: F.struct(F.lit(0).alias("random"), r["run"].alias("run"))),
     )
     each = rows.select(F.explode(runs).alias("r")).select("r.*")
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.char_length("run") - 1), lambda i: F.substring(F.col("run"), i, 2)))
