@@ -15,6 +15,7 @@ from .secret_scan import op4_secrets
 from .simhash import op5_simhash
 from .store import ship
 from .substrings import op9_substrings
+from .warc import op3_warc
 
 
 def _query(run: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -26,5 +27,5 @@ def _query(run: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-QUERIES = {run.__name__: _query(run) for run in (op1_fingerprints, op2_byte_bpe, op4_secrets, op5_simhash, op6_packing, op9_substrings, op10_quality)}
+QUERIES = {run.__name__: _query(run) for run in (op1_fingerprints, op2_byte_bpe, op3_warc, op4_secrets, op5_simhash, op6_packing, op9_substrings, op10_quality)}
 SQL: dict[str, str] = {}
