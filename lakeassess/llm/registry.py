@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_byte_bpe
+from .elias_fano import op7_token_files
 from .fingerprints import op1_fingerprints
 from .packing import op6_packing
 from .quality import op10_quality
@@ -27,5 +28,6 @@ def _query(run: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-QUERIES = {run.__name__: _query(run) for run in (op1_fingerprints, op2_byte_bpe, op3_warc, op4_secrets, op5_simhash, op6_packing, op9_substrings, op10_quality)}
+QUERIES = {run.__name__: _query(run) for run in (
+        op1_fingerprints, op2_byte_bpe, op3_warc, op4_secrets, op5_simhash, op6_packing, op7_token_files, op9_substrings, op10_quality)}
 SQL: dict[str, str] = {}
