@@ -16,6 +16,7 @@ from .secret_scan import op4_secrets
 from .simhash import op5_simhash
 from .store import ship
 from .substrings import op9_substrings
+from .toxicity import op8_toxicity
 from .warc import op3_warc
 
 
@@ -29,5 +30,5 @@ def _query(run: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES = {run.__name__: _query(run) for run in (
-        op1_fingerprints, op2_byte_bpe, op3_warc, op4_secrets, op5_simhash, op6_packing, op7_token_files, op9_substrings, op10_quality)}
+        op1_fingerprints, op2_byte_bpe, op3_warc, op4_secrets, op5_simhash, op6_packing, op7_token_files, op8_toxicity, op9_substrings, op10_quality)}
 SQL: dict[str, str] = {}
