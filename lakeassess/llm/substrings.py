@@ -10,11 +10,15 @@ none is lost. Seeds found in two documents are marked in a bit set of bounded
 size. Each further level hashes only windows whose chosen seed is marked. A bit
 may stand for several seeds, which lets some windows through that are not
 repeated; the level itself then counts exactly.
+
+Which hashes are repeated is found from packed runs: a task sorts its hashes,
+keeps one entry per hash with the range of its doc_ids, and sends each range of
+hashes as one row of differences. A hash that is everywhere so gives one entry
+per task.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .store import stored
+from .store import partitions, stored
 from .words import Words, blocks, window_hashes, window_starts
 
 WINDOW = 13
@@ -32,6 +36,8 @@ SEED = 5
 BITS_PER_SEED = 16
 MOST_BITS = 1 << 30
 _CELL = 1 << 16
+#: Hashes a task holds before it packs them.
+HELD = 2_000_000
 
 
 def _chosen(seeds: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
@@ -57,38 +63,16 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-def _scan(docs: DataFrame, size: int, seed: int, marked, schema: str, shape, first: int | None = None) -> DataFrame:
-    """Run ``shape`` over all windows whose seed is marked (all, if nothing is).
-
-    The seed is chosen among those in the window's ``first`` words.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = marked.value if marked is not None else None
-        for batch in batches:
-            ids, keys = batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy()
-            for start, end, data, offsets in blocks(batch.column("text")):
-                text, at, chosen, window = _windows(Words(data, offsets), size, seed, first or size)
-                if bits is not None:
-                    some = np.flatnonzero(_is_marked(bits, chosen))
-                    text, at, chosen, window = text[some], at[some], chosen[some], window[some]
-                yield shape(ids[start:end], keys[start:end], text, at, chosen, window)
-
-    return docs.mapInArrow(run, schema)
-
-
-def _seed_rows(ids, keys, text, at, chosen, window) -> pa.RecordBatch:
-    """Each document's distinct chosen seeds."""
-    # Neighbouring windows mostly choose the same seed.
-    new = np.ones(len(text), bool)
-    new[1:] = (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])
-    pairs = np.unique(np.stack([text[new].astype(np.uint64), chosen[new]]), axis=1) if len(text) else np.zeros((2, 0), np.uint64)
-    return pa.RecordBatch.from_arrays([_signed(pairs[1].copy()), pa.array(ids[pairs[0].astype(np.int64)])], ["h", "doc_id"])
-
-
-def _window_rows(ids, keys, text, at, chosen, window) -> pa.RecordBatch:
-    columns = [_signed(window), pa.array(ids[text]), pa.array(keys[text]), pa.array(at.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "text_key", "at"])
+def _windows_of(batches: Iterator[pa.RecordBatch], size: int, seed: int, first: int, bits: np.ndarray | None) -> Iterator[tuple]:
+    """(doc_ids, text, position, seed, hash) of the windows of each block whose seed is marked."""
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy()
+        for start, end, data, offsets in blocks(batch.column("text")):
+            text, at, chosen, window = _windows(Words(data, offsets), size, seed, first)
+            if bits is not None:
+                some = np.flatnonzero(_is_marked(bits, chosen))
+                text, at, chosen, window = text[some], at[some], chosen[some], window[some]
+            yield ids[start:end], text, at, chosen, window
 
 
 def _is_marked(bits: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -96,13 +80,100 @@ def _is_marked(bits: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """Hashes found in more than one document, with the smallest doc_id.
+def _bytes(values: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes each as the largest takes; one byte says how many."""
+    width = (int(values.max()).bit_length() + 7) // 8
+    return bytes([width]) + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unbytes(raw: bytes, at: int, count: int) -> tuple[np.ndarray, int]:
+    width = raw[at]
+    out = np.zeros((count, 8), np.uint8)
+    end = at + 1 + count * width
+    out[:, :width] = np.frombuffer(raw[at + 1 : end], np.uint8).reshape(count, width)
+    return out.reshape(-1).view("<u8"), end
+
+
+def _merged(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One entry per hash, in order, with the range of its doc_ids."""
+    order = np.argsort(hashes, kind="stable")
+    hashes, low, high = hashes[order], low[order], high[order]
+    starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
+    if not len(starts):
+        return hashes, low, high
+    return hashes[starts], np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+
+
+def _packed(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows (part, run) of merged entries; a part is a range of hashes."""
+    part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    numbers, runs = [], []
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            base = low[a:b].min()
+            raw = np.array([b - a, base], "<i8").tobytes()
+            raw += _bytes(np.diff(hashes[a:b], prepend=np.uint64(0)))
+            raw += _bytes((low[a:b] - base).view(np.uint64)) + _bytes((high[a:b] - low[a:b]).view(np.uint64))
+            numbers.append(part[a])
+            runs.append(raw)
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(runs, pa.binary())], ["part", "run"])
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    count, base = np.frombuffer(raw[:16], "<i8").tolist()
+    steps, at = _unbytes(raw, 16, count)
+    low, at = _unbytes(raw, at, count)
+    more, _ = _unbytes(raw, at, count)
+    low = low.view(np.int64) + base
+    return np.cumsum(steps, dtype=np.uint64), low, low + more.view(np.int64)
+
+
+def _repeated(docs: DataFrame, size: int, seed: int, marked=None, of_seeds: bool = False, first: int | None = None) -> DataFrame:
+    """(h, lowest): hashes of windows, or of chosen seeds, found in more than one document,
+    with the smallest doc_id."""
+    parts = partitions(docs.sparkSession)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for ids, text, _, chosen, window in _windows_of(batches, size, seed, first or size, marked.value if marked else None):
+            hashes = chosen if of_seeds else window
+            if of_seeds and len(text):
+                # Neighbouring windows mostly choose the same seed.
+                new = np.append(True, (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1]))
+                hashes, text = hashes[new], text[new]
+            held.append((hashes, ids[text]))
+            if sum(len(h) for h, _ in held) > HELD:
+                yield _entries(held, parts)
+                held = []
+        if held:
+            yield _entries(held, parts)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A partition is one part.
+        runs = [_unpacked(raw.as_py()) for batch in batches for raw in batch.column("run")]
+        if runs:
+            hashes, low, high = _merged(*(np.concatenate(x) for x in zip(*runs)))
+            some = low < high
+            yield pa.RecordBatch.from_arrays([_signed(hashes[some]), pa.array(low[some])], ["h", "lowest"])
+
+    packed = docs.mapInArrow(pack, "part int, run binary")
+    return packed.repartitionById(parts, F.col("part")).mapInArrow(merge, "h bigint, lowest bigint")
+
+
+def _entries(held: list[tuple[np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
+    hashes, ids = (np.concatenate(x) for x in zip(*held))
+    return _packed(*_merged(hashes, ids, ids), parts)
+
+
+def _occurrences(docs: DataFrame, size: int, seed: int, marked, first: int | None = None) -> DataFrame:
+    """(h, doc_id, at) of all windows whose seed is marked."""
 
-    Partial sums leave one row per hash and task before the shuffle.
-    """
-    found = rows.groupBy("h").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"))
-    return found.where("lowest < highest").select("h", "lowest")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, text, at, _, window in _windows_of(batches, size, seed, first or size, marked.value):
+            yield pa.RecordBatch.from_arrays([_signed(window), pa.array(ids[text]), pa.array(at.astype(np.int32))], ["h", "doc_id", "at"])
+
+    return docs.mapInArrow(run, "h bigint, doc_id bigint, at int")
 
 
 def _marks(seeds: DataFrame):
@@ -131,46 +202,40 @@ def _marks(seeds: DataFrame):
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
-    """Documents as (doc_id, text_key, text); rows without id or text have no windows."""
+    """Documents as (doc_id, text); rows without id or text have no windows."""
     named = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return named.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return named.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def earlier_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc_id, text_key, at): windows of ``size`` words that a smaller doc_id has too.
-
-    ``at`` is the window's first word. ``text_key`` tells rows of one doc_id with
-    different texts apart.
-    """
-    rows = _prepared(docs)
-    seeds = _scan(rows, size, min(SEED, size), None, "h bigint, doc_id bigint", _seed_rows)
-    marked = _marks(stored(_repeated(seeds), "seeds"))
-    windows = _scan(rows, size, min(SEED, size), marked, "h bigint, doc_id bigint, text_key bigint, at int", _window_rows)
-    windows = stored(windows, "windows")
-    repeated = stored(_repeated(windows), "repeated")
-    # Both sides come from files, so a hot window's partition can be split.
-    return windows.join(repeated, "h").where("lowest < doc_id").select("doc_id", "text_key", "at")
+    """(doc_id, h): hashes of each document's windows that a smaller doc_id has too."""
+    rows, seed = _prepared(docs), min(SEED, size)
+    marked = _marks(stored(_repeated(rows, size, seed, of_seeds=True), "seeds"))
+    repeated = stored(_repeated(rows, size, seed, marked), "repeated")
+    windows = _occurrences(rows, size, seed, marked).select("h", "doc_id")
+    # Nothing but the scan and a file is joined, so a hot window's partition can be split.
+    return windows.join(repeated, "h").where("lowest < doc_id").select("doc_id", "h")
 
 
 def longest_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc_id, text_key, at, length): repeated windows at every doubled length.
+    """(doc_id, at, length): repeated windows at every doubled length.
 
     Starts with the windows of ``size`` words found in several documents. A window
     of twice the length is looked at only where both its halves are repeated; the
-    search ends with the first length that has no repeat.
+    search ends with the first length that has no repeat. Rows of one doc_id with
+    different texts are not told apart here.
     """
-    rows, keys, length = _prepared(docs), ["doc_id", "text_key", "at"], size
-    seed = min(SEED, size)
-    marked = _marks(stored(_repeated(_scan(rows, size, seed, None, "h bigint, doc_id bigint", _seed_rows)), "seeds"))
+    rows, keys, length, seed = _prepared(docs), ["doc_id", "at"], size, min(SEED, size)
+    marked = _marks(stored(_repeated(rows, size, seed, of_seeds=True), "seeds"))
     level, found = None, None
     while True:
         # The first ``size`` words of a longer window choose its seed.
-        windows = _scan(rows, length, seed, marked, "h bigint, doc_id bigint, text_key bigint, at int", _window_rows, size)
+        windows = _occurrences(rows, length, seed, marked, size)
         if level is not None:
             second = level.withColumn("at", F.col("at") - F.lit(length // 2))
             windows = windows.join(level, keys, "left_semi").join(second, keys, "left_semi")
-        windows = stored(windows, "windows")
-        level = stored(windows.join(stored(_repeated(windows), "repeated"), "h", "left_semi").select(*keys), "level")
+        repeated = stored(_repeated(rows, length, seed, marked, first=size), "repeated")
+        level = stored(windows.join(repeated, "h", "left_semi").select(*keys).distinct(), "level")
         here = level.withColumn("length", F.lit(length))
         found = here if found is None else found.unionByName(here)
         if level.isEmpty():
@@ -186,43 +251,46 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     rows of one doc_id don't count as earlier than each other. Columns with the
     new names are replaced.
     """
-    docs = docs.drop("n_words", "n_removed", "kept_text", "__at", "__key", "__text_key")
-    covered = earlier_windows(docs, size).groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("__at"))
-    covered = covered.select(F.col("doc_id").alias("__key"), F.col("text_key").alias("__text_key"), "__at")
-    joined = docs.join(
-        covered, (docs["doc_id"] == F.col("__key")) & (F.xxhash64(docs["text"]) == F.col("__text_key")), "left"
-    ).drop("__key", "__text_key")
+    docs = docs.drop("n_words", "n_removed", "kept_text", "__earlier", "__key")
+    earlier = earlier_windows(docs, size).groupBy("doc_id").agg(F.collect_set("h").alias("__earlier"))
+    joined = docs.join(earlier.withColumnRenamed("doc_id", "__key"), F.col("doc_id") == F.col("__key"), "left").drop("__key")
     names = docs.columns
     added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())]
     schema = StructType([*docs.schema, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, removed, kept = [], [], []
-            lists = batch.column("__at")
             for start, end, data, offsets in blocks(batch.column("text")):
-                raw = data.tobytes()
-                for i in range(end - start):
-                    words = raw[offsets[i] : offsets[i + 1]].split()
-                    at = lists[start + i].values
-                    total.append(len(words))
-                    if at is None or not len(at):
-                        removed.append(0)
-                        kept.append(b" ".join(words).decode())
-                        continue
-                    steps = np.zeros(len(words) + 1, np.int32)
-                    starts = at.to_numpy()
-                    np.add.at(steps, starts, 1)
-                    np.add.at(steps, starts + size, -1)
-                    gone = np.cumsum(steps[:-1]) > 0
-                    removed.append(int(gone.sum()))
-                    kept.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode())
-            columns = [batch.column(n) for n in names] + [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "n_words", "n_removed", "kept_text"])
+                part = batch.slice(start, end - start)
+                yield _kept(part, names, schema.names, data, offsets, size)
 
     return joined.mapInArrow(run, schema)
 
 
+def _kept(part: pa.RecordBatch, names: list[str], out: list[str], data: np.ndarray, offsets: np.ndarray, size: int) -> pa.RecordBatch:
+    words, lists, raw = Words(data, offsets), part.column("__earlier"), data.tobytes()
+    window, at = window_hashes(words.hashes(), size), window_starts(words, size)
+    from_text = np.searchsorted(at, words.first)
+    removed, kept = [], []
+    for i in range(part.num_rows):
+        own = raw[offsets[i] : offsets[i + 1]].split()
+        earlier = lists[i].values
+        if earlier is not None and len(earlier):
+            here = at[from_text[i] : from_text[i + 1]]
+            here = here[np.isin(window[here], earlier.to_numpy().view(np.uint64))] - words.first[i]
+            steps = np.zeros(len(own) + 1, np.int32)
+            np.add.at(steps, here, 1)
+            np.add.at(steps, here + size, -1)
+            stays = (np.cumsum(steps[:-1]) == 0).tolist()
+            removed.append(len(own) - sum(stays))
+            own = [w for w, s in zip(own, stays) if s]
+        else:
+            removed.append(0)
+        kept.append(b" ".join(own).decode())
+    columns = [part.column(n) for n in names] + [pa.array(words.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, out)
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
