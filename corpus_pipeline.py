@@ -42,8 +42,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of every group of near duplicates.
 
-    Of rows that repeat a doc_id all or none stay. Rows without doc_id go if
-    their group has an id.
+    Of rows that repeat a doc_id one stays. Rows without doc_id stay.
     """
     return one_of_each_group(docs.select(*COLUMNS))
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import stored
@@ -343,11 +343,16 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
 def one_of_each_group(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """Keep the smallest doc_id of every group of near duplicates, all columns as they are.
 
-    Documents without doc_id go if their group has an id, else they stay.
+    Of rows that repeat a doc_id one stays, the first by a hash of its text. A row
+    without doc_id can't be told from others and stays.
     """
     found = near_duplicates(docs, max_distance)
-    staying = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(staying, docs["doc_id"].eqNullSafe(staying["__stays"]), "left_semi")
+    going = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__goes")).distinct()
+    named = docs.where(F.col("doc_id").isNotNull())
+    rest = named.join(going, named["doc_id"] == going["__goes"], "left_anti")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    one = rest.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
