@@ -23,7 +23,7 @@ BLOCKS_TOGETHER = 3
 Encode = Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]]
 
 
-class _Index(dict):
+class Index(dict):
     """Numbers keys in the order they first appear, and lists the new ones."""
 
     def __init__(self) -> None:
@@ -52,7 +52,7 @@ class ChunkEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index = _Index()
+        self.index = Index()
         self.flat, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.open = np.zeros(0, bool)
 
@@ -66,7 +66,7 @@ class ChunkEncoder:
         flat, offsets = self.encode(texts)
         self.offsets = np.concatenate([self.offsets, offsets[1:] + self.offsets[-1]])
         self.flat = np.concatenate([self.flat, flat])
-        self.open = np.concatenate([self.open, np.fromiter((t[-1:].isspace() or not t for t in texts), bool, len(texts))])
+        self.open = np.concatenate([self.open, np.array([t[-1:].isspace() or not t for t in texts], bool)])
 
     def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Chunk numbers of all texts, and the end of each text's chunks."""

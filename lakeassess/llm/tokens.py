@@ -9,9 +9,11 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-from .chunks import ChunkEncoder, gather
+from .chunks import ChunkEncoder, Index
 
 CHUNKS_PER_CALL = 2000
+#: Chunks, and words, kept at most.
+KNOWN = 500_000
 
 _NUMBER = regex.compile(r"\p{N}")
 #: In front of a chunk without digits this is a token of its own.
@@ -20,6 +22,18 @@ _MARK = " 0"
 SIGNS = ".,!#*$%&"
 
 
+class _Words:
+    """Words encoded so far: their numbers, and their runs in one array of ids."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.index = Index()
+        self.flat = np.zeros(0, np.int32)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
 @lru_cache(maxsize=2)
 def encoder(definition: str) -> ChunkEncoder:
     """Encoder for a tokenizer's JSON definition; kept by the worker between tasks.
@@ -35,45 +49,62 @@ def encoder(definition: str) -> ChunkEncoder:
     tokenizer.encode_special_tokens = True
     mark = tokenizer.encode(_MARK, add_special_tokens=False).ids
 
-    def singly(texts: Sequence[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def singly(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        runs = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for run in runs for i in run], np.int32), np.array([len(r) for r in runs], np.int64)
 
-    def together(texts: Sequence[str]) -> list[np.ndarray]:
-        joined = "".join(_MARK + t for t in texts)
+    def together(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = _MARK + _MARK.join(texts)
         ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
-        at = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else []
+        marks = ids == mark[0]
+        at = np.flatnonzero(marks) if len(mark) == 1 else []
         if len(at) != len(texts):
             return singly(texts)
-        return [ids[a + 1 : b] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(ids)])]
-
-    def distinct(texts: Sequence[str]) -> list[np.ndarray]:
-        runs: dict[str, np.ndarray] = {}
-        odd = [t for t in texts if _NUMBER.search(t) or t[-1:].isspace()]
-        runs.update(zip(odd, singly(odd)))
-        plain = [t for t in texts if t not in runs]
-        for k in range(0, len(plain), CHUNKS_PER_CALL):
-            some = plain[k : k + CHUNKS_PER_CALL]
-            runs.update(zip(some, together(some)))
-        return [runs[t] for t in texts]
+        return ids[~marks], np.diff(np.append(at, len(ids))) - 1
+
+    words = _Words()
+
+    def learn() -> None:
+        """Encode the words met for the first time."""
+        new, words.index.new = words.index.new, []
+        if not new:
+            return
+        odd = [i for i, t in enumerate(new) if _NUMBER.search(t) or t[-1:].isspace()]
+        plain = np.ones(len(new), bool)
+        plain[odd] = False
+        order = np.concatenate([np.flatnonzero(plain), np.array(odd, np.int64)]).tolist()
+        found = [together([new[i] for i in order[k : min(k + CHUNKS_PER_CALL, len(new) - len(odd))]]) for k in range(0, len(new) - len(odd), CHUNKS_PER_CALL)]
+        if odd:
+            found.append(singly([new[i] for i in odd]))
+        flat, counts = (np.concatenate(x) for x in zip(*found))
+        # Where each word's run lies; runs are in the order they were encoded in.
+        starts = np.empty(len(new), np.int64)
+        starts[order] = np.cumsum(counts) - counts + len(words.flat)
+        sizes = np.empty(len(new), np.int64)
+        sizes[order] = counts
+        words.flat = np.concatenate([words.flat, flat])
+        words.starts = np.concatenate([words.starts, starts])
+        words.sizes = np.concatenate([words.sizes, sizes])
 
     def encode(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(words.index) > KNOWN:
+            words.clear()
         # Signs after a word are tokens of their own, so words are encoded without.
-        numbers: dict[str, int] = {}
-        parts: list[int] = []
-        ends = [0]
-        for text in texts:
-            word = text.rstrip(SIGNS)
-            if len(word) < len(text) and word[-1:].isalpha():
-                parts.append(numbers.setdefault(word, len(numbers)))
-                parts.append(numbers.setdefault(text[len(word) :], len(numbers)))
+        parts: list[str] = []
+        pairs: list[int] = []
+        for i, (text, word) in enumerate(zip(texts, [t.rstrip(SIGNS) for t in texts])):
+            if word is not text and word[-1:].isalpha():
+                parts += (word, text[len(word) :])
+                pairs.append(i)
             else:
-                parts.append(numbers.setdefault(text, len(numbers)))
-            ends.append(len(parts))
-        runs = distinct(list(numbers))
-        offsets = np.zeros(len(runs) + 1, np.int64)
-        np.cumsum([len(r) for r in runs], out=offsets[1:])
-        flat = np.concatenate(runs) if runs else np.zeros(0, np.int32)
-        values, bounds = gather(flat, offsets, np.array(parts, np.int64))
-        return values, np.concatenate([[0], bounds])[ends].astype(np.int64)
-
-    return ChunkEncoder(encode)
+                parts.append(text)
+        numbers = np.fromiter(map(words.index.__getitem__, parts), np.int64, len(parts))
+        learn()
+        sizes = words.sizes[numbers]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(words.starts[numbers] - ends + sizes, sizes)
+        each = np.ones(len(texts), np.int64)
+        each[pairs] = 2
+        return words.flat[at], np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(each)])].astype(np.int64)
+
+    return ChunkEncoder(encode, KNOWN)
