@@ -111,11 +111,13 @@ def raw_samples(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFr
     kinds = len(DENSE_ANALYTES) if dense else len(ANALYTES)
     items = (
         table(spark, sf_dir, "lineitem")
-        .join(analytes, F.col("l_partkey") % kinds == F.col("kind"))
-        .join(_codes(spark, ["tax_percent", "qualifier"], list(enumerate(QUALIFIERS))), _percent("l_tax") == tax)
-        .join(_codes(spark, ["discount_percent", "unit"], list(enumerate(UNITS))), _percent("l_discount") == discount)
+        # Left joins: a line with a code outside the tables stays, with no value for it.
+        .join(analytes, F.col("l_partkey") % kinds == F.col("kind"), "left")
+        .join(_codes(spark, ["tax_percent", "qualifier"], list(enumerate(QUALIFIERS))), _percent("l_tax") == tax, "left")
+        .join(_codes(spark, ["discount_percent", "unit"], list(enumerate(UNITS))), _percent("l_discount") == discount, "left")
     )
-    unreported = ((tax == 3) & (F.col("l_linenumber") % 2 == 1)) | ((tax == 5) & (F.col("l_linenumber") == 7))
+    taxed = _percent("l_tax")
+    unreported = ((taxed == 3) & (F.col("l_linenumber") % 2 == 1)) | ((taxed == 5) & (F.col("l_linenumber") == 7))
     no_depth = (F.col("l_linenumber") == 1) & (F.col("l_quantity") == 13)
     limit_type = F.when(F.col("l_linenumber") == 5, "Lower Reporting Limit").otherwise("Method Detection Level")
     order_line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
@@ -161,12 +163,12 @@ def standards(spark: SparkSession) -> DataFrame:
 def raw_macrophytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly coverage per lake; every third lake lacks March, and every second
     lake's code comes without the prefix."""
-    lake = F.expr("s_suppkey div 4")
     months = F.explode(F.sequence(F.lit(0), F.lit(23))).alias("month")
     return (
         table(spark, sf_dir, "supplier")
-        .where(F.col("s_suppkey") % 4 == 0)
-        .select(lake.alias("lake"), (F.col("s_suppkey") * 13 % 80).cast("double").alias("cover"), months)
+        .select(F.expr("s_suppkey div 4").alias("lake"))
+        .distinct()
+        .select("lake", (F.col("lake") * 52 % 80).cast("double").alias("cover"), months)
         .where(~((F.col("lake") % 3 == 0) & (F.col("month") % 12 == 2)))
         .select(
             F.concat(F.when(F.col("lake") % 2 == 0, "IL_L").otherwise("L"), F.col("lake")).alias("basin_code"),

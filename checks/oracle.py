@@ -158,8 +158,8 @@ PARTS: dict[str, str] = {
     + ") AS t(s_analyte, s_fraction, s_acute, s_acute_units, s_chronic, s_chronic_units)",
     "macrophytes": """
 SELECT 'IL_L' || lake AS m_auid, make_date(CAST(2019 + month // 12 AS INT), CAST(month % 12 + 1 AS INT), 10) AS m_date,
-  CAST(s_suppkey * 13 % 80 AS DOUBLE) AS coverage
-FROM (SELECT s_suppkey, s_suppkey // 4 AS lake, unnest(range(0, 24)) AS month FROM supplier WHERE s_suppkey % 4 = 0)
+  CAST(lake * 52 % 80 AS DOUBLE) AS coverage
+FROM (SELECT lake, unnest(range(0, 24)) AS month FROM (SELECT DISTINCT s_suppkey // 4 AS lake FROM supplier))
 WHERE NOT (lake % 3 = 0 AND month % 12 = 2)""",
 }
 
@@ -587,3 +587,24 @@ FROM tsi_used"""
         "FROM samples ORDER BY row_id LIMIT 6"
     ),
 }
+
+ORACLE_SQL["ingest_table"] = """SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name_full, CAST(c_nationkey AS VARCHAR) AS nation,
+  round(c_acctbal, 6) AS balance FROM customer
+UNION ALL
+SELECT CAST(s_suppkey AS VARCHAR), s_name, CAST(s_nationkey AS VARCHAR), round(s_acctbal, 6) FROM supplier"""
+
+# The finding of each result table, as in the registry.
+_FINDINGS = {
+    "acute_results": ("acute_single_value", "standard_violation = 'EXCEEDANCE'"),
+    "chronic_results": ("chronic_events", "standard_violation = 'EXCEEDANCE'"),
+    "dependent_results": ("hardness_acute", "standard_violation = 'EXCEEDANCE'"),
+    "ammonia_nitrogen_results": ("ammonia_acute", "standard_violation = 'EXCEEDANCE'"),
+    "chronic_ammonia_nitrogen_res": ("ammonia_chronic_events", "standard_violation = 'EXCEEDANCE'"),
+    "sulfates_results": ("sulfate_acute", "standard_violation = 'EXCEEDANCE'"),
+    "tsi_results": ("tsi_use_support", "\"ALU_use\" = 'NOT SUPPORTING'"),
+}
+ORACLE_SQL["assessment_tables"] = "\nUNION ALL\n".join(
+    f"SELECT '{table}' AS table_name, count(*) AS n_rows, count(*) FILTER (WHERE {finding}) AS n_findings\n"
+    f"FROM ({ORACLE_SQL[query]})"
+    for table, (query, finding) in _FINDINGS.items()
+)

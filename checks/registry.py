@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from lakeassess.functions.formulas import hardness_equation
 from lakeassess.functions.groups import HotSites, find_hot_sites
-from lakeassess.functions.missing import divide
+from lakeassess.functions.missing import divide, numeric
 from lakeassess.operators.ammonia import ammonia_acute, ammonia_chronic_events, ammonia_chronic_standards
 from lakeassess.operators.chronic import SERIES, chronic_events, undersampled_series, with_chronic_standards
 from lakeassess.operators.dependent import hardness_dependent
@@ -29,10 +30,12 @@ from lakeassess.operators.tsi import (
     tsi_samples,
     tsi_use_support,
 )
-from lakeassess.params import HARDNESS_STANDARDS
+from lakeassess.params import HARDNESS_STANDARDS, AssessmentParams
+from lakeassess.plans.assessment import Inputs, run
 from lakeassess.plans.session import tune
 from lakeassess.sources.columns import map_macrophyte_columns, map_sample_columns
-from lakeassess.sources.storage import keep
+from lakeassess.sources.storage import keep, shared_folder
+from lakeassess.sources.tables import read_table
 
 from . import derive
 
@@ -61,7 +64,7 @@ class Lake:
 
     @cached_property
     def thermoclines(self) -> DataFrame:
-        return thermocline(self.prepared, self.hot)
+        return keep(thermocline(self.kept_prepared, self.hot), "thermocline")
 
     @cached_property
     def macrophytes(self) -> DataFrame:
@@ -69,11 +72,11 @@ class Lake:
 
     @cached_property
     def tsi_samples(self) -> DataFrame:
-        return tsi_samples(self.prepared, self.thermoclines, self.macrophytes, self.hot)
+        return tsi_samples(self.kept_prepared, self.thermoclines, self.macrophytes, self.hot)
 
     @cached_property
     def tsi_requirements(self) -> DataFrame:
-        return tsi_requirements(self.prepared, self.thermoclines, self.macrophytes, self.hot)
+        return tsi_requirements(self.kept_prepared, self.thermoclines, self.macrophytes, self.hot)
 
     @cached_property
     def kept_requirements(self) -> DataFrame:
@@ -162,15 +165,16 @@ def ammonia_acute_checks(spark, sf_dir):
 
 
 def sulfate_standard(spark, sf_dir):
-    return published(sulfate_standards(Lake(spark, sf_dir).prepared))
+    return published(sulfate_standards(Lake(spark, sf_dir).kept_prepared))
 
 
 def sulfate_checks(spark, sf_dir):
-    return published(sulfate_acute(Lake(spark, sf_dir).prepared), *ACUTE, "hardness", *CHECK)
+    return published(sulfate_acute(Lake(spark, sf_dir).kept_prepared), *ACUTE, "hardness", *CHECK)
 
 
 def thermocline_depths(spark, sf_dir):
-    return published(Lake(spark, sf_dir).thermoclines)
+    lake = Lake(spark, sf_dir)
+    return published(thermocline(lake.prepared, lake.hot))
 
 
 def chronic_standard_match(spark, sf_dir):
@@ -194,7 +198,7 @@ def sparse_series(spark, sf_dir):
 
 def chronic_event_rows(spark, sf_dir):
     lake = Lake(spark, sf_dir)
-    events = chronic_events(lake.prepared, lake.standards, lake.thermoclines, hot_sites=lake.hot)
+    events = chronic_events(lake.kept_prepared, lake.standards, lake.thermoclines, hot_sites=lake.hot)
     return published(
         events,
         *ACUTE,
@@ -213,7 +217,7 @@ def chronic_event_rows(spark, sf_dir):
 def ammonia_chronic_standard(spark, sf_dir):
     lake = Lake(spark, sf_dir, dense=True)
     return published(
-        ammonia_chronic_standards(lake.prepared, lake.thermoclines, hot_sites=lake.hot),
+        ammonia_chronic_standards(lake.kept_prepared, lake.thermoclines, hot_sites=lake.hot),
         "row_id",
         "mlid",
         "start_date",
@@ -229,7 +233,7 @@ def ammonia_chronic_standard(spark, sf_dir):
 
 def _ammonia_events(spark, sf_dir, *columns):
     lake = Lake(spark, sf_dir, dense=True)
-    events = ammonia_chronic_events(lake.prepared, lake.thermoclines, hot_sites=lake.hot)
+    events = ammonia_chronic_events(lake.kept_prepared, lake.thermoclines, hot_sites=lake.hot)
     return published(events, "row_id", "mlid", "start_date", "depth_narrative", *columns)
 
 
@@ -344,7 +348,45 @@ def preview_rows(spark, sf_dir):
     return published(preview(Lake(spark, sf_dir).samples), "row_id", "mlid", "start_date", "analyte", "result_value")
 
 
+def ingest_table(spark, sf_dir):
+    """Customers and suppliers written as CSV files of different column order, and read back."""
+    path = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    for table, prefix, key, order in (("customer", "c", "custkey", 1), ("supplier", "s", "suppkey", -1)):
+        source = (key, "name", "nationkey", "acctbal")
+        columns = [F.col(f"{prefix}_{c}").alias(n) for c, n in zip(source, ("Key", "Name, full", "Nation", "Balance"))]
+        derive.table(spark, sf_dir, table).select(*columns[::order]).write.mode("append").option("header", True).csv(path)
+    table = read_table(spark, path, file_format="csv")
+    return published(table.select("key", "name_full", "nation", numeric(table, "balance").alias("balance")))
+
+
+RESULT_CHECKS = {
+    "acute_results": ("acute_single_value", "standard_violation = 'EXCEEDANCE'"),
+    "chronic_results": ("chronic_events", "standard_violation = 'EXCEEDANCE'"),
+    "dependent_results": ("hardness_acute", "standard_violation = 'EXCEEDANCE'"),
+    "ammonia_nitrogen_results": ("ammonia_acute", "standard_violation = 'EXCEEDANCE'"),
+    "chronic_ammonia_nitrogen_res": ("ammonia_chronic_events", "standard_violation = 'EXCEEDANCE'"),
+    "sulfates_results": ("sulfate_acute", "standard_violation = 'EXCEEDANCE'"),
+    "tsi_results": ("tsi_use_support", "ALU_use = 'NOT SUPPORTING'"),
+}
+DENSE_RESULTS = ("ammonia_nitrogen_results", "chronic_ammonia_nitrogen_res")
+
+
+def assessment_tables(spark, sf_dir):
+    """Rows and findings of every table the assessment writes, read back from its files."""
+    parts = []
+    for dense in (False, True):
+        lake, folder = Lake(spark, sf_dir, dense), f"{shared_folder(spark)}/assessment-{uuid.uuid4().hex}"
+        inputs = Inputs(lake.samples, lake.stations, lake.standards, None if dense else lake.macrophytes)
+        run(inputs, folder, AssessmentParams(trophic_state=not dense))
+        for name, (_, finding) in RESULT_CHECKS.items():
+            if (name in DENSE_RESULTS) == dense:
+                counts = F.count(F.lit(1)).alias("n_rows"), F.count_if(F.expr(finding)).alias("n_findings")
+                parts.append(spark.read.parquet(f"{folder}/{name}").agg(*counts).withColumn("table_name", F.lit(name)))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "ingest_table": ingest_table,
     "column_map": column_map,
     "prep_samples": prep_samples,
     "usability_counts": usability_counts,
@@ -374,4 +416,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tsi_use_support": tsi_support_rows,
     "exceedance_summary": exceedances,
     "preview": preview_rows,
+    "assessment_tables": assessment_tables,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .missing import divide, natural_log, no_nan
+from .missing import natural_log, no_nan
 
 
 def hardness_equation(a, b, cf_base, cf_slope, hardness: Column) -> Column:
@@ -24,10 +24,8 @@ def hardness_equation(a, b, cf_base, cf_slope, hardness: Column) -> Column:
 
 def half_of_sites(sites_with_data: Column, sites_total: Column) -> Column:
     """1 when at least half of the sites have data, else 0 (0 when none do)."""
-    share = divide(sites_with_data.cast("double"), sites_total.cast("double"))
-    return F.when(sites_with_data == 0, 0).when((sites_with_data > 0) & (share >= 0.5), 1).when(
-        sites_with_data.isNotNull(), 0
-    )
+    enough = (sites_with_data > 0) & (2 * sites_with_data >= sites_total)
+    return F.when(sites_with_data.isNotNull(), F.coalesce(enough, F.lit(False)).cast("int"))
 
 
 def ph_curve(low: float, high: float, transition_ph: float, ph: Column) -> Column:

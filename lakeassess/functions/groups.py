@@ -6,29 +6,31 @@ for ordinary sites and impossible for one that holds a third of all rows. So:
 * ``find_hot_sites`` counts rows per site (one column scanned, map-side
   combined) and keeps the sites above a limit.
 * Without hot sites, ``group_window`` is a plain window: one exchange.
-* With hot sites, their groups are cut into consecutive segments of about the
-  limit each. The segment number joins the partition key, so a hot group spreads
-  over many tasks in the same single exchange. What a row needs from outside its
+* With hot sites, the input is written once, and groups of those sites are cut
+  into consecutive segments of about the limit each. The segment number joins the
+  partition key of an explicit exchange, so a hot group spreads over many tasks
+  whatever partitioning an earlier join left. What a row needs from outside its
   segment (the reading before the first row, the last known value, a total over
   the group) comes from a table with one row per segment.
 
-Size bounds: a hot site has more than ``limit`` rows, so there are fewer than
-``rows / limit`` of them; the same holds for hot groups, and for the segments
-twice that number. These are the only tables broadcast here.
+The number of segments follows the largest group. Cuts and edges are joined
+without a hint: Spark broadcasts them if they measure small and shuffles them
+otherwise.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import keep
 from .missing import matching_join, nulls_last
 
 HOT_ROWS_CONF = "lakeassess.hotGroupRows"
 HOT_ROWS_DEFAULT = 4_000_000
-MAX_SEGMENTS = 1024
 
 SEGMENT = "__segment"
 BEYOND_LAST_DAY = 3_000_000  # later than any date Spark can hold, in days
@@ -112,10 +114,11 @@ def group_window(df: DataFrame, spec: GroupSpec, hot: HotSites) -> DataFrame:
     """Add neighbours, filled values and totals to every row of ``df``."""
     if not hot.sites:
         return _finish(_local(df, spec, spec.keys), df.columns, spec)
-    cut = _cut_hot_groups(df, spec, hot)
+    # Sizes, cuts, edges and rows all start from this one table.
+    cut = _cut_hot_groups(keep(df, "hot-input"), spec, hot)
     edges = _segment_edges(cut, spec)
-    local = _local(cut, spec, [*spec.keys, SEGMENT])
-    merged = matching_join(local, F.broadcast(edges), [*spec.keys, SEGMENT], "left")
+    local = _local(cut.repartition(*spec.keys, SEGMENT), spec, [*spec.keys, SEGMENT])
+    merged = matching_join(local, edges, [*spec.keys, SEGMENT], "left")
     return _finish(merged, df.columns, spec, segmented=True)
 
 
@@ -143,29 +146,36 @@ def _local(df: DataFrame, spec: GroupSpec, keys: list[str]) -> DataFrame:
 
 def _cut_hot_groups(df: DataFrame, spec: GroupSpec, hot: HotSites) -> DataFrame:
     """Add the segment number: NULL in ordinary groups, 0.. in hot ones."""
-    spark = df.sparkSession
-    shares = F.expr("array(" + ", ".join(f"{i / MAX_SEGMENTS}D" for i in range(1, MAX_SEGMENTS)) + ")")
     position = spec.position if spec.position is not None else row_position()
+    hot_rows = matching_join(df, hot.frame(df.sparkSession), [hot.site_column], "left_semi")
+    sizes = hot_rows.groupBy(*spec.keys).count().where(F.col("count") > hot.limit)
+    largest = sizes.agg(F.max("count")).head()[0]
+    if largest is None:
+        return df.withColumn(SEGMENT, F.lit(None).cast("int"))
+    most = math.ceil(largest / hot.limit)
+    shares = F.expr("array(" + ", ".join(f"{i / most}D" for i in range(1, most)) + ")")
     sized = (
-        matching_join(df, F.broadcast(hot.frame(spark)), [hot.site_column], "left_semi")
-        .groupBy(*spec.keys)
+        hot_rows.groupBy(*spec.keys)
         .agg(
             F.count(F.lit(1)).alias("__rows"),
-            F.percentile_approx(position, shares, 10_000).alias("__quantiles"),
+            F.percentile_approx(position, shares, 10 * most + 10_000).alias("__quantiles"),
         )
         .where(F.col("__rows") > hot.limit)
     )
-    wanted = F.least(F.lit(MAX_SEGMENTS), F.ceil(F.col("__rows") / F.lit(hot.limit))).cast("int")
-    cuts = sized.select(
-        *spec.keys,
-        F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), wanted - 1),
-                lambda k: F.element_at("__quantiles", (k * MAX_SEGMENTS / wanted).cast("int")),
-            )
-        ).alias("__cuts"),
+    wanted = F.ceil(F.col("__rows") / F.lit(hot.limit)).cast("int")
+    cuts = keep(
+        sized.select(
+            *spec.keys,
+            F.array_distinct(
+                F.transform(
+                    F.sequence(F.lit(1), wanted - 1),
+                    lambda k: F.element_at("__quantiles", F.greatest(F.lit(1), (k * most / wanted).cast("int"))),
+                )
+            ).alias("__cuts"),
+        ),
+        "hot-cuts",
     )
-    joined = matching_join(df, F.broadcast(cuts), spec.keys, "left")
+    joined = matching_join(df, cuts, spec.keys, "left")
     segment = F.when(
         F.col("__cuts").isNotNull(), F.size(F.filter("__cuts", lambda c: c < position))
     )

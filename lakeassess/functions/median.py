@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import keep
 from .missing import matching_join
 
 BUCKETS_PER_LOG = 65536.0
@@ -29,10 +30,12 @@ def exact_median(
     sums = dict(sums or {})
     number = F.col(value)
     bucket = F.floor(F.signum(number) * F.log1p(F.abs(number)) * F.lit(BUCKETS_PER_LOG))
-    counted = (
+    # Written once: the buckets and the ranks both start from the counts.
+    counted = keep(
         df.groupBy(*keys, value)
         .agg(F.count(value).alias("__n"), *[c.alias(n) for n, c in sums.items()])
-        .withColumn("__bucket", bucket)
+        .withColumn("__bucket", bucket),
+        "median-counts",
     )
     by_bucket = Window.partitionBy(*keys).orderBy(F.col("__bucket").asc_nulls_first())
     whole = Window.partitionBy(*keys)

@@ -18,7 +18,7 @@ POSITIVE_INFINITY = float("inf")
 NEGATIVE_INFINITY = float("-inf")
 
 DECIMAL_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-HEX_TEXT = r"^0[xX][0-9a-fA-F]{1,15}$"
+HEX_TEXT = r"^[+-]?0[xX][0-9a-fA-F]+$"
 INFINITE_TEXT = r"(?i)^[+-]?inf(inity)?$"
 
 
@@ -37,11 +37,18 @@ def parse_number(text: Column) -> Column:
     infinite = F.when(text.startswith("-"), F.lit(NEGATIVE_INFINITY)).otherwise(F.lit(POSITIVE_INFINITY))
     return (
         F.when(text.rlike(DECIMAL_TEXT), text.try_cast("double"))
-        .when(text.rlike(HEX_TEXT), F.conv(F.substring(text, 3, 16), 16, 10).try_cast("double"))
+        .when(text.rlike(HEX_TEXT), _hexadecimal(text))
         .when(text.rlike(INFINITE_TEXT), infinite)
     )
 
 
+def _hexadecimal(text: Column) -> Column:
+    """Value of a signed hexadecimal number of any length, digit by digit."""
+    digits = F.split(F.lower(F.regexp_replace(text, r"^[+-]?0[xX]", "")), "")
+    value = F.aggregate(digits, F.lit(0.0), lambda sum_, d: sum_ * 16.0 + (F.instr(F.lit("0123456789abcdef"), d) - 1))
+    return F.when(text.startswith("-"), -value).otherwise(value)
+
+
 def numeric(df: DataFrame, name: str) -> Column:
     """Column ``name`` of ``df`` as a double, whatever type it was read with."""
     dtype = df.schema[name].dataType
@@ -105,15 +112,3 @@ def matching_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     right = right.withColumnsRenamed(renamed)
     joined = left.join(right, same_keys(left, right, list(renamed.items())), how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*renamed.values())
-
-
-SMALL_SIDE_ROWS = 1_000_000
-
-
-def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """Mark a lookup table for broadcast if it has at most ``max_rows`` rows.
-
-    The check reads at most one row more than that. A larger table is left to
-    the optimizer, which joins it by shuffling.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.groups import GroupSpec, HotSites, day_position, find_hot_sites, group_window
-from ..functions.missing import divide, if_else, matching_join, numeric, reported, round_even, small_side
+from ..functions.missing import divide, if_else, matching_join, numeric, reported, round_even
 from ..params import HARDNESS_STANDARDS, HardnessStandard
+from ..sources.storage import keep
 from .dependent import hardness_standard
 from .events import EventColumns, span_totals
 from .standards import only_listed_analytes, with_numbers
@@ -61,7 +62,7 @@ def with_chronic_standards(
     return (
         with_numbers(only_listed_analytes(data, standards, metals))
         .withColumn("hd_chronic_standard", hardness_standard("chronic", hardness))
-        .join(small_side(table), F.col("analyte").eqNullSafe(F.col("__analyte")), "left")
+        .join(table, F.col("analyte").eqNullSafe(F.col("__analyte")), "left")
         .withColumn("standards_fraction", wanted)
         .withColumn("fraction_match", if_else(found, F.lit("YES"), F.lit("NO")))
         .where(by_hardness | (given & applies))
@@ -111,7 +112,8 @@ def chronic_events(
     """
     hot = hot_sites or find_hot_sites(data)
     events = EventColumns(CHRONIC.quotient, CHRONIC.prefix, CHRONIC.violation, min_days)
-    checked = with_chronic_standards(data, standards, hardness)
+    # Written once: coverage and series both start from it.
+    checked = keep(with_chronic_standards(data, standards, hardness), "chronic-checked")
 
     sparse = undersampled_series(checked, SERIES).drop("times_sampled")
     coverage_class = checked.withColumn(

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.dates import to_date_value, to_seconds_of_day
 from ..functions.groups import GroupSpec, HotSites, find_hot_sites, group_window
-from ..functions.missing import matching_join, numeric, small_side
+from ..functions.missing import matching_join, numeric
 from ..schema import ALKALINITY, PREPARED_COLUMNS, SITE_WATER_BODIES
 
 # Qualifier codes, looked for anywhere in the text.
@@ -19,6 +19,7 @@ CONDITIONAL_CODES = r"A|B|B1|B2|J(?!\p{Nd})|E|I|J5|J6|J7|K|L|L1|L2|M|N|TNTC|ND"
 UNUSABLE_CODES = r"J1|J2|J3|J4|J9|Q|V|X|W|Y"
 TRIP_PREFIX = r"(?i)Trip ID:.+\|\s*"
 
+# The limit type that counts, and the share of it taken as result.
 DETECTION_LIMIT = "Method Detection Level"
 NON_DETECT_SHARE = 0.5
 
@@ -61,8 +62,8 @@ def strip_trip_id(qualifiers: Column) -> Column:
 
 
 def with_water_body(samples: DataFrame, stations: DataFrame) -> DataFrame:
-    """Look up each site. The station table is broadcast only if it is small."""
-    lookup = small_side(stations.select(F.col("StationCode").alias("mlid"), "AUID"))
+    """Look up each site. Spark broadcasts the station table if it measures small."""
+    lookup = stations.select(F.col("StationCode").alias("mlid"), "AUID")
     joined = matching_join(samples, lookup, ["mlid"], "left")
     return joined.withColumn("AUID", water_body(F.col("mlid"), F.col("AUID")))
 
@@ -85,15 +86,20 @@ def _result(df: DataFrame) -> Column:
     return F.col("result_value") if text else numeric(df, "result_value")
 
 
-def usable_samples(samples: DataFrame, stations: DataFrame) -> DataFrame:
-    """All preparation steps except hardness: row-wise, one lookup join."""
+def usable_samples(
+    samples: DataFrame, stations: DataFrame, date_formats: tuple[str, ...] = (), time_unit: str | None = None
+) -> DataFrame:
+    """All preparation steps except hardness: row-wise, one lookup join.
+
+    ``date_formats`` and ``time_unit`` say how dates and times were written.
+    """
     # The unit filter comes first so that it reaches the scan.
     kept = samples.where(~F.col("result_unit").endswith("/kg"))
     typed = with_water_body(kept, stations).withColumns(
         {
             "qualifiers": strip_trip_id(F.col("qualifiers")),
-            "start_date": to_date_value(kept, "start_date"),
-            "start_time": to_seconds_of_day(kept, "start_time"),
+            "start_date": to_date_value(kept, "start_date", date_formats),
+            "start_time": to_seconds_of_day(kept, "start_time", time_unit),
             "sample_depth": numeric(kept, "sample_depth"),
             "result_value": _result(kept),
             "analyte": F.upper("analyte"),
@@ -110,7 +116,11 @@ def with_hardness(samples: DataFrame, hot_sites: HotSites) -> DataFrame:
 
 
 def prepare_samples(
-    samples: DataFrame, stations: DataFrame, hot_sites: HotSites | None = None
+    samples: DataFrame,
+    stations: DataFrame,
+    hot_sites: HotSites | None = None,
+    date_formats: tuple[str, ...] = (),
+    time_unit: str | None = None,
 ) -> DataFrame:
     """Samples with mapped columns -> the table every check starts from.
 
@@ -119,4 +129,5 @@ def prepare_samples(
     still counts as reported.
     """
     hot = hot_sites or find_hot_sites(samples)
-    return with_hardness(usable_samples(samples, stations), hot).select(*PREPARED_COLUMNS)
+    usable = usable_samples(samples, stations, date_formats, time_unit)
+    return with_hardness(usable, hot).select(*PREPARED_COLUMNS)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.missing import divide, exceeds, matching_join, numeric, reported, small_side
+from ..functions.missing import divide, exceeds, matching_join, numeric, reported
 
 EDITABLE = ("acute_standard", "chronic_standard")
 
@@ -22,29 +22,29 @@ def override_standards(standards: DataFrame, overrides: DataFrame) -> DataFrame:
     edited = [c for c in EDITABLE if c in overrides.columns]
     keys = ["Analyte", "sample_fraction"]
     edits = overrides.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in edited])
-    joined = matching_join(standards, small_side(edits), keys, "left")
+    joined = matching_join(standards, edits, keys, "left")
     return joined.withColumns(
         {c: F.coalesce(F.col(f"__new_{c}").cast(standards.schema[c].dataType), F.col(c)) for c in edited}
     ).select(*standards.columns)
 
 
-MAX_LISTED_ANALYTES = 1000
-
-
 def only_listed_analytes(data: DataFrame, standards: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
-    """Rows whose analyte is in the standards table or in ``others``.
+    """Rows whose analyte may be in the standards table or in ``others``.
 
-    A join alone would read every analyte. With the names in a plain filter, a
-    scan of samples sorted by analyte skips the row groups of all others. A
-    table naming more analytes than the limit is left to the join.
+    A join alone would read every analyte. With the first and last name of each
+    initial in a plain filter, a scan of samples sorted by analyte skips the row
+    groups between. There are at most 128 initials, whatever the table's size;
+    the join then tells the names apart.
     """
-    named = standards.select("Analyte").distinct().limit(MAX_LISTED_ANALYTES + 1).collect()
-    if len(named) > MAX_LISTED_ANALYTES:
-        return data
-    names = sorted({r[0] for r in named if r[0] is not None} | set(others))
-    listed = F.col("analyte").isin(names)
-    unnamed = any(r[0] is None for r in named)
-    return data.where(listed | F.col("analyte").isNull() if unnamed else listed)
+    initial = F.least(F.ascii("Analyte"), F.lit(127))
+    named = standards.groupBy(initial.alias("initial")).agg(
+        F.min("Analyte").alias("low"), F.max("Analyte").alias("high")
+    )
+    analyte, found = F.col("analyte"), named.collect()
+    tests = [analyte.between(r["low"], r["high"]) for r in found if r["low"] is not None]
+    tests += [analyte.isin(list(others))] if others else []
+    tests += [analyte.isNull()] if any(r["low"] is None for r in found) else []
+    return data.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
 
 
 def acute_single_value(data: DataFrame, standards: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def acute_single_value(data: DataFrame, standards: DataFrame) -> DataFrame:
     quotient = divide(F.col("result_value"), F.col("acute_standard"))
     return (
         with_numbers(only_listed_analytes(data, standards))
-        .join(small_side(acute), applies, "inner")
+        .join(acute, applies, "inner")
         .withColumn("quotient", quotient)
         .withColumn("standard_violation", exceeds(F.col("quotient")))
         .drop("__analyte", "__fraction")

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.missing import same_keys
 from ..schema import LIMIT_COLUMNS
 
 DROPPED = [*LIMIT_COLUMNS, "data_usability", "hardness"]
@@ -24,24 +23,23 @@ def exceedance_summary(
     """Exceedances of the four acute checks in one table.
 
     A finding made by two checks is one row with the columns of both; a column
-    its check lacks is NULL. Each check is filtered before it is combined.
+    its check lacks is NULL. Each check is filtered before it is combined, in one
+    shuffle.
     """
     tables = [
         t.where(F.col("standard_violation") == "EXCEEDANCE").drop(*DROPPED)
         for t in (acute, dependent, ammonia, sulfate)
     ]
-    return reduce(_merge, tables)
-
-
-def _merge(left: DataFrame, right: DataFrame) -> DataFrame:
-    renamed = {c: f"__right_{c}" for c in right.columns}
-    other = right.withColumnsRenamed(renamed)
-    joined = left.join(other, same_keys(left, other, [(c, renamed[c]) for c in FINDING]), "full")
-    shared = [
-        (F.coalesce(F.col(c), F.col(renamed[c])) if c in renamed else F.col(c)).alias(c) for c in left.columns
-    ]
-    added = [F.col(renamed[c]).alias(c) for c in right.columns if c not in left.columns]
-    return joined.select(*shared, *added)
+    tagged = [t.withColumn("__table", F.lit(i)) for i, t in enumerate(tables)]
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    columns = [c for c in together.columns if c != "__table"]
+    others = [c for c in columns if c not in FINDING]
+    # Findings a check makes several times stay apart. Numbering and merging both
+    # use the partitioning of this one exchange.
+    own = Window.partitionBy(*FINDING, "__table").orderBy("standard_violation")
+    numbered = together.repartition(*FINDING).withColumn("__number", F.row_number().over(own))
+    merged = numbered.groupBy(*FINDING, "__number").agg(*[F.first(c, ignorenulls=True).alias(c) for c in others])
+    return merged.select(*columns)
 
 
 def preview(df: DataFrame, rows: int = 6) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions.groups import GroupSpec, HotSites, Total, find_hot_sites, group
 from ..functions.median import exact_median
 from ..functions.missing import matching_join, natural_log, numeric
 from ..schema import CHLOROPHYLL, LIMIT_COLUMNS, NVSS, PHOSPHORUS, SECCHI, TSS, VSS
+from ..sources.storage import keep
 
 # Fixed values.
 MONTHS = {
@@ -173,8 +174,11 @@ def parameter_requirements(sites: DataFrame) -> DataFrame:
 def tsi_requirements(
     data: DataFrame, thermoclines: DataFrame, macrophytes: DataFrame, hot_sites: HotSites | None = None
 ) -> DataFrame:
-    """Samples of the index with the requirement verdicts on every row."""
-    samples = tsi_samples(data, thermoclines, macrophytes, hot_sites).withColumns(
+    """Samples of the index with the requirement verdicts on every row.
+
+    The samples are written once: counts and rows both start from them.
+    """
+    samples = keep(tsi_samples(data, thermoclines, macrophytes, hot_sites), "tsi-samples").withColumns(
         {"collection_month": F.month("start_date"), "collection_year": F.year("start_date")}
     )
     verdicts = parameter_requirements(site_requirements(samples))
@@ -202,34 +206,31 @@ def analyte_year_values(requirements: DataFrame) -> DataFrame:
     )
 
 
-def trophic_index(analyte: Column, median: Column) -> Column:
-    """Index value of one analyte's median."""
-    return (
-        F.when(analyte == CHLOROPHYLL, F.lit(9.81) * natural_log(median) + F.lit(30.6))
-        .when(analyte == SECCHI, F.lit(60.0) - F.lit(14.41) * natural_log(median))
-        .when(analyte == PHOSPHORUS, F.lit(14.42) * natural_log(median * 1000) + F.lit(4.15))
-    )
-
-
-def solids_points(median: Column) -> Column:
-    return F.when(median < 12, 0).when(median < 15, 5).when(median < 20, 10).when(median >= 20, 15)
+# Factor, offset, and factor of the value, of each analyte's index.
+INDEX_FORMULAS = {
+    CHLOROPHYLL: (9.81, 30.6, 1),
+    SECCHI: (-14.41, 60.0, 1),
+    PHOSPHORUS: (14.42, 4.15, 1000),
+}
+# Points below each limit, in order; the last at or above the last limit.
+SOLIDS_POINTS = ((12, 0), (15, 5), (20, 10), (None, 15))
+MACROPHYTE_POINTS = ((5, 15), (10, 10), (15, 5), (40, 0), (50, 5), (70, 10), (None, 15))
+INDEX_POINTS = ((60, 40), (85, 50), (90, 60), (None, 70))
 
 
-def macrophyte_points(coverage: Column) -> Column:
-    """Best in the middle range, worse towards both ends."""
-    return (
-        F.when(coverage < 5, 15)
-        .when(coverage < 10, 10)
-        .when(coverage < 15, 5)
-        .when(coverage < 40, 0)
-        .when(coverage < 50, 5)
-        .when(coverage < 70, 10)
-        .when(coverage >= 70, 15)
-    )
+def trophic_index(analyte: Column, median: Column) -> Column:
+    """Index value of one analyte's median."""
+    by_analyte = [
+        F.when(analyte == name, F.lit(factor) * natural_log(median * scale if scale != 1 else median) + F.lit(offset))
+        for name, (factor, offset, scale) in INDEX_FORMULAS.items()
+    ]
+    return F.coalesce(*by_analyte)
 
 
-def index_points(index: Column) -> Column:
-    return F.when(index < 60, 40).when(index < 85, 50).when(index < 90, 60).when(index >= 90, 70)
+def points_for(value: Column, table: tuple) -> Column:
+    """Points of the first limit above the value; NULL for a missing value."""
+    steps = [F.when(value < limit, points) for limit, points in table if limit is not None]
+    return F.coalesce(*steps, F.when(value.isNotNull(), table[-1][1]))
 
 
 def tsi_points(values: DataFrame) -> DataFrame:
@@ -237,17 +238,17 @@ def tsi_points(values: DataFrame) -> DataFrame:
     a lake-year window holds at most a handful of rows."""
     lake_year = Window.partitionBy(*LAKE_YEAR)
     analyte = F.col("analyte")
-    own_solids = F.when(analyte == NVSS, solids_points(F.col("median_analyte")))
+    own_solids = F.when(analyte == NVSS, points_for(F.col("median_analyte"), SOLIDS_POINTS))
     scored = (
         values.withColumn("tsi_weight", trophic_index(analyte, F.col("median_analyte")))
         .withColumn("NVSS_points", F.max(own_solids).over(lake_year))
-        .withColumn("macrophyte_points", macrophyte_points(F.col("mean_coverage")))
+        .withColumn("macrophyte_points", points_for(F.col("mean_coverage"), MACROPHYTE_POINTS))
         .withColumn("NVSS_usable", _yes_no(F.col("NVSS_points").isNotNull()))
         .withColumn("mac_usable", _yes_no(F.col("macrophyte_points").isNotNull()))
         .withColumn("NVSS_points", F.coalesce("NVSS_points", F.lit(0)))
         .withColumn("macrophyte_points", F.coalesce("macrophyte_points", F.lit(0)))
     )
-    points = index_points(F.col("tsi_weight")) + F.col("NVSS_points") + F.col("macrophyte_points")
+    points = points_for(F.col("tsi_weight"), INDEX_POINTS) + F.col("NVSS_points") + F.col("macrophyte_points")
     return scored.withColumns(
         {
             f"{label}_points": F.max(F.when(analyte == name, points)).over(lake_year)

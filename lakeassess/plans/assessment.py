@@ -16,7 +16,7 @@ from ..operators.sulfate import sulfate_acute
 from ..operators.thermocline import thermocline
 from ..operators.tsi import tsi_requirements, tsi_use_support
 from ..params import AssessmentParams
-from ..sources.storage import keep, write_results
+from ..sources.storage import keep, kept_tables, write_results
 
 
 @dataclass(frozen=True)
@@ -68,5 +68,6 @@ def assess(inputs: Inputs, params: AssessmentParams | None = None) -> dict[str,
 
 
 def run(inputs: Inputs, folder: str, params: AssessmentParams | None = None, mode: str = "errorifexists") -> list[str]:
-    """Assess and write every result table under ``folder``."""
-    return write_results(assess(inputs, params), folder, mode)
+    """Assess and write every result table under ``folder``; intermediate tables are removed."""
+    with kept_tables(inputs.samples.sparkSession):
+        return write_results(assess(inputs, params), folder, mode)

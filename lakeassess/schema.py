@@ -22,6 +22,7 @@ SAMPLE_COLUMNS: dict[str, str] = {
     "limit_unit_2": "detection_limit_unit_2",
 }
 
+# Role -> column name expected by default.
 MACROPHYTE_COLUMNS: dict[str, str] = {
     "AUID": "basin_code",
     "collection_date_id": "collection_date",
@@ -30,6 +31,7 @@ MACROPHYTE_COLUMNS: dict[str, str] = {
 
 ROW_ID = "row_id"
 
+# Column names.
 LIMIT_COLUMNS = [
     "limit_type_1",
     "limit_value_1",

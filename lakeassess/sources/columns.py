@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,8 @@ def clean_name(header: str) -> str:
     """One header in snake_case: ``"Result Value (mg/L)"`` -> ``result_value_mg_l``."""
     text = header.replace("%", " percent ").replace("#", " number ")
     text = re.sub(r"['\"]", "", text)
+    # Accents go, letters stay.
+    text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     text = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ", text)
     text = re.sub(r"[^0-9A-Za-z]+", "_", text).strip("_").lower()
     if not text or text[0].isdigit():
@@ -23,14 +26,16 @@ def clean_name(header: str) -> str:
 
 
 def clean_names(headers: list[str]) -> list[str]:
-    """Clean all headers; repeated names get ``_2``, ``_3``, ..."""
-    seen: dict[str, int] = {}
-    out = []
+    """Clean all headers; a name taken already gets the next free ``_2``, ``_3``, ..."""
+    out: dict[str, None] = {}
     for header in headers:
-        name = clean_name(header)
-        seen[name] = seen.get(name, 0) + 1
-        out.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
-    return out
+        name = base = clean_name(header)
+        number = 1
+        while name in out:
+            number += 1
+            name = f"{base}_{number}"
+        out[name] = None
+    return list(out)
 
 
 def with_clean_names(df: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,22 +32,47 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"Set {CHECKPOINT_CONF} to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="lakeassess-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+_owned: list[list[str]] = []
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+@contextmanager
+def kept_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove every table kept inside the block when it ends."""
+    _owned.append([])
+    try:
+        yield
+    finally:
+        for path in _owned.pop():
+            file_system, place = _place(spark, path)
+            file_system.delete(place, True)
+
+
 def keep(df: DataFrame, name: str, sort_by: list[str] | None = None) -> DataFrame:
     """Write a table to the shared folder once and read it back.
 
     Several results start from it; a lost executor then costs a re-read, not the
     work before it. Rows are sorted within their partitions, so a later filter
-    on ``sort_by`` skips most row groups.
+    on ``sort_by`` skips most row groups. The table is removed at the end of the
+    surrounding ``kept_tables`` block, or else when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    file_system, place = _place(spark, path)
+    file_system.deleteOnExit(place)
+    if _owned:
+        _owned[-1].append(path)
     table = df.sortWithinPartitions(*sort_by) if sort_by else df
     table.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

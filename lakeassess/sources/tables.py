@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import csv
+import re
+from multiprocessing.pool import ThreadPool
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schema import ROW_ID
 from .columns import clean_names, with_clean_names
 
 SAMPLES_START_ROW = 2
 MACROPHYTE_START_ROW = 1
-BLANK_LINES = 100  # looked through for the header
+HEADER_READERS = 8
 
 
 def read_table(
@@ -53,38 +55,63 @@ def _format_of(path: str) -> str:
 
 
 def _read_csv(spark: SparkSession, path: str, start_row: int) -> DataFrame:
-    """Header from the first filled line at or after ``start_row`` of the first
-    file. That line and those above it are dropped from every file by their
-    content, so files stay splittable and rows are read in parallel."""
-    first_file = sorted(spark.read.text(path).inputFiles())[0]
-    lines = [r.value for r in spark.read.text(first_file).take(start_row + BLANK_LINES)]
-    filled = [i for i, line in enumerate(lines) if i >= start_row - 1 and line.strip(", ")]
-    if not filled:
-        raise ValueError(f"{path}: no header at or after line {start_row}")
-    leading = [_split_line(spark, line) for line in lines[: filled[0] + 1]]
-    names = clean_names([cell or "" for cell in _without_tail(leading[-1])])
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    table = spark.read.csv(path, schema=schema, header=False, enforceSchema=True)
-    for cells in leading:
-        row = [*cells, *[None] * len(names)][: len(names)]
-        if any(cell is not None for cell in row):
-            same = [F.col(n).eqNullSafe(F.lit(cell)) for n, cell in zip(names, row)]
-            table = table.where(~reduce(lambda x, y: x & y, same))
-    return table
-
-
-def _split_line(spark: SparkSession, line: str) -> list[str | None]:
-    """Cells of one line, split by Spark's own CSV parser (quotes included)."""
-    columns = [f"c{i}" for i in range(line.count(",") + 1)]
-    parsed = F.from_csv(F.lit(line), ", ".join(f"{c} string" for c in columns))
-    row = spark.range(1).select(parsed.alias("cells")).first()
-    return list(row.cells)
-
-
-def _without_tail(cells: list[str | None]) -> list[str | None]:
-    """Cells up to the last filled one."""
-    last = max(i for i, cell in enumerate(cells) if cell is not None)
-    return cells[: last + 1]
+    """Rows below the header of every file, found by position.
+
+    The header is the first filled line at or after ``start_row``; it and the lines
+    above it are left out of each file, whatever they hold. Lines of a file's first
+    block are numbered in reading order, so files stay splittable and are read in
+    parallel. Columns are matched by name; files with other names raise. A cell
+    spanning several lines is not supported.
+    """
+    text = spark.read.text(path)
+    lines = text.select(
+        "value",
+        F.regexp_replace("_metadata.file_path", "^([A-Za-z0-9+.-]+):/+", "$1:/").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias(ROW_ID),
+    )
+    files = sorted(text.inputFiles())
+    with ThreadPool(HEADER_READERS) as pool:
+        headers = dict(zip(files, pool.map(lambda file: _header(spark, file, start_row), files)))
+    layouts: dict[tuple[str, ...], int] = {}
+    for file, (_, names) in headers.items():
+        layouts.setdefault(names, len(layouts))
+        if sorted(names) != sorted(next(iter(layouts))):
+            raise ValueError(f"{file}: other columns than in {files[0]}")
+    about = spark.createDataFrame(
+        # Paths come with one or three slashes after the scheme.
+        [(re.sub("^([A-Za-z0-9+.-]+):/+", r"\1:/", file), skipped, layouts[names]) for file, (skipped, names) in headers.items()],
+        "__file string, __skipped bigint, __layout int",
+    )
+    first = lines.where("__block = 0").groupBy("__file").agg(F.min(ROW_ID).alias("__first"))
+    # One row per file, and the driver holds the list of files to read them at all.
+    known = F.broadcast(about.join(F.broadcast(first), "__file", "left"))
+    below = (F.col("__block") > 0) | (F.col(ROW_ID) - F.col("__first") >= F.col("__skipped"))
+    width = len(files and next(iter(layouts)))
+    cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(width))))
+    rows = lines.join(known, "__file").where(below & (F.trim("value") != "")).withColumn("__cells", cells)
+
+    def cell(name: str):
+        found = F.lit(None).cast("string")
+        for names, number in layouts.items():
+            here = F.col(f"__cells.c{names.index(name)}")
+            found = here if len(layouts) == 1 else F.when(F.col("__layout") == number, here).otherwise(found)
+        return found.alias(name)
+
+    return rows.select(ROW_ID, *[cell(name) for name in next(iter(layouts))])
+
+
+def _header(spark: SparkSession, file: str, start_row: int) -> tuple[int, tuple[str, ...]]:
+    """Lines down to the header of one file, header included, and its clean names."""
+    wanted, seen = start_row + 10, -1
+    while True:
+        lines = [r.value for r in spark.read.text(unquote(file)).take(wanted)]
+        for number, line in enumerate(lines):
+            if number >= start_row - 1 and line.strip(", "):
+                return number + 1, tuple(clean_names(next(csv.reader([line]))))
+        if len(lines) == seen or len(lines) < wanted:
+            raise ValueError(f"{file}: no header at or after line {start_row}")
+        wanted, seen = wanted * 4, len(lines)
 
 
 def read_stations(spark: SparkSession, path: str, file_format: str | None = None) -> DataFrame:

@@ -15,7 +15,6 @@ from lakeassess.functions.missing import (
     natural_log,
     numeric,
     round_even,
-    small_side,
 )
 from lakeassess.sources.columns import clean_names
 
@@ -23,10 +22,10 @@ INF = float("inf")
 
 
 def test_numbers_from_text(spark):
-    texts = [" 1.5 ", "abc", "1d", "2e3", "0x1A", "-Inf", "NaN", "", None, "+.5"]
+    texts = [" 1.5 ", "abc", "1d", "2e3", "0x1A", "-Inf", "NaN", "", None, "+.5", "-0xff", "0x10000000000000000000", "0x"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(numeric(df, "t")).collect()] == [
-        1.5, None, None, 2000.0, 26.0, -INF, None, None, None, 0.5,
+        1.5, None, None, 2000.0, 26.0, -INF, None, None, None, 0.5, -255.0, 16.0**19, None,
     ]
 
 
@@ -64,17 +63,6 @@ def test_missing_keys_match(spark):
     assert [r.v for r in matching_join(left, right, ["k"], "left_anti").collect()] == [3]
 
 
-def test_small_side_checks_size(spark):
-    few, many = spark.range(5).toDF("k"), spark.range(50).toDF("k")
-    base = spark.range(10).toDF("k")
-    assert "BroadcastHashJoin" in _plan(base.join(small_side(few, 10), "k"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "BroadcastHashJoin" not in _plan(base.join(small_side(many, 10), "k"))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -126,6 +114,30 @@ def test_times(spark):
     assert df.select(to_seconds_of_day(df, "ts")).first()[0] == 3605
 
 
+def test_clean_names_are_unique_and_keep_letters():
+    assert clean_names(["a", "a", "a_2"]) == ["a", "a_2", "a_2_2"]
+    assert clean_names(["a_2", "a", "a", "", ""]) == ["a_2", "a", "a_3", "x", "x_2"]
+    assert clean_names(["Température", "Größe m²"]) == ["temperature", "gro_e_m2"]
+
+
+def test_time_of_almost_a_day_and_units(spark):
+    df = spark.createDataFrame([(0.9999999, "0.5", 3600)], "part double, text string, whole int")
+    row = df.select(
+        to_seconds_of_day(df, "part"), to_seconds_of_day(df, "text"), to_seconds_of_day(df, "whole"),
+        to_seconds_of_day(df, "text", "seconds"), to_seconds_of_day(df, "whole", "day"), to_seconds_of_day(df, "part", "seconds"),
+    ).first()
+    assert list(row) == [0, 43200, 3600, 0, 0, 0]
+    with pytest.raises(ValueError, match="unit"):
+        to_seconds_of_day(df, "part", "minutes")
+
+
+def test_date_formats(spark):
+    df = spark.createDataFrame([("06/12/2024",), ("2024-06-12",), ("45455",), ("12.06.2024",)], "d string")
+    got = [r[0] for r in df.select(to_date_value(df, "d", ("MM/dd/yyyy", "dd.MM.yyyy"))).collect()]
+    assert got == [date(2024, 6, 12)] * 4
+    assert df.select(to_date_value(df, "d")).first()[0] is None
+
+
 def test_clean_names():
     assert clean_names(["Result Value", "Result-Value", "% Cover", "StationCode", "2nd", "Site #"]) == [
         "result_value",

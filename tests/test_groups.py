@@ -101,3 +101,31 @@ def test_no_hot_sites_means_one_exchange(spark):
     spec = GroupSpec(keys=["mlid"], order=["row_id"], fill=("x",), totals={"n": Total(F.count("x"), F.sum)})
     plan = group_window(df, spec, find_hot_sites(df))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
+def test_split_survives_an_earlier_join_on_the_keys(spark, small_limit, threshold):
+    """The exchange has the segment in it, though the join has the group's keys."""
+    from lakeassess.functions.missing import matching_join
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        df = spark.range(300).select(F.col("id").alias("row_id"), F.lit("hot").alias("mlid"), F.lit(1.0).alias("x"))
+        other = spark.createDataFrame([("hot", 2)], "mlid string, y int")
+        spec = GroupSpec(keys=["mlid"], order=["row_id"], fill=("x",))
+        out = group_window(matching_join(df, other, ["mlid"], "left"), spec, find_hot_sites(df))
+        exchanges = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+        assert any("mlid" in x and "__segment" in x and "REPARTITION" in x for x in exchanges)
+        assert out.count() == 300
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["chronic_events", "tsi_nvss", "ammonia_chronic_standard"])
+def test_a_hot_site_costs_no_further_scan(spark, small_limit, name):
+    from checks.registry import QUERIES
+
+    hot = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("lakeassess.hotGroupRows", "1000000")
+    plain = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert hot.count("lineitem.parquet") <= plain.count("lineitem.parquet") + 1

@@ -19,11 +19,11 @@ def stored(prepared):
 
 @pytest.fixture()
 def standards(spark):
-    return spark.createDataFrame(
+    return keep(spark.createDataFrame(
         [("IRON", None, 1.0, "mg/L", 0.8, "mg/L")],
         "Analyte string, sample_fraction string, acute_standard double, acute_units string, "
         "chronic_standard double, chronic_units string",
-    )
+    ), "standards")
 
 
 def plan(df):
@@ -58,3 +58,34 @@ def test_narrow_reads(stored):
 def test_shuffle_counts(stored):
     assert plan(ammonia_acute(stored)).count("Exchange hashpartitioning") == 1
     assert plan(thermocline(stored)).count("Exchange hashpartitioning") == 2
+
+
+def test_summary_shuffles_its_checks_once(spark):
+    from lakeassess.operators.summary import FINDING, exceedance_summary
+    from pyspark.sql import functions as F
+
+    check = spark.range(9).select(
+        *[F.col("id").alias(c) for c in FINDING], F.lit("EXCEEDANCE").alias("standard_violation")
+    )
+    text = plan(exceedance_summary(check, check, check, check))
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+    twice = check.union(check)
+    assert exceedance_summary(check, twice, check, check).count() == 18
+
+
+def test_listed_analytes_need_no_list(spark, prepared):
+    from lakeassess.operators.standards import only_listed_analytes
+    from pyspark.sql import functions as F
+
+    names = spark.range(3000).select(F.concat(F.lit("N"), F.col("id").cast("string")).alias("Analyte"))
+    data = prepared([{"analyte": a} for a in ("IRON", "N5", "N2999", "ZINC", None)])
+    assert sorted(r.analyte for r in only_listed_analytes(data, names, ("ZINC",)).collect()) == ["N2999", "N5", "ZINC"]
+    with_null = names.union(spark.createDataFrame([(None,)], "Analyte string"))
+    assert only_listed_analytes(data, with_null).where("analyte is null").count() == 1
+
+
+def test_standards_override_reads_lines_once(spark):
+    from checks.registry import QUERIES
+
+    text = plan(QUERIES["standards_override"](spark, "/root/testdata/sf0.001"))
+    assert text.count("lineitem.parquet") == 1 and "SinglePartition" not in text

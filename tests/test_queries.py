@@ -37,7 +37,19 @@ def test_query_matches_sql(spark, con, name):
 
 
 # Queries with ordered work inside groups, again with the segmented plans.
-@pytest.mark.parametrize("name", ["hardness_fill", "thermocline", "chronic_events", "tsi_nvss"])
+HOT = [
+    "hardness_fill",
+    "thermocline",
+    "chronic_events",
+    "ammonia_acute",
+    "ammonia_chronic_standard",
+    "ammonia_first_last",
+    "tsi_nvss",
+    "tsi_use_support",
+]
+
+
+@pytest.mark.parametrize("name", HOT)
 def test_huge_sites_give_the_same_result(spark, con, small_limit, name):
     ours = contract.queries()[name](spark, SF_DIR).toPandas()
     assert differences(ours, con.execute(contract.oracle_sql()[name]).df()) is None
@@ -45,3 +57,9 @@ def test_huge_sites_give_the_same_result(spark, con, small_limit, name):
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
+
+
+def test_row_ids_are_unique(con):
+    number = "(l_orderkey * 8 + l_linenumber) * 1048576 + (l_partkey * 7919 + l_suppkey) % 1048576"
+    rows, ids = con.execute(f"SELECT count(*), count(DISTINCT {number}) FROM lineitem").fetchone()
+    assert rows == ids

@@ -129,3 +129,48 @@ def test_overrides_reach_the_checks(spark, folder):
     edited = Inputs(base.samples, base.stations, base.standards, overrides=edits)
     acute = assess(edited, AssessmentParams(trophic_state=False))["acute_results"]
     assert acute.where("standard_violation = 'EXCEEDANCE'").count() == 11
+
+
+def cells(table):
+    return [tuple(r)[1:] for r in table.orderBy("row_id").collect()]
+
+
+def test_rows_like_the_title_or_header_stay(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Lake report\n\nSite,Value,\nx,1,p\nLake report,,\nSite,Value,\n,,\n")
+    table = read_table(spark, str(tmp_path / "a.csv"), 2)
+    assert table.columns == ["row_id", "site", "value", "x"]
+    assert cells(table) == [("x", "1", "p"), ("Lake report", None, None), ("Site", "Value", None), (None, None, None)]
+
+
+def test_files_of_other_order_and_depth(spark, tmp_path):
+    folder = tmp_path / "my data"
+    folder.mkdir()
+    (folder / "a 1%.csv").write_text("T\nSite,Value\nx,1\n")
+    (folder / "b.csv").write_text("T\n" + "\n" * 150 + "Value,Site\n2,y\nT\n")
+    table = read_table(spark, str(folder), 2, "csv")
+    assert sorted((r.site or "", r.value or "") for r in table.collect()) == [("", "T"), ("x", "1"), ("y", "2")]
+    (folder / "c.csv").write_text("T\nSite,Depth\nx,1\n")
+    with pytest.raises(ValueError, match="other columns"):
+        read_table(spark, str(folder), 2, "csv")
+
+
+def test_large_file_in_several_blocks(spark, tmp_path):
+    lines = ["Title", "Key,Text", *[f'{i},"t, {i}"' for i in range(5000)]]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        table = read_table(spark, str(tmp_path / "a.csv"), 2)
+        assert cells(table) == [(str(i), f"t, {i}") for i in range(5000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_kept_tables_are_removed(spark):
+    import os
+
+    from lakeassess.sources.storage import kept_tables
+
+    with kept_tables(spark):
+        path = keep(spark.range(3), "short").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)

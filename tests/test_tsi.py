@@ -4,12 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeassess.operators.tsi import (
+    INDEX_POINTS,
+    MACROPHYTE_POINTS,
+    SOLIDS_POINTS,
     drop_work_columns,
-    index_points,
-    macrophyte_points,
     parameter_requirements,
+    points_for,
     site_requirements,
-    solids_points,
     trophic_index,
     tsi_requirements,
     tsi_samples,
@@ -148,20 +149,20 @@ def test_requirements_keep_every_sample(prepared, no_thermocline, no_plants):
 
 
 @pytest.mark.parametrize(
-    "function, values, expected",
+    "table, values, expected",
     [
-        (solids_points, [11.9, 12, 14.9, 15, 19.9, 20, None], [0, 5, 5, 10, 10, 15, None]),
+        (SOLIDS_POINTS, [11.9, 12, 14.9, 15, 19.9, 20, None], [0, 5, 5, 10, 10, 15, None]),
         (
-            macrophyte_points,
+            MACROPHYTE_POINTS,
             [0, 4.9, 5, 10, 15, 39.9, 40, 49.9, 50, 69.9, 70, None],
             [15, 15, 10, 5, 0, 0, 5, 5, 10, 10, 15, None],
         ),
-        (index_points, [float("-inf"), 59.9, 60, 84.9, 85, 89.9, 90, None], [40, 40, 50, 50, 60, 60, 70, None]),
+        (INDEX_POINTS, [float("-inf"), 59.9, 60, 84.9, 85, 89.9, 90, None], [40, 40, 50, 50, 60, 60, 70, None]),
     ],
 )
-def test_point_tables(spark, function, values, expected):
+def test_point_tables(spark, table, values, expected):
     df = spark.createDataFrame([(i, None if v is None else float(v)) for i, v in enumerate(values)], "i int, v double")
-    assert [r[0] for r in df.orderBy("i").select(function(F.col("v"))).collect()] == expected
+    assert [r[0] for r in df.orderBy("i").select(points_for(F.col("v"), table)).collect()] == expected
 
 
 def test_trophic_index(spark):
