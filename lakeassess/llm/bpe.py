@@ -209,6 +209,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATT
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
                 columns = [part.column(f.name) for f in schema.fields[:-1]]
                 yield pa.RecordBatch.from_arrays([*columns, lists], [f.name for f in schema])
+        to_ids.release()
 
     return df.mapInArrow(run, schema)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from .words import blocks
 
 KNOWN_CHUNKS = 300_000
-BLOCKS_TOGETHER = 3
+BLOCKS_TOGETHER = 6
 
 # Texts to (flat ids, offsets).
 Encode = Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]]
@@ -47,10 +47,16 @@ def gather(flat: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> tuple[n
 
 
 class ChunkEncoder:
-    def __init__(self, encode: Encode, known: int = KNOWN_CHUNKS):
-        self.encode, self.known = encode, known
+    def __init__(self, encode: Encode, known: int = KNOWN_CHUNKS, forget: Callable[[], None] | None = None):
+        self.encode, self.known, self.forget = encode, known, forget
         self._clear()
 
+    def release(self) -> None:
+        """Forget all chunks at the end of a task, so that an idle worker holds no memory."""
+        self._clear()
+        if self.forget:
+            self.forget()
+
     def _clear(self) -> None:
         self.index = Index()
         self.flat, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)

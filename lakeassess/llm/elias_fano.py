@@ -186,6 +186,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                         before, size, held = before + size, 0, ([], [], [])
         if held[0]:
             yield file()
+        to_ids.release()
 
     files = (
         rows.repartitionById(len(bounds) + 1, F.col("part"))

@@ -13,7 +13,7 @@ from .chunks import ChunkEncoder, Index
 
 CHUNKS_PER_CALL = 2000
 #: Chunks, and words, kept at most.
-KNOWN = 500_000
+KNOWN = 400_000
 
 _NUMBER = regex.compile(r"\p{N}")
 #: In front of a chunk without digits this is a token of its own.
@@ -107,4 +107,4 @@ def encoder(definition: str) -> ChunkEncoder:
         each[pairs] = 2
         return words.flat[at], np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(each)])].astype(np.int64)
 
-    return ChunkEncoder(encode, KNOWN)
+    return ChunkEncoder(encode, KNOWN, words.clear)
