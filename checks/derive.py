@@ -29,6 +29,10 @@ ANALYTES = [
     ("Fluoride", 0.0, 10.0),
     ("Zinc", 0.0, 300.0),
     ("Iron", 0.0, 2.0),
+    ("Chromium", 0.0, 3000.0),
+    ("Lead", 0.0, 300.0),
+    ("Manganese", 0.0, 9000.0),
+    ("Nickel", 0.0, 3000.0),
 ]
 SECCHI_INDEX = 8
 # By percent of tax and of discount.
@@ -81,8 +85,13 @@ def _literal(value) -> str:
     return f"'{value}'" if isinstance(value, str) else f"{value}D" if isinstance(value, float) else str(value)
 
 
-def site_name() -> Column:
-    return F.concat(F.lit("S"), F.col("l_suppkey"))
+# Suppliers that stand for sites whose water body is set by hand.
+NAMED_SITES = {7: "RHL", 8: "WDW"}
+
+
+def site_name(key: str = "l_suppkey") -> Column:
+    named = [F.when(F.col(key) == k, name) for k, name in NAMED_SITES.items()]
+    return F.coalesce(*named, F.concat(F.lit("S"), F.col(key)))
 
 
 def sample_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +159,7 @@ def raw_samples(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFr
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four sites per lake."""
     return table(spark, sf_dir, "supplier").select(
-        F.concat(F.lit("S"), F.col("s_suppkey")).alias("StationCode"),
+        site_name("s_suppkey").alias("StationCode"),
         F.concat(F.lit("IL_L"), F.expr("s_suppkey div 4")).alias("AUID"),
     )
 

@@ -36,15 +36,15 @@ def _samples(dense: bool) -> str:
         )
         depth = "l_linenumber * 0.75::DOUBLE"
     else:
-        index = "CAST(l_partkey % 16 + 1 AS INT)"
+        index = f"CAST(l_partkey % {len(derive.ANALYTES)} + 1 AS INT)"
         analyte = f"{_list([a for a, _, _ in derive.ANALYTES])}[{index}]"
         low = f"({_list([lo for _, lo, _ in derive.ANALYTES])}::DOUBLE[])[{index}]"
         span = f"({_list([s for _, _, s in derive.ANALYTES])}::DOUBLE[])[{index}]"
         value = f"{low} + {share} * {span}"
-        depth = f"CASE WHEN l_partkey % 16 = {derive.SECCHI_INDEX} THEN 0.5::DOUBLE ELSE l_linenumber * 0.75::DOUBLE END"
+        depth = f"CASE WHEN l_partkey % {len(derive.ANALYTES)} = {derive.SECCHI_INDEX} THEN 0.5::DOUBLE ELSE l_linenumber * 0.75::DOUBLE END"
     return f"""
 SELECT (l_orderkey * 8 + l_linenumber) * 1048576 + (l_partkey * 7919 + l_suppkey) % 1048576 AS row_id,
-  'S' || l_suppkey AS mlid,
+  CASE l_suppkey WHEN 7 THEN 'RHL' WHEN 8 THEN 'WDW' ELSE 'S' || l_suppkey END AS mlid,
   make_date(CAST(2019 + l_orderkey % 2 AS INT), {MONTH}, 10) AS start_date,
   CAST(l_orderkey * 7 % 86400 AS INT) AS start_time,
   CASE WHEN NOT (l_linenumber = 1 AND l_quantity = 13) THEN {depth} END AS sample_depth,
@@ -98,13 +98,21 @@ def _curve(kind: str) -> str:
     coefficients = {
         "acute": [
             ("CADMIUM", "Dissolved", "exp(-2.918 + 1.128 * lh) * (1.138672 - lh * 0.041838)"),
+            ("CHROMIUM", "Dissolved", "exp(3.688 + 0.8190 * lh) * 0.316"),
             ("COPPER", "Dissolved", "exp(-1.464 + 0.9422 * lh) * 0.960"),
+            ("LEAD", "Dissolved", "exp(-1.301 + 1.273 * lh) * (1.46203 - lh * 0.145712)"),
+            ("MANGANESE", "Dissolved", "exp(4.9187 + 0.7467 * lh) * 0.9812"),
+            ("NICKEL", "Dissolved", "exp(0.5173 + 0.8460 * lh) * 0.998"),
             ("FLUORIDE", "Total", "exp(6.7319 + 0.5394 * lh) / 1000"),
             ("ZINC", "Dissolved", "exp(0.9035 + 0.8473 * lh) * 0.978"),
         ],
         "chronic": [
             ("CADMIUM", "Dissolved", "exp(-3.490 + 0.7852 * lh) * (1.101672 - lh * 0.041838)"),
+            ("CHROMIUM", "Dissolved", "exp(1.561 + 0.8190 * lh) * 8.60"),
             ("COPPER", "Dissolved", "exp(-1.465 + 0.8545 * lh) * 6.7319"),
+            ("LEAD", "Dissolved", "exp(-2.863 + 1.273 * lh) * (1.46203 - lh * 0.145712)"),
+            ("MANGANESE", "Dissolved", "exp(4.0635 + 0.7467 * lh) * 0.9812"),
+            ("NICKEL", "Dissolved", "exp(-2.286 + 0.8460 * lh) * 0.997"),
             (
                 "FLUORIDE",
                 "Total",
@@ -152,7 +160,8 @@ def _durations(q: str, prefix: str, verdict: str, days: int) -> str:
 PARTS: dict[str, str] = {
     "samples": _samples(dense=False),
     "samples_dense": _samples(dense=True),
-    "stations": "SELECT 'S' || s_suppkey AS code, 'IL_L' || (s_suppkey // 4) AS auid FROM supplier",
+    "stations": "SELECT CASE s_suppkey WHEN 7 THEN 'RHL' WHEN 8 THEN 'WDW' ELSE 'S' || s_suppkey END AS code, "
+    "'IL_L' || (s_suppkey // 4) AS auid FROM supplier",
     "standards": "SELECT * REPLACE (CAST(s_acute AS DOUBLE) AS s_acute, CAST(s_chronic AS DOUBLE) AS s_chronic) FROM (VALUES "
     + ", ".join("(" + ", ".join(_text(v) for v in row) + ")" for row in derive.STANDARDS)
     + ") AS t(s_analyte, s_fraction, s_acute, s_acute_units, s_chronic, s_chronic_units)",
@@ -170,7 +179,7 @@ def _prep(suffix: str) -> dict[str, str]:
 SELECT s.* REPLACE (
     regexp_replace(qualifiers, '(?i)Trip ID:.+\\|\\s*', '') AS qualifiers,
     upper(analyte) AS analyte),
-  auid AS "AUID"
+  CASE mlid WHEN 'RHL' THEN 'IL_RHL' WHEN 'WDW' THEN 'IL_WDW' ELSE auid END AS "AUID"
 FROM samples{suffix} s LEFT JOIN stations ON s.mlid = code
 WHERE result_unit NOT LIKE '%/kg'""",
         f"rated{suffix}": f"""
