@@ -24,7 +24,6 @@ from lakeassess.operators.thermocline import thermocline
 from lakeassess.operators.tsi import (
     analyte_year_values,
     site_requirements,
-    parameter_requirements,
     tsi_points,
     tsi_requirements,
     tsi_samples,
