@@ -13,10 +13,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeassess.llm.near_copies import near_copies
 from lakeassess.llm.packing import TOKENIZER, pack_documents
 from lakeassess.llm.quality import fit_lines, judge
 from lakeassess.llm.secret_scan import fit_runs, redact
-from lakeassess.llm.simhash import one_of_each_group
+from lakeassess.llm.simhash import one_of_each
 from lakeassess.llm.store import ship, stored
 from lakeassess.llm.substrings import remove_repeats
 
@@ -40,11 +41,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of every group of near duplicates.
+    """The smallest doc_id of every group of near duplicates: texts whose sets of
+    five-word shingles have a Jaccard similarity of at least 0.8.
 
     Of rows that repeat a doc_id one stays. Rows without doc_id stay.
     """
-    return one_of_each_group(docs.select(*COLUMNS))
+    docs = docs.select(*COLUMNS)
+    return one_of_each(docs, near_copies(docs))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

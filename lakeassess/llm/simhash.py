@@ -41,27 +41,35 @@ CANDIDATES = 24
 NAMELESS = 1 << 62
 
 
-def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Unsigned fingerprint: the bits set in over half the shingles' hashes."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of all runs of ``shingle`` words, or of the whole text if it has fewer."""
     words = text.lower().split()
     if not words:
-        return 0
-    if len(words) < shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if len(words) < shingle:
+        return np.array([digest(line, seed)], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate([[0], ends[:-1]])[: len(words) - shingle + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(line[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
+    return np.array([digest(line[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], dtype="<u8")
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits set in over half the hashes; 0 for none."""
     bits = np.zeros(64, np.int64)
-    values = np.array(hashes, dtype="<u8")
     for k in range(0, len(values), 65536):
         part = values[k : k + 65536].view(np.uint8).reshape(-1, 8)
         bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * bits > len(values), bitorder="little").view("<u8")[0])
 
 
-def add_simhash(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Unsigned fingerprint: the bits set in over half the shingles' hashes."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def add_simhash(df: DataFrame, text: str = "text", id_column: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) with the signed fingerprint of every text; null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +77,7 @@ def add_simhash(df: DataFrame, text: str = "text", id_column: str = "doc_id") ->
             prints = []
             for _, _, data, offsets in blocks(batch.column("text")):
                 raw, bounds = data.tobytes(), offsets.tolist()
-                prints += [simhash(raw[a:b]) for a, b in zip(bounds, bounds[1:])]
+                prints += [simhash(raw[a:b], shingle) for a, b in zip(bounds, bounds[1:])]
             fp = np.array(prints, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
@@ -181,7 +189,13 @@ class Groups:
 def link(points: np.ndarray, at_home: np.ndarray, reach: int) -> np.ndarray:
     """Leader of each fingerprint's group, links being pairs at most ``reach`` apart
     of which at least one is at home."""
-    groups, home = Groups(len(points)), np.flatnonzero(at_home)
+    groups = Groups(len(points))
+    close_pairs(points, np.flatnonzero(at_home), reach, groups.join)
+    return groups.lead
+
+
+def close_pairs(points: np.ndarray, home: np.ndarray, reach: int, found) -> None:
+    """Call ``found`` with pairs of positions at most ``reach`` apart, the second at home."""
     random = np.random.default_rng(SEED)
 
     def search(members: np.ndarray, asking: np.ndarray) -> None:
@@ -194,7 +208,7 @@ def link(points: np.ndarray, at_home: np.ndarray, reach: int) -> np.ndarray:
                 some = asking[k : k + step]
                 near = np.bitwise_count(points[some][:, None] ^ points[members][None, :]) <= reach
                 q, p = np.nonzero(near)
-                groups.join(some[q], members[p])
+                found(some[q], members[p])
             return
         vantage, radius, away = chosen
         far = distance(points[asking], vantage)
@@ -202,7 +216,6 @@ def link(points: np.ndarray, at_home: np.ndarray, reach: int) -> np.ndarray:
         search(members[away > radius], asking[far + reach > radius])
 
     search(home, np.arange(len(points)))
-    return groups.lead
 
 
 LINKS_SCHEMA = "v bigint, m bigint"
@@ -346,7 +359,11 @@ def one_of_each_group(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> Data
     Of rows that repeat a doc_id one stays, the first by a hash of its text. A row
     without doc_id can't be told from others and stays.
     """
-    found = near_duplicates(docs, max_distance)
+    return one_of_each(docs, near_duplicates(docs, max_distance))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``one_of_each_group`` for given groups (doc_id, component_id)."""
     going = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__goes")).distinct()
     named = docs.where(F.col("doc_id").isNotNull())
     rest = named.join(going, named["doc_id"] == going["__goes"], "left_anti")
