@@ -7,8 +7,8 @@ last byte, which is made to be that separator: the high byte of a member's
 length, zero below 16 MiB, or of an empty member put behind larger ones.
 
 The reader trusts nothing: a member must decompress and match its checksum, a
-record must have a version line, a length that fits, and its digests. After a
-failed check it looks for the next place a member or a version line begins that
+record must have a version line, a length that fits, and its digests. Records of a
+damaged member count by their own digests. After a failed check it looks for the next place a member or a version line begins that
 passes, and reports the bytes between as quarantined.
 """
 
@@ -162,16 +162,52 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     members.write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def _unpack(content: memoryview, at: int) -> tuple[bytes, int] | None:
-    """Data of the gzip member at a position and where it ends, or None."""
+def _unpack(content: memoryview, at: int) -> tuple[bytes, int, bool]:
+    """Data of the gzip member at a position, where it ends, and whether it is whole.
+    Of a damaged member, the data before the damage and where that shows."""
     unpacker, out, fed = zlib.decompressobj(31), [], at
     try:
         while not unpacker.eof and fed < len(content):
             out.append(unpacker.decompress(content[fed : fed + _STEP]))
             fed += _STEP
     except zlib.error:
-        return None
-    return (b"".join(out), min(fed, len(content)) - len(unpacker.unused_data)) if unpacker.eof else None
+        # The failed call gave nothing back: again, and its bytes one by one.
+        unpacker = zlib.decompressobj(31)
+        for k in range(at, fed, _STEP):
+            unpacker.decompress(content[k : k + _STEP])
+        try:
+            while True:
+                out.append(unpacker.decompress(content[fed : fed + 1]))
+                fed += 1
+        except zlib.error:
+            return b"".join(out), fed, False
+    return b"".join(out), min(fed, len(content)) - len(unpacker.unused_data), unpacker.eof
+
+
+def _records(data: bytes, whole: bool) -> Iterator[tuple[int, int, tuple[dict[str, str], bytes] | None]]:
+    """(start, end, headers and block) of the records in a member's data, with None
+    for what lies between. Of a damaged member only records with a digest count, and
+    not one that ends where the data does."""
+    at, lost = 0, None
+    while at < len(data):
+        record = _record(data, at)
+        if record is not None and not whole:
+            marks = {"warc-block-digest"} | ({"warc-payload-digest"} if record[0].get("warc-type") == "response" else set())
+            if record[2] == len(data) or not marks & record[0].keys():
+                record = None
+        if record is None:
+            lost = at if lost is None else lost
+            at = data.find(VERSION[:7], at + 1)
+            if at < 0:
+                break
+            continue
+        if lost is not None:
+            yield lost, at, None
+            lost = None
+        yield at, record[2], record[:2]
+        at = record[2]
+    if lost is not None:
+        yield lost, len(data), None
 
 
 def _record(data, at: int) -> tuple[dict[str, str], bytes, int] | None:
@@ -200,27 +236,35 @@ def _record(data, at: int) -> tuple[dict[str, str], bytes, int] | None:
     return headers, block, end + len(RECORD_END)
 
 
-def salvage(content: bytes) -> Iterator[Record | tuple[int, int]]:
+def salvage(content: bytes) -> Iterator[Record | tuple[int, ...]]:
     """Records of an archive in order, and the byte gaps (start, end) between them
-    that held no valid one. Plain and compressed records may be mixed."""
+    that held no valid one. Plain and compressed records may be mixed.
+
+    A gap inside a whole member is (start, end, inner start, inner end): the bytes of
+    the member, and those of its data. A damaged member gives the records before the
+    damage, then a gap from its start to the next valid record.
+    """
     at, lost, view = 0, None, memoryview(content)
+    saved, until = [], 0  # records of a damaged member, and where its data ended
     while at < len(content):
         found, end = [], at
         if content.startswith(GZIP, at):
-            unpacked = _unpack(view, at)
-            if unpacked is not None:
-                data, end = unpacked
-                inner = 0
-                while inner < len(data):
-                    record = _record(data, inner)
-                    if record is None:
-                        end = at  # a damaged record: the member is not trusted
-                        break
-                    found.append(Record(at, end, record[0], record[1]))
-                    inner = record[2]
+            data, stop, whole = _unpack(view, at)
+            parts = list(_records(data, whole))
+            good = [Record(at, stop, *record) for _, _, record in parts if record is not None]
+            if whole and (good or not data):
+                end = stop
+                found = [(at, stop, a, b) if record is None else Record(at, stop, *record) for a, b, record in parts]
+            elif good and at >= until:
+                if lost is not None:
+                    yield lost, at
+                    lost = None
+                yield from good
+                saved, until = [(r.headers, r.block) for r in good], stop
         elif content.startswith(VERSION[:7], at):
             record = _record(content, at)
-            if record is not None:
+            # Data stored uncompressed in a damaged member shows again as plain records.
+            if record is not None and not (at < until and record[:2] in saved):
                 end = record[2]
                 found.append(Record(at, end, record[0], record[1]))
         if end > at:
@@ -258,7 +302,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
     def rows(name: str, content: bytes) -> Iterator[tuple]:
         for item in salvage(content):
             if isinstance(item, tuple):
-                yield (name, *item, True, *[None] * (len(names) - 4))
+                yield (name, *item[:2], True, *[None] * (len(names) - 4))
                 continue
             headers, (http, body) = item.headers, item.http
             kind = headers.get("warc-type")

@@ -94,3 +94,29 @@ def test_empty_table(spark):
     path = shared_path(spark, "test-warc")
     write_warc(spark.createDataFrame([], SCHEMA), path)
     assert read_warc(spark, path).count() == 0
+
+
+def test_damaged_record_in_a_member_of_many():
+    parts = archive(5, packed=False)
+    whole = b"".join(parts)
+    parts[2] = parts[2].replace(b"<p>2</p>", b"<p>x</p>", 1)
+    one = member(b"".join(parts))
+    a = sum(map(len, parts[:2]))
+    ids = [f"<urn:page:{i}>" for i in range(5)]
+    assert names(member(whole)) == ids
+    assert names(one + member(parts[0])) == [*ids[:2], (0, len(one), a, a + len(parts[2])), *ids[3:], ids[0]]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_member_of_many_cut_or_with_a_wrong_checksum(level):
+    parts = archive(40, packed=False)
+    one, other = member(b"".join(parts), level), member(parts[0])
+    ids = [f"<urn:page:{i}>" for i in range(40)]
+    wrong = one[:-8] + bytes([one[-8] ^ 255]) + one[-7:]
+    kept = [x for x in names(wrong + other) if isinstance(x, str)]
+    # Stored uncompressed, the last record shows as a plain one too; none comes twice.
+    assert kept == [*ids[: 40 if level == 0 else 39], ids[0]]
+    for tail, more in ((b"", []), (other, ids[:1])):
+        found = names(one[:-20] + tail)
+        kept = [x for x in found if isinstance(x, str)]
+        assert kept in ([*ids[:38], *more], [*ids[:39], *more]) and (0, len(one) - 20) in found
