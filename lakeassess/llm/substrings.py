@@ -1,8 +1,9 @@
-"""Repeated word passages, found by doubling the length of repeated windows.
+"""Repeated word passages, found by filtering windows through their seeds.
 
-A window can only be repeated if the shorter windows in it are. Level by level,
-windows repeated in other documents at one length are the candidates for twice
-that length; a level without repeats ends the search.
+A window can only be repeated if the shorter windows in it are. ``remove_repeats``
+goes from seeds to full windows in one step. ``longest_repeats`` alone doubles the
+length: windows repeated at one length are the candidates for twice that length; a
+level without repeats ends the search.
 
 The first level, ``SEED`` words, is read at few places: in every full window the
 seed with the smallest hash is chosen, and equal windows choose equal seeds, so
