@@ -11,6 +11,7 @@ from .alignment import op12_alignment
 from .bpe import op2_byte_bpe
 from .conversations import op11_conversations
 from .elias_fano import op7_token_files
+from .embeddings import op13_embeddings
 from .fingerprints import op1_fingerprints
 from .packing import op6_packing
 from .quality import op10_quality
@@ -32,5 +33,5 @@ def _query(run: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES = {run.__name__: _query(run) for run in (
-        op1_fingerprints, op2_byte_bpe, op3_warc, op4_secrets, op5_simhash, op6_packing, op7_token_files, op8_toxicity, op9_substrings, op10_quality, op11_conversations, op12_alignment)}
+        op1_fingerprints, op2_byte_bpe, op3_warc, op4_secrets, op5_simhash, op6_packing, op7_token_files, op8_toxicity, op9_substrings, op10_quality, op11_conversations, op12_alignment, op13_embeddings)}
 SQL: dict[str, str] = {}
