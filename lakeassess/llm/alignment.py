@@ -20,6 +20,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -37,9 +38,15 @@ SECOND = "piece_bpe_32k.model"
 #: Text of a block of documents, in bytes; a longer document is a block.
 BLOCK_TEXT = 8 << 20
 #: Chunks and links known at most before a worker starts anew.
-KNOWN = 200_000
-KNOWN_LINKS = 3_000_000
-CHUNKS_PER_CALL = 4000
+KNOWN = 400_000
+KNOWN_LINKS = 4_000_000
+CHUNKS_PER_CALL = 2000
+#: Signs cut off a word.
+SIGNS = ".,!#*$%&"
+#: Marks no text can hold: a part that follows a letter, and a text taken whole.
+_SIGNED, _WHOLE = "\ud801", "\ud800"
+#: Stands in front of parts that are encoded together.
+_CARRIER = " a"
 _ID_BITS = 24
 
 
@@ -66,24 +73,20 @@ class _First:
             self.entries[i] = entry.encode() if None in known else bytes(known)
         self.sizes = np.array([len(e) for e in self.entries], np.int64)
 
-    def spans(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(flat ids, tokens of each text, byte ends over the joined texts)."""
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        counts = np.array([len(e.ids) for e in found], np.int64)
-        ids = np.array([i for e in found for i in e.ids], np.int64)
-        offsets = np.array([o for e in found for o in e.offsets], np.int64).reshape(-1, 2)
-        letters = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text, and the byte behind each token."""
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        ids = np.array(found.ids, np.int64)
+        offsets = np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
+        letters = np.frombuffer(text.encode("utf-32-le"), "<u4")
         width = 1 + (letters > 0x7F).astype(np.int64) + (letters > 0x7FF) + (letters > 0xFFFF)
-        places = np.concatenate([[0], np.cumsum(width)])
-        firsts = np.cumsum([0, *(len(t) for t in texts)])[:-1]
-        offsets += np.repeat(firsts, counts)[:, None]
-        coarse = places[offsets[:, 1]]
+        coarse = np.concatenate([[0], np.cumsum(width)])[offsets[:, 1]]
         # Tokens that share a character with the one before or behind are told by their bytes.
         shared = np.zeros(len(ids), bool)
         touch = offsets[1:, 0] < offsets[:-1, 1]
         shared[1:] |= touch
         shared[:-1] |= touch
-        return ids, counts, np.where(shared, np.cumsum(self.sizes[ids]), coarse)
+        return ids, np.where(shared, np.cumsum(self.sizes[ids]), coarse)
 
 
 class _Second:
@@ -97,70 +100,23 @@ class _Second:
         self.fallback = np.array([bool(re.fullmatch("<0x[0-9A-F]{2}>", p)) for p in pieces])
         self.entries = [bytes([int(p[3:5], 16)]) if b else p.replace("▁", " ").encode() for p, b in zip(pieces, self.fallback)]
         self.sizes = np.array([len(e) for e in self.entries], np.int64)
-        self.space = pieces.index("▁")
-        #: A text may be encoded in chunks if no piece reaches over their border.
-        self.cuts = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
-
-    def spans(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """As ``_First.spans``; a leading space of a text is the one this library adds."""
-        found = self.processor.encode([t.removeprefix(" ") for t in texts], return_type="proto", num_threads=1)
-        ids, ends, counts, base = [], [], [], 0
-        for text, one in zip(texts, found):
-            pieces = [(p.id, p.end) for p in one.pieces]
-            added = text[:1] == " "
-            if not added and pieces and pieces[0][0] == self.space:
-                pieces = pieces[1:]  # the space added before a line end
-            ids += [i for i, _ in pieces]
-            ends += [base + added + e for _, e in pieces]
-            counts.append(len(pieces))
-            base += len(text.encode())
-        ids = np.array(ids, np.int64)
-        coarse = np.array(ends, np.int64)
+        #: A text may be encoded in parts if no piece reaches over their borders.
+        borders = ((x, y) for p in pieces for x, y in zip(p, p[1:]))
+        self.cuts = not any(y == "▁" != x or y in SIGNS and x.isalpha() for x, y in borders) and "\n" not in "".join(pieces)
+
+    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_First.spans``, for a text that starts with the space this library adds."""
+        pieces = self.processor.encode(text[1:], return_type="proto", num_threads=1).pieces
+        ids = np.fromiter((p.id for p in pieces), np.int64, len(pieces))
+        coarse = np.fromiter((p.end for p in pieces), np.int64, len(pieces)) + 1
         # Byte pieces share a character; its span is told for the last of them only.
-        return ids, np.array(counts, np.int64), np.where(self.fallback[ids], np.cumsum(self.sizes[ids]), coarse)
+        return ids, np.where(self.fallback[ids], np.cumsum(self.sizes[ids]), coarse)
 
 
 def _joined(entries: list[bytes], ids: np.ndarray) -> bytes:
     return b"".join(map(entries.__getitem__, ids.tolist()))
 
 
-class Aligned:
-    """Alignment of texts: per text token and group counts, whether its bytes came
-    back, ``a,b|c;...`` groups as text, and codes of linked ids."""
-
-    def __init__(self, first: _First, second: _Second, texts: list[str]):
-        raw = [t.encode() for t in texts]
-        bounds = np.cumsum([0, *(len(r) for r in raw)])
-        sides = [(side, *side.spans(texts)) for side in (first, second)]
-        good = np.ones(len(texts), bool)
-        for side, ids, counts, ends in sides:
-            last = np.concatenate([[0], np.cumsum(counts)])
-            whole = b"".join(raw)
-            if _joined(side.entries, ids) != whole or not np.array_equal(np.cumsum(side.sizes[ids])[last[1:][counts > 0] - 1], bounds[1:][counts > 0]):
-                for i in range(len(texts)):
-                    good[i] &= _joined(side.entries, ids[last[i] : last[i + 1]]) == raw[i]
-        if not good.all():
-            # The rest is aligned without the texts whose bytes did not come back.
-            rest = Aligned(first, second, [t for t, g in zip(texts, good) if g]) if good.any() else None
-            self.good = good
-            self.n_a, self.n_b, self.n_groups = (np.zeros(len(texts), np.int64) for _ in range(3))
-            self.groups: list[str] = [""] * len(texts)
-            self.codes = rest.codes if rest else np.zeros(0, np.int64)
-            if rest:
-                self.n_a[good], self.n_b[good], self.n_groups[good] = rest.n_a, rest.n_b, rest.n_groups
-                for i, own in zip(np.flatnonzero(good).tolist(), rest.groups):
-                    self.groups[i] = own
-            return
-        (_, a, self.n_a, ends_a), (_, b, self.n_b, ends_b) = sides
-        self.good = good
-        cuts, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        self.codes = (a[at_a] << _ID_BITS) | b[at_b]
-        of_text = np.searchsorted(cuts, bounds, side="right")
-        self.n_groups = np.diff(of_text)
-        groups = [f"{x}|{y}" for x, y in zip(_runs(a, at_a), _runs(b, at_b))]
-        self.groups = [";".join(groups[x:y]) for x, y in zip(of_text.tolist(), of_text[1:].tolist())]
-
-
 def _runs(ids: np.ndarray, last: np.ndarray) -> list[str]:
     """Ids between consecutive places, joined by commas."""
     names, ends = list(map(str, ids.tolist())), (last + 1).tolist()
@@ -168,39 +124,125 @@ def _runs(ids: np.ndarray, last: np.ndarray) -> list[str]:
 
 
 class Aligner:
-    """Aligns whole blocks of texts through a table of known chunks, kept by a worker."""
+    """Aligns whole blocks of texts through a table of known parts, kept by a worker.
+
+    A text is cut into chunks, and a chunk into parts: a word, and the signs behind
+    it. Neither tokenizer joins a letter to a sign, which is looked up in the
+    vocabulary. Many parts are encoded as one text, so long as a cut lies between
+    any two; where one does not, or the bytes differ, they are taken in halves.
+    """
 
     def __init__(self, first: _First, second: _Second):
         self.first, self.second = first, second
         self.clear()
 
     def clear(self) -> None:
-        self.index = Index()
+        self.chunks, self.parts = Index(), Index()
+        self.of_chunk, self.chunk_ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.loose = np.zeros(0, bool)
         self.pairs: dict[int, int] = {}
         self.codes: list[int] = []
         self.groups: list[str] = []
-        self.loose, self.good = np.zeros(0, bool), np.zeros(0, bool)
-        self.counts = np.zeros((0, 3), np.int64)
+        self.good, self.counts = np.zeros(0, bool), np.zeros((0, 3), np.int64)
         self.links, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def _add(self, texts: list[str]) -> None:
-        found = Aligned(self.first, self.second, texts)
-        pairs, codes = self.pairs, found.codes.tolist()
+    def full(self) -> bool:
+        return len(self.chunks) > KNOWN or self.ends[-1] > KNOWN_LINKS
+
+    def _together(self, texts: list[str], real: list[bool]) -> tuple | None:
+        """(good, counts, groups, codes) of the real ones of neighbouring texts, or None."""
+        text = "".join(texts)
+        raw = text.encode()
+        (a, ends_a), (b, ends_b) = self.first.spans(text), self.second.spans(text)
+        if _joined(self.first.entries, a) != raw or _joined(self.second.entries, b) != raw:
+            return None
+        bounds = np.cumsum([0, *(len(t.encode()) for t in texts)])
+        cuts, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        of_text = np.searchsorted(cuts, bounds, side="right")
+        if not np.array_equal(cuts[of_text[1:] - 1], bounds[1:]):
+            return None
+        counts = np.stack([np.diff(np.searchsorted(e, bounds, side="right")) for e in (ends_a, ends_b, cuts)], axis=1)
+        groups = [f"{x}|{y}" for x, y in zip(_runs(a, at_a), _runs(b, at_b))]
+        groups = [";".join(groups[x:y]) for x, y, r in zip(of_text.tolist(), of_text[1:].tolist(), real) if r]
+        kept = np.array(real)
+        codes = ((a[at_a] << _ID_BITS) | b[at_b])[np.repeat(kept, counts[:, 2])]
+        return np.ones(len(groups), bool), counts[kept], groups, codes
+
+    def _aligned(self, parts: list[str]) -> list[tuple]:
+        """Results of ``_together`` that cover all parts."""
+        texts, real = [_CARRIER], [False]
+        for part in parts:
+            if part[0] == _SIGNED:
+                texts += (_CARRIER, part[1:])
+                real += (False, True)
+            else:
+                texts.append(part)
+                real.append(True)
+        found = self._together(texts, real)
+        if found:
+            return [found]
+        if len(parts) == 1:
+            found = self._together(parts, [True]) if parts[0][0] == " " else None
+            return [found or (np.zeros(1, bool), np.zeros((1, 3), np.int64), [""], np.zeros(0, np.int64))]
+        half = len(parts) // 2
+        return self._aligned(parts[:half]) + self._aligned(parts[half:])
+
+    def _add(self, parts: list[str], alone: bool = False) -> None:
+        if alone:
+            found = [self._together(parts, [True]) or (np.zeros(1, bool), np.zeros((1, 3), np.int64), [""], np.zeros(0, np.int64))]
+        else:
+            found = self._aligned(parts)
+        good, counts, groups, codes = zip(*found)
+        pairs, codes = self.pairs, np.concatenate(codes).tolist()
         for code in codes:
             if code not in pairs:
                 pairs[code] = len(pairs)
                 self.codes.append(code)
         links = np.fromiter(map(pairs.__getitem__, codes), np.int32, len(codes))
+        counts = np.concatenate(counts)
         self.links = np.concatenate([self.links, links])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(found.n_groups)])
-        self.counts = np.concatenate([self.counts, np.stack([found.n_a, found.n_b, found.n_groups], axis=1)])
-        self.good = np.concatenate([self.good, found.good])
-        self.loose = np.concatenate([self.loose, np.array([t[-1:].isspace() for t in texts], bool)])
-        self.groups += found.groups
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts[:, 2])])
+        self.counts = np.concatenate([self.counts, counts])
+        self.good = np.concatenate([self.good, *good])
+        for own in groups:
+            self.groups += own
+
+    def _learn(self) -> None:
+        """Cut new chunks into parts and align the new ones of these."""
+        new, self.chunks.new = self.chunks.new, []
+        if not new:
+            return
+        names, sizes = [], []
+        for chunk in new:
+            word = chunk.rstrip(SIGNS)
+            if word is not chunk and word[-1:].isalpha():
+                names += (word, _SIGNED + chunk[len(word) :])
+                sizes.append(2)
+            else:
+                names.append(chunk)
+                sizes.append(1)
+        numbers = np.fromiter(map(self.parts.__getitem__, names), np.int64, len(names))
+        self.of_chunk = np.concatenate([self.of_chunk, numbers])
+        self.chunk_ends = np.concatenate([self.chunk_ends, self.chunk_ends[-1] + np.cumsum(sizes)])
+        self.loose = np.concatenate([self.loose, np.array([not c or c[-1].isspace() for c in new], bool)])
+        parts, self.parts.new = self.parts.new, []
+        texts = [p if p[:1] in ("\n", _SIGNED) else " " + p for p in parts]
+        # One that ends in white space, or holds the sign for it, is taken alone.
+        odd = [p[-1:].isspace() or "▁" in p for p in texts]
+        at = 0
+        while at < len(texts):
+            end = at + 1
+            while not odd[at] and end < min(len(texts), at + CHUNKS_PER_CALL) and not odd[end]:
+                end += 1
+            self._add(texts[at:end])
+            at = end
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
-        """Chunk numbers of each text; none for an empty one or one whose bytes don't come back."""
-        if len(self.index) > KNOWN or self.ends[-1] > KNOWN_LINKS:
+        """Part numbers of each text; none for an empty one or one whose bytes don't come back.
+
+        The table is emptied first if it is full.
+        """
+        if self.full():
             self.clear()
         chunks: list[str] = []
         ends = []
@@ -208,27 +250,23 @@ class Aligner:
             if text:
                 chunks += text.replace("\n", " \n").split(" ") if self.second.cuts else [text]
             ends.append(len(chunks))
-        numbers = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
-        new, self.index.new = self.index.new, []
-        for k in range(0, len(new), CHUNKS_PER_CALL):
-            self._add([c if c[:1] == "\n" else " " + c for c in new[k : k + CHUNKS_PER_CALL]])
-        runs = [numbers[x:y] for x, y in zip([0, *ends], ends)]
-        loose, bad = self.loose[numbers], ~self.good[numbers]
-        for i, (x, y) in enumerate(zip([0, *ends], ends)):
-            if x == y:
-                continue
+        numbers = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
+        self._learn()
+        flat, part_ends = gather(self.of_chunk, self.chunk_ends, numbers)
+        part_ends = np.concatenate([[0], part_ends])
+        loose, bad = self.loose[numbers], ~self.good[flat]
+        runs = []
+        for text, x, y in zip(texts, [0, *ends], ends):
+            own = slice(part_ends[x], part_ends[y])
             # White space at a border may be one token with what follows.
-            if loose[x : y - 1].any() or texts[i][:1] == "\n" or texts[i][-1] == " ":
-                key = "\ud800" + texts[i]  # no text holds this mark
-                number = self.index[key]
-                if self.index.new:
-                    self.index.new = []
-                    self._add([" " + texts[i]])
-                runs[i] = np.array([number], np.int64)
-                if not self.good[number]:
-                    runs[i] = runs[i][:0]
-            elif bad[x:y].any():
-                runs[i] = runs[i][:0]
+            if x < y and (loose[x : y - 1].any() or text[0] == "\n" or text[-1] == " "):
+                number = self.parts[_WHOLE + text]
+                if self.parts.new:
+                    self.parts.new = []
+                    self._add([" " + text], alone=True)
+                runs.append(np.array([number] if self.good[number] else [], np.int64))
+            else:
+                runs.append(flat[own] if not bad[own].any() else flat[:0])
         return runs
 
 
@@ -292,7 +330,7 @@ def align_blocks(docs: DataFrame, first_path: str, second_path: str) -> DataFram
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             for start, end, data, offsets in blocks(batch.column("text")):
-                if runs and (size + len(data) > BLOCK_TEXT or len(own.index) > KNOWN or own.ends[-1] > KNOWN_LINKS):
+                if runs and (size + len(data) > BLOCK_TEXT or own.full()):
                     yield _block_rows(own, number, ids, runs)
                     number, size, ids, runs = number + 1, 0, [], []
                 # The table is emptied between blocks only, when nothing points into it.
