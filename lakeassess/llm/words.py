@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BLOCK_BYTES = 2 << 20
 BLOCK_ROWS = 4096
@@ -19,10 +20,10 @@ BLOCK_ROWS = 4096
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_powers: dict[int, np.ndarray] = {}
+#: Longer spans are hashed by the library.
+LONG_SPAN = 4096
 
 
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES, rows: int = BLOCK_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -57,26 +58,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_table(base: int, length: int) -> np.ndarray:
-    table = _powers.get(base)
-    if table is None or len(table) < length:
-        table = np.full(max(length, BLOCK_BYTES + 1), base, dtype=np.uint64)
-        table[0] = 1
-        np.multiply.accumulate(table, out=table)
-        if len(table) <= BLOCK_BYTES + 1:
-            _powers[base] = table  # longer ones belong to one huge text
-    return table
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every span of bytes, from one prefix sum over all of them."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-    terms = (data.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, len(data))[: len(data)]
-    np.cumsum(terms, out=prefix[1:])
-    raw = (prefix[ends] - prefix[starts]) * _power_table(_INVERSE, len(data))[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * _STEP)
+    """64-bit hash of every span of bytes: eight bytes at a time, mixed into what came before.
+
+    Each step is a bijection of what it mixes in, so there are no families of equal
+    hashes as a polynomial has them. Very long spans are hashed one by one.
+    """
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) * _STEP + _BASE)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    live = np.flatnonzero(sizes <= LONG_SPAN)
+    at, left = starts[live], sizes[live]
+    while len(live):
+        lane = lanes[at]
+        short = left < 8
+        lane[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[live] = mix(out[live] ^ (lane * _STEP))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(sizes > LONG_SPAN).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
 
 
 class Words:

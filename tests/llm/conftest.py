@@ -33,3 +33,10 @@ def long_text(seed, n=60):
 
     r = random.Random(seed)
     return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(n))
+
+
+def mirrored_words():
+    """Two words of 1,024 letters, a sequence and its complement, that polynomial hashes
+    modulo a power of two cannot tell apart."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)

@@ -10,7 +10,7 @@ import pytest
 from lakeassess.llm.quality import N_FEATURES, Lines, LineModel, fit, fit_lines, judge, measure, op10_quality, viterbi
 from lakeassess.llm.words import joined
 
-from .conftest import long_text, words_of
+from .conftest import long_text, mirrored_words, words_of
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -98,3 +98,9 @@ def test_good_documents_stay_and_bad_ones_go(spark):
     good = [r["kept"] for r in passed if labels[r["doc_id"]] == 1]
     bad = [r["kept"] for r in passed if labels[r["doc_id"]] == 0]
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.1
+
+
+def test_mirrored_lines_are_different():
+    one, other = mirrored_words()
+    counts, _ = measure(*joined([f"{one}\n{other}\n{one}".encode()]))
+    assert counts["n_dup_lines"].tolist() == [1]

@@ -5,7 +5,7 @@ import pytest
 
 from lakeassess.llm import substrings as S
 
-from .conftest import long_text, words_of
+from .conftest import long_text, mirrored_words, words_of
 
 
 def brute(texts, size=13):
@@ -105,3 +105,10 @@ def test_query(spark, tmp_path, documents):
     rows = {r["doc_id"]: r for r in S.op9_substrings(spark, str(tmp_path)).collect()}
     assert rows[1]["n_removed"] == 0 and rows[2]["n_removed"] == rows[2]["n_words"] == 60
     assert rows[2]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_mirrored_words_are_different(spark, documents):
+    one, other = mirrored_words()
+    shared = " ".join(f"w{i}" for i in range(12))
+    rows = S.remove_repeats(documents({1: f"{shared} {one}", 2: f"{shared} {other}", 3: f"{shared} {one}"})).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in rows} == {1: 0, 2: 0, 3: 13}
