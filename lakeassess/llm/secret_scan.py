@@ -43,14 +43,18 @@ UNIFORM_ORDINARY = 0.05
 PSEUDO = 20
 
 SPAN = "struct<start:int,kind:int,end:int>"
+VALUED = "struct<start:int,kind:int,end:int,value:string>"
 _NONE = "array()"
+#: Matches taken together.
+SLICE = 256
 
 
 def _found(text: Column, pattern: str, shape, kind: str, present: str | None = None) -> Column:
     """Array of ``shape(match, start, end)`` for all matches that ``shape`` gives a value.
 
-    Starts come from the lengths of what lies between matches. ``present`` is a
-    quicker pattern every text with a wanted match has.
+    Starts come from the lengths of what lies between matches. Appending to a list
+    copies it, so matches are taken in slices, and the time of one text grows with
+    its length. ``present`` is a quicker pattern every text with a wanted match has.
     """
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
     empty = F.expr(_NONE).cast(f"array<{kind}>")
@@ -62,30 +66,55 @@ def _found(text: Column, pattern: str, shape, kind: str, present: str | None = N
         out = F.when(value.isNotNull(), F.concat(seen["out"], F.array(value))).otherwise(seen["out"])
         return F.when(x["1"].isNull(), seen).otherwise(F.struct(end.alias("at"), out.alias("out")))
 
-    all_ = F.aggregate(
-        F.transform(zipped, lambda z: F.struct(z["gap"].alias("0"), z["match"].alias("1"))),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        step,
-        lambda seen: seen["out"],
-    )
+    pairs = F.transform(zipped, lambda z: F.struct(z["gap"].alias("0"), z["match"].alias("1")))
+
+    def length(pair: Column) -> Column:
+        return F.char_length(pair["0"]) + F.coalesce(F.char_length(pair["1"]), F.lit(0))
+
+    def slices(all_: Column) -> Column:
+        last = F.greatest(F.lit(0), F.floor((F.size(all_) - 1) / SLICE).cast("int"))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(all_, i * SLICE + 1, SLICE))
+
+    def starts(parts: Column) -> Column:
+        return F.aggregate(
+            parts,
+            F.struct(F.lit(0).alias("at"), F.expr(_NONE).cast("array<int>").alias("out")),
+            lambda seen, part: F.struct(
+                (seen["at"] + F.aggregate(part, F.lit(0), lambda sum_, x: sum_ + length(x))).alias("at"),
+                F.concat(seen["out"], F.array(seen["at"])).alias("out"),
+            ),
+            lambda seen: seen["out"],
+        )
+
+    def of_slice(part: Column, start: Column) -> Column:
+        return F.aggregate(part, F.struct(start.alias("at"), empty.alias("out")), step, lambda seen: seen["out"])
+
+    # A lambda's variable is computed once, where an expression would be once a call.
+    parts = F.transform(F.array(pairs), slices)
+    all_ = F.flatten(F.flatten(F.transform(parts, lambda p: F.zip_with(p, starts(p), of_slice))))
     return F.when(text.rlike(present or pattern), all_).otherwise(empty)
 
 
-def _span(kind: str, wanted):
+def _span(kind: str, wanted, value=None):
     number = KINDS.index(kind)
 
     def shape(match: Column, start: Column, end: Column) -> Column:
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
-        return F.when(wanted(match), span)
+        parts = [start.alias("start"), F.lit(number).alias("kind"), end.alias("end")]
+        return F.when(wanted(match), F.struct(*parts, *([value(match).alias("value")] if value else [])))
 
     return shape
 
 
 def base_spans(text: Column) -> Column:
     """Spans of the three patterns, by start, then kind; leftmost per kind, without overlap."""
-    assign = _found(text, ASSIGN, _span("assign", lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LENGTH), SPAN)
-    access = _found(text, ACCESS, _span("access", lambda m: F.char_length(m) >= ACCESS_LENGTH), SPAN)
-    hex_ = _found(text, HEX, _span("hex", lambda m: F.char_length(m) >= HEX_LENGTH), SPAN, "[0-9a-f]{%d}" % HEX_LENGTH)
+    return _base(text, SPAN)
+
+
+def _base(text: Column, kind: str, whole=None, assigned=None) -> Column:
+    """``base_spans``, with the value of each span where functions of a match are given."""
+    assign = _found(text, ASSIGN, _span("assign", lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LENGTH, assigned), kind)
+    access = _found(text, ACCESS, _span("access", lambda m: F.char_length(m) >= ACCESS_LENGTH, whole), kind)
+    hex_ = _found(text, HEX, _span("hex", lambda m: F.char_length(m) >= HEX_LENGTH, whole), kind, "[0-9a-f]{%d}" % HEX_LENGTH)
     return F.array_sort(F.concat(assign, access, hex_))
 
 
@@ -100,10 +129,25 @@ def _runs(text: Column) -> Column:
 
 
 def _apart(runs: Column, spans: Column) -> Column:
-    """Runs that no span overlaps."""
-    return F.when(F.size(spans) == 0, runs).otherwise(
-        F.filter(runs, lambda r: ~F.exists(spans, lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"])))
-    )
+    """Runs that no span overlaps. Spans of one kind lie apart and in order, so the last
+    that starts before a run ends tells, found by halving."""
+    kinds = F.struct(*(F.filter(spans, lambda s, k=k: s["kind"] == k).alias(kind) for k, kind in enumerate(KINDS[:3])))
+
+    def overlapped(run: Column, own: Column) -> Column:
+        count = F.size(own)
+        steps = F.sequence(F.ceil(F.log2(count + 1)).cast("int"), F.lit(0), F.lit(-1))
+
+        def further(at: Column, k: Column) -> Column:
+            to = at + F.pow(F.lit(2), k).cast("int")
+            return F.when(F.get(own, to - 1)["start"] < run["end"], to).otherwise(at)
+
+        last = F.get(own, F.aggregate(steps, F.lit(0), further) - 1)
+        return F.coalesce(last["end"] > run["start"], F.lit(False))
+
+    def kept(by: Column) -> Column:
+        return F.filter(runs, lambda r: ~(overlapped(r, by["assign"]) | overlapped(r, by["access"]) | overlapped(r, by["hex"])))
+
+    return F.when(F.size(spans) == 0, runs).otherwise(F.flatten(F.transform(F.array(kinds), kept)))
 
 
 @dataclass(frozen=True)
@@ -136,15 +180,13 @@ def fit_runs(docs: DataFrame) -> RunModel:
     What reaches the driver are counts of at most 2 x 68 x 68 pairs. Without any
     random or ordinary run the uniform model stands in.
     """
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("base", base_spans(F.col("text")))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     text, base = F.col("text"), F.col("base")
-
-    def value(span: Column) -> Column:
-        match = F.substring(text, span["start"] + 1, span["end"] - span["start"])
-        return F.when(span["kind"] == 0, F.regexp_extract(match, ASSIGN, 2)).otherwise(match)
+    found = _base(text, VALUED, lambda m: m, lambda m: F.regexp_extract(m, ASSIGN, 2))
+    rows = rows.withColumn("base", found)
 
     runs = F.concat(
-        F.transform(base, lambda s: F.struct(F.lit(1).alias("random"), value(s).alias("run"))),
+        F.transform(base, lambda s: F.struct(F.lit(1).alias("random"), s["value"].alias("run"))),
         F.transform(F.filter(_apart(_runs(text), base), lambda r: ~r["run"].rlike(MIXED)), lambda r: F.struct(F.lit(0).alias("random"), r["run"].alias("run"))),
     )
     each = rows.select(F.explode(runs).alias("r")).select("r.*")

@@ -73,3 +73,12 @@ def test_query(spark, tmp_path, documents):
     one = next(r for r in rows if r["doc_id"] == 1)
     assert (one["n_assign"], one["n_access"], one["n_hex"]) == (1, 1, 1)
     assert one["base_sha256"] == hashlib.sha256(base(TEXTS[3]).encode()).hexdigest()
+
+
+def test_one_very_long_text(documents):
+    """Time grows with the length of a text, and spans lie where they lie."""
+    text = "\n".join(f"{t} é plain_identifier_{i} words" for i in range(3_000) for t in TEXTS.values() if t and len(t) < 90)
+    assert len(text) > 1_000_000
+    docs = documents({1: text})
+    row = find_secrets(docs, fit_runs(docs)).select(as_text("base_spans")).head()
+    assert row[0] == base(text)
