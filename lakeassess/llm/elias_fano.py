@@ -19,6 +19,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .store import partitions, range_bounds, range_of, shared_path, stored
 from .tokens import encoder
@@ -150,7 +151,8 @@ class TokenFile:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> None:
     """Encode texts and write token files under ``path``, documents in ascending doc_id.
 
-    Documents are dealt to ranges of doc_id and sorted there; a range becomes one
+    Texts are encoded where they are read; their ids, two bytes each where the
+    vocabulary allows, are dealt to ranges of doc_id and sorted there. A range becomes one
     or more files of about ``file_ids`` ids, a longer document one of its own.
     Null and empty texts have the end id alone. Null doc_ids come first; rows of
     one doc_id are ordered by a hash of their text.
@@ -158,12 +160,23 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bounds = range_bounds(rows, "doc_id", partitions(spark))
-    rows = rows.withColumn("part", range_of(F.col("doc_id"), bounds))
+    rows = rows.withColumns({"part": range_of(F.col("doc_id"), bounds), "tie": F.xxhash64("text")})
     with open(tokenizer_path, encoding="utf-8") as file:
-        sent = spark.sparkContext.broadcast(file.read())  # as large as the vocabulary
+        definition = file.read()
+    sent = spark.sparkContext.broadcast(definition)  # as large as the vocabulary
+    width = "<u2" if max(Tokenizer.from_str(definition).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = encoder(sent.value)
+        for batch in batches:
+            for first, end, flat, offsets in to_ids(batch.column("text")):
+                flat = flat.astype(width)
+                raw = [flat[a:b].tobytes() for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+                part = batch.slice(first, end - first)
+                columns = [part.column(n) for n in ("doc_id", "part", "tie")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(raw, pa.binary())], ["doc_id", "part", "tie", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, size, part = 0, 0, None
         held: tuple[list, list, list] = ([], [], [])
 
@@ -173,24 +186,23 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["value"])
 
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_pylist()
-            for first, end, flat, offsets in to_ids(batch.column("text")):
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
                 part = batch.column("part")[0].as_py()
-                for i in range(end - first):
-                    held[0].append(doc_ids[first + i])
-                    held[1].append(int(offsets[i + 1] - offsets[i]) + 1)
-                    held[2].append(np.append(flat[offsets[i] : offsets[i + 1]], end_id))
-                    size += held[1][-1]
-                    if size >= file_ids:
-                        yield file()
-                        before, size, held = before + size, 0, ([], [], [])
+                ids = np.append(np.frombuffer(raw.as_buffer(), width), np.array([end_id], width))
+                held[0].append(doc_id)
+                held[1].append(len(ids))
+                held[2].append(ids)
+                size += len(ids)
+                if size >= file_ids:
+                    yield file()
+                    before, size, held = before + size, 0, ([], [], [])
         if held[0]:
             yield file()
-        to_ids.release()
 
     files = (
-        rows.repartitionById(len(bounds) + 1, F.col("part"))
-        .sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+        rows.mapInArrow(encode, "doc_id bigint, part int, tie bigint, ids binary")
+        .repartitionById(len(bounds) + 1, F.col("part"))
+        .sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie")
         .mapInArrow(run, "value binary")
     )
     # The sink puts the separator behind the row, so the file ends with one zero byte.
@@ -208,7 +220,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 file = TokenFile.from_bytes(content.as_py())
-                ends = file.ends.values()
+                ends = np.fromiter((file.ends.select(i) for i in range(len(file))), np.int64, len(file))
                 starts = np.concatenate([[0], ends[:-1]])
                 own = [file.ids[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
                 columns = [

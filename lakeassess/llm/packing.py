@@ -59,7 +59,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, win
                             column.append(value)
                 kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * keep_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names)
-        to_ids.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 

@@ -13,7 +13,7 @@ from .chunks import ChunkEncoder, Index
 
 CHUNKS_PER_CALL = 2000
 #: Chunks, and words, kept at most.
-KNOWN = 400_000
+KNOWN = 500_000
 
 _NUMBER = regex.compile(r"\p{N}")
 #: In front of a chunk without digits this is a token of its own.
@@ -36,17 +36,17 @@ class _Words:
 
 @lru_cache(maxsize=2)
 def encoder(definition: str) -> ChunkEncoder:
-    """Encoder for a tokenizer's JSON definition; kept by the worker between tasks.
+    """Encoder for a tokenizer's JSON definition; kept by the worker between tasks, with
+    its bounded table of words.
 
-    Special tokens' strings are ordinary text. Many chunks go into one call, a
-    mark before each; chunks with digits, which could grow into the mark, are
-    encoded one by one.
+    As the library does by default, the string of a special token in a text becomes
+    that token. Many chunks go into one call, a mark before each; chunks with digits,
+    which could grow into the mark, are encoded one by one.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(definition)
-    tokenizer.encode_special_tokens = True
     mark = tokenizer.encode(_MARK, add_special_tokens=False).ids
 
     def singly(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +93,7 @@ def encoder(definition: str) -> ChunkEncoder:
         parts: list[str] = []
         pairs: list[int] = []
         for i, (text, word) in enumerate(zip(texts, [t.rstrip(SIGNS) for t in texts])):
-            if word is not text and word[-1:].isalpha():
+            if word is not text and word and word[-1].lower()[-1].isalpha():  # a capital I with a dot ends in the dot
                 parts += (word, text[len(word) :])
                 pairs.append(i)
             else:
