@@ -4,18 +4,16 @@ from __future__ import annotations
 
 import csv
 import re
-from multiprocessing.pool import ThreadPool
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import ROW_ID
 from .columns import clean_names, with_clean_names
+from .records import opens, records
 
 SAMPLES_START_ROW = 2
 MACROPHYTE_START_ROW = 1
-HEADER_READERS = 8
 
 
 def read_table(
@@ -57,11 +55,12 @@ def _format_of(path: str) -> str:
 def _read_csv(spark: SparkSession, path: str, start_row: int) -> DataFrame:
     """Rows below the header of every file, found by position.
 
-    The header is the first filled line at or after ``start_row``; it and the lines
-    above it are left out of each file, whatever they hold. Lines of a file's first
-    block are numbered in reading order, so files stay splittable and are read in
-    parallel. Columns are matched by name; files with other names raise. A cell
-    spanning several lines is not supported.
+    The header is the first filled record at or after line ``start_row``; it and the
+    lines above it are left out of each file, whatever they hold. Files stay
+    splittable and are read in parallel. One aggregate over all files finds where
+    each begins and whether quoted cells run over several lines, one more job
+    fetches the first lines: the number of jobs does not depend on the number of
+    files. Columns are matched by name; files with other names raise.
     """
     text = spark.read.text(path)
     lines = text.select(
@@ -70,26 +69,31 @@ def _read_csv(spark: SparkSession, path: str, start_row: int) -> DataFrame:
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias(ROW_ID),
     )
-    files = sorted(text.inputFiles())
-    with ThreadPool(HEADER_READERS) as pool:
-        headers = dict(zip(files, pool.map(lambda file: _header(spark, file, start_row), files)))
+    at_start = F.when(F.col("__block") == 0, F.col(ROW_ID))
+    # One row per file, and the driver holds the list of files to read them at all.
+    found = lines.groupBy("__file").agg(F.min(at_start).alias("__first"), F.bool_or(opens(F.col("value"))).alias("__spans")).collect()
+    found = {r["__file"]: r for r in found}
+    files = sorted(re.sub("^([A-Za-z0-9+.-]+):/+", r"\1:/", file) for file in text.inputFiles())
+    if empty := [file for file in files if file not in found]:
+        raise ValueError(f"{empty[0]}: no header at or after line {start_row}")
+    headers = _headers(lines, {file: r["__first"] for file, r in found.items()}, start_row)
     layouts: dict[tuple[str, ...], int] = {}
-    for file, (_, names) in headers.items():
+    for file in files:
+        names = headers[file][1]
         layouts.setdefault(names, len(layouts))
         if sorted(names) != sorted(next(iter(layouts))):
             raise ValueError(f"{file}: other columns than in {files[0]}")
     about = spark.createDataFrame(
-        # Paths come with one or three slashes after the scheme.
-        [(re.sub("^([A-Za-z0-9+.-]+):/+", r"\1:/", file), skipped, layouts[names]) for file, (skipped, names) in headers.items()],
-        "__file string, __skipped bigint, __layout int",
+        [(file, found[file]["__first"], headers[file][0], layouts[headers[file][1]], found[file]["__spans"]) for file in files],
+        "__file string, __first bigint, __skipped bigint, __layout int, __spans boolean",
     )
-    first = lines.where("__block = 0").groupBy("__file").agg(F.min(ROW_ID).alias("__first"))
-    # One row per file, and the driver holds the list of files to read them at all.
-    known = F.broadcast(about.join(F.broadcast(first), "__file", "left"))
     below = (F.col("__block") > 0) | (F.col(ROW_ID) - F.col("__first") >= F.col("__skipped"))
+    rows = lines.join(F.broadcast(about), "__file").where(below).drop("__first", "__skipped")
+    if any(r["__spans"] for r in found.values()):
+        rows = rows.where(~F.col("__spans")).unionByName(records(rows.where("__spans")))
     width = len(files and next(iter(layouts)))
-    cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(width))))
-    rows = lines.join(known, "__file").where(below & (F.trim("value") != "")).withColumn("__cells", cells)
+    cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(width))), {"escape": '"'})
+    rows = rows.where(F.trim("value") != "").withColumn("__cells", cells)
 
     def cell(name: str):
         found = F.lit(None).cast("string")
@@ -101,17 +105,35 @@ def _read_csv(spark: SparkSession, path: str, start_row: int) -> DataFrame:
     return rows.select(ROW_ID, *[cell(name) for name in next(iter(layouts))])
 
 
-def _header(spark: SparkSession, file: str, start_row: int) -> tuple[int, tuple[str, ...]]:
-    """Lines down to the header of one file, header included, and its clean names."""
-    wanted, seen = start_row + 10, -1
-    while True:
-        lines = [r.value for r in spark.read.text(unquote(file)).take(wanted)]
-        for number, line in enumerate(lines):
-            if number >= start_row - 1 and line.strip(", "):
-                return number + 1, tuple(clean_names(next(csv.reader([line]))))
-        if len(lines) == seen or len(lines) < wanted:
-            raise ValueError(f"{file}: no header at or after line {start_row}")
-        wanted, seen = wanted * 4, len(lines)
+def _headers(lines: DataFrame, first: dict[str, int], start_row: int) -> dict[str, tuple[int, tuple[str, ...]]]:
+    """Of every file, the lines down to the end of its header and the clean names."""
+    spark, wanted, headers = lines.sparkSession, start_row + 10, {}
+    while missing := [file for file in first if file not in headers]:
+        asked = spark.createDataFrame([(file, first[file]) for file in missing], "__file string, __first bigint")
+        number = F.col(ROW_ID) - F.col("__first")
+        top = lines.where("__block = 0").join(F.broadcast(asked), "__file").where(number < wanted)
+        tops: dict[str, list] = {file: [] for file in missing}
+        for row in top.select("__file", number.alias("n"), "value").collect():
+            tops[row["__file"]].append((row["n"], row["value"]))
+        for file, own in tops.items():
+            own = [value for _, value in sorted(own)]
+            header = _header(own, start_row)
+            # A header that ends with the lines at hand may go on behind them.
+            if header and (header[0] < wanted or len(own) < wanted):
+                headers[file] = header
+            elif len(own) < wanted:
+                raise ValueError(f"{file}: no header at or after line {start_row}")
+        wanted *= 4
+    return headers
+
+
+def _header(lines: list[str], start_row: int) -> tuple[int, tuple[str, ...]] | None:
+    for number, line in enumerate(lines):
+        if number >= start_row - 1 and line.strip(", "):
+            reader = csv.reader(line + "\n" for line in lines[number:])
+            names = next(reader)
+            return number + reader.line_num, tuple(clean_names(names))
+    return None
 
 
 def read_stations(spark: SparkSession, path: str, file_format: str | None = None) -> DataFrame:
