@@ -46,6 +46,13 @@ STANDARDS = [
     ("COPPER", "Dissolved", None, "mg/L", 20.0, "mg/L"),
     ("FLUORIDE", "Total", 4.0, "mg/L", None, "mg/L"),
 ]
+#: The same, with fractions given as regular expressions.
+PATTERN_STANDARDS = [
+    ("IRON", "Diss.+d|^Tot", 1.0, "mg/L", 0.8, "mg/L"),
+    ("CHLORIDE", None, 500.0, "mg/L", 250.0, "mg/L"),
+    ("COPPER", "^D[a-z]*$", None, "mg/L", 20.0, "mg/L"),
+    ("FLUORIDE", "[Tt]otal$", 4.0, "mg/L", 1.5, "mg/L"),
+]
 STANDARDS_COLUMNS = [
     "Analyte",
     "sample_fraction",
@@ -164,8 +171,8 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def standards(spark: SparkSession) -> DataFrame:
-    table = _values(spark, STANDARDS_COLUMNS, STANDARDS)
+def standards(spark: SparkSession, rows: list = STANDARDS) -> DataFrame:
+    table = _values(spark, STANDARDS_COLUMNS, rows)
     return table.withColumns({c: F.col(c).cast("double") for c in ("acute_standard", "chronic_standard")})
 
 
@@ -189,6 +196,28 @@ def raw_macrophytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spreadsheet_date(date: Column) -> Column:
+    """A date as a spreadsheet stores it: days since its day 0."""
+    return F.datediff(date, F.lit("1899-12-30").cast("date"))
+
+
+def uploads(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The four inputs as CSV files: serial dates, times as a share of a day, and notes
+    of several lines with quotes and commas."""
+    raw = raw_samples(spark, sf_dir).withColumnRenamed("row_id", "Sample Key")
+    notes = F.concat("monitoring_location_id", F.lit('\nas "'), "characteristic_name", F.lit('", see\n\nsheet '), F.col("Sample Key") % 7)
+    raw = raw.withColumns({
+        "activity_start_date": spreadsheet_date(F.col("activity_start_date")),
+        "activity_start_time": F.col("activity_start_time") / 86400.0,
+        "Field Notes": F.when(F.col("Sample Key") % 3 != 0, notes),
+    })
+    cover = raw_macrophytes(spark, sf_dir)
+    cover = cover.withColumn("collection_date", spreadsheet_date(F.col("collection_date")))
+    tables = {"samples": raw, "stations": stations(spark, sf_dir), "standards": standards(spark), "macrophytes": cover}
+    for name, rows in tables.items():
+        rows.write.options(header=True, escape='"').csv(f"{folder}/{name}")
+
+
 def part_standards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A standards table that grows with the data: one row per part."""
     size = F.col("p_size")

@@ -20,6 +20,10 @@ def _list(values) -> str:
     return "[" + ", ".join(_text(v) for v in values) + "]"
 
 
+def _rows(rows) -> str:
+    return ", ".join("(" + ", ".join(_text(v) for v in row) + ")" for row in rows)
+
+
 TAX = "CAST(floor(l_tax * 100 + 0.5) AS INT)"
 DISCOUNT = "CAST(floor(l_discount * 100 + 0.5) AS INT)"
 MONTH = "CAST(1 + (l_orderkey // 2) % 12 AS INT)"
@@ -163,7 +167,7 @@ PARTS: dict[str, str] = {
     "stations": "SELECT CASE s_suppkey WHEN 7 THEN 'RHL' WHEN 8 THEN 'WDW' ELSE 'S' || s_suppkey END AS code, "
     "'IL_L' || (s_suppkey // 4) AS auid FROM supplier",
     "standards": "SELECT * REPLACE (CAST(s_acute AS DOUBLE) AS s_acute, CAST(s_chronic AS DOUBLE) AS s_chronic) FROM (VALUES "
-    + ", ".join("(" + ", ".join(_text(v) for v in row) + ")" for row in derive.STANDARDS)
+    + _rows(derive.STANDARDS)
     + ") AS t(s_analyte, s_fraction, s_acute, s_acute_units, s_chronic, s_chronic_units)",
     "macrophytes": """
 SELECT 'IL_L' || lake AS m_auid, make_date(CAST(2019 + month // 12 AS INT), CAST(month % 12 + 1 AS INT), 10) AS m_date,
@@ -602,6 +606,15 @@ ORACLE_SQL["ingest_table"] = """SELECT CAST(c_custkey AS VARCHAR) AS key, c_name
 UNION ALL
 SELECT CAST(s_suppkey AS VARCHAR), s_name, CAST(s_nationkey AS VARCHAR), round(s_acctbal, 6) FROM supplier"""
 
+ORACLE_SQL["uploaded_samples"] = _query(
+    "SELECT row_id, mlid, start_date, start_time, round(sample_depth, 6) AS sample_depth, round(result_value, 6) AS result_value, "
+    "CASE WHEN row_id % 3 <> 0 THEN mlid || chr(10) || 'as \"' || analyte || '\", see' || chr(10) || chr(10) || 'sheet ' "
+    "|| CAST(row_id % 7 AS VARCHAR) END AS field_notes FROM samples"
+)
+ORACLE_SQL["acute_from_uploads"] = ORACLE_SQL["acute_single_value"]
+ORACLE_SQL["uploaded_macrophytes"] = _query('SELECT m_auid AS "AUID", m_date AS start_date, round(coverage, 6) AS coverage FROM macrophytes')
+ORACLE_SQL["chronic_pattern_match"] = ORACLE_SQL["chronic_standard_match"].replace(_rows(derive.STANDARDS), _rows(derive.PATTERN_STANDARDS))
+
 # The finding of each result table, as in the registry.
 _FINDINGS = {
     "acute_results": ("acute_single_value", "standard_violation = 'EXCEEDANCE'"),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeassess.functions.dates import to_date_value, to_seconds_of_day
 from lakeassess.functions.formulas import hardness_equation
 from lakeassess.functions.groups import HotSites, find_hot_sites
 from lakeassess.functions.missing import divide, numeric
@@ -33,8 +34,8 @@ from lakeassess.params import HARDNESS_STANDARDS, AssessmentParams
 from lakeassess.plans.assessment import Inputs, run
 from lakeassess.plans.session import tune
 from lakeassess.sources.columns import map_macrophyte_columns, map_sample_columns
-from lakeassess.sources.storage import keep, shared_folder
-from lakeassess.sources.tables import read_table
+from lakeassess.sources.storage import keep, read_results, shared_folder
+from lakeassess.sources.tables import read_standards, read_stations, read_table
 
 from . import derive
 
@@ -358,6 +359,52 @@ def ingest_table(spark, sf_dir):
     return published(table.select("key", "name_full", "nation", numeric(table, "balance").alias("balance")))
 
 
+def _uploaded(spark, sf_dir, name):
+    """One uploaded file, and the folder of all."""
+    tune(spark)
+    folder = f"{shared_folder(spark)}/uploads-{uuid.uuid4().hex}"
+    derive.uploads(spark, sf_dir, folder)
+    return read_table(spark, f"{folder}/{name}", file_format="csv"), folder
+
+
+def uploaded_samples(spark, sf_dir):
+    """Samples read back from CSV: serial dates and times, notes of several lines."""
+    table, _ = _uploaded(spark, sf_dir, "samples")
+    typed = table.select(
+        F.col("sample_key").cast("long").alias("row_id"),
+        F.col("monitoring_location_id").alias("mlid"),
+        to_date_value(table, "activity_start_date").alias("start_date"),
+        to_seconds_of_day(table, "activity_start_time", "day").alias("start_time"),
+        numeric(table, "activity_depth_height").alias("sample_depth"),
+        numeric(table, "result_value").alias("result_value"),
+        "field_notes",
+    )
+    return published(typed)
+
+
+def acute_from_uploads(spark, sf_dir):
+    """The acute check with samples, stations and standards all read from uploaded files."""
+    table, folder = _uploaded(spark, sf_dir, "samples")
+    samples = map_sample_columns(table.withColumn("row_id", F.col("sample_key").cast("long")))
+    stations = read_stations(spark, f"{folder}/stations", "csv")
+    prepared = prepare_samples(samples, stations, find_hot_sites(samples), time_unit="day")
+    checked = acute_single_value(prepared, read_standards(spark, f"{folder}/standards", "csv"))
+    return published(checked.withColumn("result_value", numeric(checked, "result_value")), *ACUTE, *CHECK, "acute_units")
+
+
+def uploaded_macrophytes(spark, sf_dir):
+    table, _ = _uploaded(spark, sf_dir, "macrophytes")
+    cover = map_macrophyte_columns(table)
+    return published(cover.select("AUID", "start_date", numeric(cover, "coverage").alias("coverage")))
+
+
+def chronic_pattern_match(spark, sf_dir):
+    """Chronic standards whose fractions are regular expressions."""
+    lake = Lake(spark, sf_dir)
+    matched = with_chronic_standards(lake.prepared, derive.standards(spark, derive.PATTERN_STANDARDS))
+    return published(matched, *ACUTE, "hd_chronic_standard", "standards_fraction", "fraction_match", "chronic_standard", "quotient")
+
+
 RESULT_CHECKS = {
     "acute_results": ("acute_single_value", "standard_violation = 'EXCEEDANCE'"),
     "chronic_results": ("chronic_events", "standard_violation = 'EXCEEDANCE'"),
@@ -377,15 +424,19 @@ def assessment_tables(spark, sf_dir):
         lake, folder = Lake(spark, sf_dir, dense), f"{shared_folder(spark)}/assessment-{uuid.uuid4().hex}"
         inputs = Inputs(lake.samples, lake.stations, lake.standards, None if dense else lake.macrophytes)
         run(inputs, folder, AssessmentParams(trophic_state=not dense))
+        published_tables = read_results(spark, folder)
         for name, (_, finding) in RESULT_CHECKS.items():
             if (name in DENSE_RESULTS) == dense:
                 counts = F.count(F.lit(1)).alias("n_rows"), F.count_if(F.expr(finding)).alias("n_findings")
-                parts.append(spark.read.parquet(f"{folder}/{name}").agg(*counts).withColumn("table_name", F.lit(name)))
+                parts.append(published_tables[name].agg(*counts).withColumn("table_name", F.lit(name)))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_table": ingest_table,
+    "uploaded_samples": uploaded_samples,
+    "acute_from_uploads": acute_from_uploads,
+    "uploaded_macrophytes": uploaded_macrophytes,
     "column_map": column_map,
     "prep_samples": prep_samples,
     "usability_counts": usability_counts,
@@ -402,6 +453,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sulfate_acute": sulfate_checks,
     "thermocline": thermocline_depths,
     "chronic_standard_match": chronic_standard_match,
+    "chronic_pattern_match": chronic_pattern_match,
     "undersampled_series": sparse_series,
     "chronic_events": chronic_event_rows,
     "ammonia_chronic_standard": ammonia_chronic_standard,

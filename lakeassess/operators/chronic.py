@@ -36,7 +36,8 @@ def with_chronic_standards(
     A tabular standard of the analyte wins over the hardness-dependent one. It
     applies when the row's fraction contains the standard's fraction (a regular
     expression), when the standard names none, or when the row has none. Several
-    applicable standards give several rows.
+    applicable standards give several rows. Fractions and patterns repeat, so each
+    pair is decided once, in a table of distinct pairs, and looked up by equality.
     """
     table = standards.select(
         F.col("Analyte").alias("__analyte"),
@@ -48,9 +49,12 @@ def with_chronic_standards(
         F.coalesce(F.col("sample_fraction").rlike(r"^[\w ,-]*$"), F.lit(True)).alias("__plain"),
     )
     fraction, wanted = F.col("sample_fraction"), F.coalesce(F.col("standards_fraction"), F.lit(NO_FRACTION))
-    found = F.when(F.coalesce("__plain", F.lit(True)), fraction.contains(wanted)).otherwise(
-        F.rlike(fraction, wanted)
-    )
+    patterns = table.where(~F.col("__plain")).select("__analyte", F.col("standards_fraction").alias("__pattern")).distinct()
+    # A look at the standards alone tells whether there is anything to decide.
+    some = not patterns.isEmpty()
+    found = F.when(F.coalesce("__plain", F.lit(True)), fraction.contains(wanted))
+    if some:
+        found = found.when(fraction.isNotNull(), F.coalesce("__found", F.lit(False)))
     match, given = F.col("fraction_match"), F.coalesce("__given", F.lit(False))
     by_hardness = F.col("hd_chronic_standard").isNotNull()
     applies = (
@@ -59,11 +63,16 @@ def with_chronic_standards(
         | ((match == "NO") & (F.col("standards_fraction") == NO_FRACTION))
     )
     metals = tuple(s.analyte for s in hardness)
-    return (
+    rows = (
         with_numbers(only_listed_analytes(data, standards, metals))
         .withColumn("hd_chronic_standard", hardness_standard("chronic", hardness))
         .join(table, F.col("analyte").eqNullSafe(F.col("__analyte")), "left")
         .withColumn("standards_fraction", wanted)
+    )
+    if some:
+        rows = rows.join(_decided(data, patterns), ["analyte", "sample_fraction", "standards_fraction"], "left")
+    return (
+        rows
         .withColumn("fraction_match", if_else(found, F.lit("YES"), F.lit("NO")))
         .where(by_hardness | (given & applies))
         .withColumn(
@@ -71,10 +80,18 @@ def with_chronic_standards(
             F.when(by_hardness & ~given, F.col("hd_chronic_standard")).otherwise(F.col("chronic_standard")),
         )
         .withColumn("quotient", divide(F.col("result_value"), F.col("chronic_standard")))
-        .drop("__analyte", "__given", "__plain")
+        .drop("__analyte", "__given", "__plain", "__found")
     )
 
 
+def _decided(data: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(analyte, sample_fraction, standards_fraction, __found) of all pairs that occur."""
+    seen = data.select("analyte", "sample_fraction").distinct()
+    pairs = seen.join(patterns, F.col("analyte") == F.col("__analyte"))
+    pattern = F.col("__pattern")
+    return pairs.select("analyte", "sample_fraction", pattern.alias("standards_fraction"), F.rlike("sample_fraction", pattern).alias("__found"))
+
+
 def undersampled_series(data: DataFrame, series: list[str]) -> DataFrame:
     """Series (``series`` plus depth class) with fewer than three distinct visits.
 

@@ -78,14 +78,48 @@ def keep(df: DataFrame, name: str, sort_by: list[str] | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+MANIFEST = "_tables"
+
+
 def write_results(results: Mapping[str, DataFrame], folder: str, mode: str = "errorifexists") -> list[str]:
-    """Write each result table as parquet under ``folder``; returns the paths."""
+    """Write result tables as parquet under ``folder``, all or none; returns the paths.
+
+    Tables are written to a folder beside it, then a manifest of their names, and the
+    folder takes its place by one rename, so a run that fails leaves what was there. An
+    existing ``folder`` raises, or with ``overwrite`` is replaced as a whole.
+    """
+    if mode not in ("errorifexists", "error", "overwrite"):
+        raise ValueError(f"Unknown mode: {mode}")
     unknown = set(results) - set(RESULT_TABLES)
     if unknown:
         raise ValueError(f"Unknown result tables: {', '.join(sorted(unknown))}")
-    paths = []
-    for name in RESULT_TABLES:
-        if name in results:
-            paths.append(f"{folder.rstrip('/')}/{name}")
-            results[name].write.mode(mode).parquet(paths[-1])
-    return paths
+    names, folder = [name for name in RESULT_TABLES if name in results], folder.rstrip("/")
+    if not names:
+        return []
+    spark = results[names[0]].sparkSession
+    file_system, target = _place(spark, folder)
+    if mode != "overwrite" and file_system.exists(target):
+        raise FileExistsError(f"{folder} exists already")
+    mark = uuid.uuid4().hex
+    staging, former = (_place(spark, f"{folder}.{kind}-{mark}")[1] for kind in ("staging", "former"))
+    try:
+        for name in names:
+            results[name].write.parquet(f"{folder}.staging-{mark}/{name}")
+        spark.createDataFrame([(name,) for name in names], "name string").coalesce(1).write.text(f"{folder}.staging-{mark}/{MANIFEST}")
+        replaced = file_system.exists(target)
+        if replaced and not file_system.rename(target, former):
+            raise OSError(f"{folder} cannot be replaced")
+        if not file_system.rename(staging, target):
+            if replaced:
+                file_system.rename(former, target)
+            raise OSError(f"{folder} cannot be written")
+    finally:
+        file_system.delete(staging, True)
+    file_system.delete(former, True)
+    return [f"{folder}/{name}" for name in names]
+
+
+def read_results(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The published tables of a run, by its manifest; raises where there is none."""
+    names = [row[0] for row in spark.read.text(f"{folder.rstrip('/')}/{MANIFEST}").collect()]
+    return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in names}

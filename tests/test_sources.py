@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lakeassess.plans.assessment import Inputs, assess, run
 from lakeassess.params import AssessmentParams
 from lakeassess.sources.columns import map_macrophyte_columns, map_sample_columns
-from lakeassess.sources.storage import RESULT_TABLES, keep, shared_folder, write_results
+from lakeassess.sources.storage import RESULT_TABLES, keep, read_results, shared_folder, write_results
 from lakeassess.sources.tables import MACROPHYTE_START_ROW, SAMPLES_START_ROW, read_standards, read_stations, read_table
 
 HEADER = (
@@ -174,3 +174,32 @@ def test_kept_tables_are_removed(spark):
         path = keep(spark.range(3), "short").inputFiles()[0].removeprefix("file://")
         assert os.path.exists(path)
     assert not os.path.exists(path)
+
+
+def failing(spark):
+    return spark.range(3).selectExpr("if(id = 2, raise_error('broken'), id) AS id")
+
+
+def test_a_failing_table_leaves_no_result(spark, tmp_path):
+    out = tmp_path / "results"
+    results = {name: spark.range(2) for name in RESULT_TABLES}
+    results[RESULT_TABLES[4]] = failing(spark)
+    with pytest.raises(Exception, match="broken"):
+        write_results(results, str(out))
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_results_are_replaced_as_a_whole(spark, tmp_path):
+    out = str(tmp_path / "results")
+    write_results({name: spark.range(2) for name in RESULT_TABLES}, out)
+    assert list(read_results(spark, out)) == list(RESULT_TABLES)
+    with pytest.raises(FileExistsError):
+        write_results({RESULT_TABLES[0]: spark.range(5)}, out)
+    with pytest.raises(Exception, match="broken"):
+        write_results({RESULT_TABLES[0]: spark.range(5), RESULT_TABLES[1]: failing(spark)}, out, "overwrite")
+    assert [t.count() for t in read_results(spark, out).values()] == [2] * len(RESULT_TABLES)
+    write_results({RESULT_TABLES[0]: spark.range(5)}, out, "overwrite")
+    assert {name: t.count() for name, t in read_results(spark, out).items()} == {RESULT_TABLES[0]: 5}
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["results"]
+    with pytest.raises(ValueError):
+        write_results({RESULT_TABLES[0]: spark.range(5)}, out, "append")
