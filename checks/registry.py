@@ -55,7 +55,7 @@ class Lake:
 
     @cached_property
     def prepared(self) -> DataFrame:
-        return prepare_samples(self.samples, self.stations, self.hot)
+        return prepare_samples(self.samples, self.stations)
 
     @cached_property
     def kept_prepared(self) -> DataFrame:
@@ -387,7 +387,7 @@ def acute_from_uploads(spark, sf_dir):
     table, folder = _uploaded(spark, sf_dir, "samples")
     samples = map_sample_columns(table.withColumn("row_id", F.col("sample_key").cast("long")))
     stations = read_stations(spark, f"{folder}/stations", "csv")
-    prepared = prepare_samples(samples, stations, find_hot_sites(samples), time_unit="day")
+    prepared = prepare_samples(samples, stations, time_unit="day")
     checked = acute_single_value(prepared, read_standards(spark, f"{folder}/standards", "csv"))
     return published(checked.withColumn("result_value", numeric(checked, "result_value")), *ACUTE, *CHECK, "acute_units")
 

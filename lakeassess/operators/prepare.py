@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import to_date_value, to_seconds_of_day
-from ..functions.groups import GroupSpec, HotSites, find_hot_sites, group_window
+from ..functions.donors import fill_from_donors
 from ..functions.missing import matching_join, numeric
 from ..schema import ALKALINITY, PREPARED_COLUMNS, SITE_WATER_BODIES
 
@@ -108,17 +108,15 @@ def usable_samples(
     return with_non_detects(keep_usable(typed))
 
 
-def with_hardness(samples: DataFrame, hot_sites: HotSites) -> DataFrame:
+def with_hardness(samples: DataFrame) -> DataFrame:
     """Alkalinity of the visit, spread over all samples of that site and day."""
     measured = F.when(F.col("analyte") == ALKALINITY, F.col("result_value"))
-    spec = GroupSpec(keys=["mlid", "start_date"], order=["row_id"], fill=("hardness",))
-    return group_window(samples.withColumn("hardness", measured), spec, hot_sites)
+    return fill_from_donors(samples, ["mlid", "start_date"], measured, "hardness")
 
 
 def prepare_samples(
     samples: DataFrame,
     stations: DataFrame,
-    hot_sites: HotSites | None = None,
     date_formats: tuple[str, ...] = (),
     time_unit: str | None = None,
 ) -> DataFrame:
@@ -128,6 +126,5 @@ def prepare_samples(
     the checks turn text into numbers themselves, so text that is no number
     still counts as reported.
     """
-    hot = hot_sites or find_hot_sites(samples)
     usable = usable_samples(samples, stations, date_formats, time_unit)
-    return with_hardness(usable, hot).select(*PREPARED_COLUMNS)
+    return with_hardness(usable).select(*PREPARED_COLUMNS)

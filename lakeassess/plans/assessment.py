@@ -46,7 +46,7 @@ def assess(inputs: Inputs, params: AssessmentParams | None = None) -> dict[str,
         standards = override_standards(standards, inputs.overrides)
 
     hot = find_hot_sites(inputs.samples)
-    prepared = keep(prepare_samples(inputs.samples, inputs.stations, hot), "prepared", ["analyte"])
+    prepared = keep(prepare_samples(inputs.samples, inputs.stations), "prepared", ["analyte"])
     thermoclines = keep(thermocline(prepared, hot), "thermocline")
 
     results = {
