@@ -11,7 +11,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
     assert set(SQL) <= set(QUERIES) and set(corpus_pipeline.QUERIES) == {"pipeline"}
 
 
