@@ -1,21 +1,24 @@
-"""Repeated word passages, found by filtering windows through their seeds.
+"""Repeated word passages by level-wise doubling of windows.
 
-A window can only be repeated if the shorter windows in it are. ``remove_repeats``
-goes from seeds to full windows in one step. ``longest_repeats`` alone doubles the
-length: windows repeated at one length are the candidates for twice that length; a
-level without repeats ends the search.
+A window can only be repeated if the shorter windows in it are. The search starts
+with short windows, finds which are repeated, and extends these alone to twice
+their length, until the full length is reached (its last step may be shorter than
+a doubling) or none is left. ``longest_repeats`` goes on doubling beyond it.
 
-The first level, ``SEED`` words, is read at few places: in every full window the
-seed with the smallest hash is chosen, and equal windows choose equal seeds, so
-none is lost. Seeds found in two documents are marked in a bit set of bounded
-size. Each further level hashes only windows whose chosen seed is marked. A bit
-may stand for several seeds, which lets some windows through that are not
-repeated; the level itself then counts exactly.
+Not every short window is looked at: each full window chooses its seed, the one
+of smallest rank, by its own words, and at every level the window of that length
+around the seed. Equal full windows choose equally at every level, so none is
+lost. What is repeated at a level is marked in a bit set of bounded size, and the
+next level hashes only windows whose choice is marked. A bit may stand for
+several windows, which lets some through that are not repeated; the next level
+then counts exactly.
+
+The last level decides by 128 bits: two hashes from words hashed apart.
 
 Which hashes are repeated is found from packed runs: a task sorts its hashes,
 keeps one entry per hash with the range of its doc_ids, and sends each range of
 hashes as one row of differences. A hash that is everywhere so gives one entry
-per task.
+per task. The number of ranges follows the bytes of text.
 """
 
 from __future__ import annotations
@@ -29,51 +32,91 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .store import partitions, stored
-from .words import Words, blocks, window_hashes, window_starts
+from .words import Words, blocks, mix, span_hashes, window_hashes, window_starts
 
 WINDOW = 13
-SEED = 5
-#: Bits for each seed found twice, and the most bits of all (128 MB).
+SEED = 4
+#: Bits for each window found twice, and the most bits of all (128 MB).
 BITS_PER_SEED = 16
 MOST_BITS = 1 << 30
 _CELL = 1 << 16
 #: Hashes a task holds before it packs them.
 HELD = 2_000_000
+#: Text whose hashes one range of the shuffle should hold, in bytes.
+PART_TEXT = 128 << 20
+#: Start of the second hash of a word.
+_SALT = 0x5851F42D4C957F2D
+
+
+def _lengths(size: int) -> list[int]:
+    """Window lengths of the levels up to the full one."""
+    out = [min(SEED, size)]
+    while out[-1] < size:
+        out.append(min(2 * out[-1], size))
+    return out
+
+
+def _chosen(rank: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """Leftmost place of the smallest of the ``span`` ranks from each position, by doubling."""
+    place, width = np.arange(len(rank)), 1
 
+    def better(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.where(rank[right] < rank[left], right, left)
 
-def _chosen(seeds: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
-    """Smallest of the ``span`` seeds from each position, by doubling."""
-    lowest, width = seeds, 1
     while width * 2 <= span:
-        lowest = np.minimum(lowest[: len(lowest) - width], lowest[width:])
+        place = better(place[: len(place) - width], place[width:])
         width *= 2
-    return np.minimum(lowest[at], lowest[at + span - width])
+    return better(place[at], place[at + span - width])
 
 
-def _windows(words: Words, size: int, seed: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word position in the text, chosen seed, window hash) of all windows."""
-    hashes, text, at = words.hashes(), words.text_of(), window_starts(words, size)
+def _level(words: Words, size: int, length: int, before: int, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of a level's windows of ``length`` words.
+
+    They lie in full windows of ``size`` words whose choice at the level ``before``
+    is marked. A length below ``size`` gives the choices, once each.
+    """
+    hashes, at = words.hashes(), window_starts(words, max(size, length))
     if not len(at):
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    seeds = window_hashes(hashes, seed)
-    return text[at], at - words.first[text[at]], _chosen(seeds, at, first - seed + 1), window_hashes(hashes, size)[at]
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    seed = min(SEED, size)
+    place = _chosen(mix(window_hashes(hashes, seed)), at, size - seed + 1)
+    if bits is not None:
+        some = np.flatnonzero(_is_marked(bits, window_hashes(hashes, before)[np.minimum(place, at + size - before)]))
+        at, place = at[some], place[some]
+    if length < size:
+        # Choices never go back, so equal ones are neighbours.
+        at = np.unique(np.minimum(place, at + size - length))
+    return at, window_hashes(hashes, length)[at]
+
+
+def _second(words: Words, at: np.ndarray, length: int) -> np.ndarray:
+    """Further hash of the windows at some positions; words outside them are not hashed."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    n = len(words.start)
+    inside = np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(at + length, minlength=n + 1))[:n] > 0
+    hashes = np.zeros(n, np.uint64)
+    hashes[inside] = span_hashes(words.data, words.start[inside], words.end[inside], _SALT)
+    return window_hashes(hashes, length)[at]
 
 
 def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-def _windows_of(batches: Iterator[pa.RecordBatch], size: int, seed: int, first: int, bits: np.ndarray | None) -> Iterator[tuple]:
-    """(doc_ids, text, position, seed, hash) of the windows of each block whose seed is marked."""
+def _windows_of(batches: Iterator[pa.RecordBatch], size: int, length: int, before: int, bits: np.ndarray | None) -> Iterator[tuple]:
+    """(doc_ids, text, position, hash, second hash) of a level's windows in each block.
+
+    The second hash is zero at levels that only narrow the search.
+    """
     for batch in batches:
         ids = batch.column("doc_id").to_numpy()
         for start, end, data, offsets in blocks(batch.column("text")):
-            text, at, chosen, window = _windows(Words(data, offsets), size, seed, first)
-            if bits is not None:
-                some = np.flatnonzero(_is_marked(bits, chosen))
-                text, at, chosen, window = text[some], at[some], chosen[some], window[some]
-            yield ids[start:end], text, at, chosen, window
+            words = Words(data, offsets)
+            at, window = _level(words, size, length, before, bits)
+            text = np.searchsorted(words.first, at, side="right") - 1
+            second = _second(words, at, length) if length >= size else np.zeros(len(at), np.uint64)
+            yield ids[start:end], text, at - words.first[text], window, second
 
 
 def _is_marked(bits: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -95,17 +138,17 @@ def _unbytes(raw: bytes, at: int, count: int) -> tuple[np.ndarray, int]:
     return out.reshape(-1).view("<u8"), end
 
 
-def _merged(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One entry per hash, in order, with the range of its doc_ids."""
-    order = np.argsort(hashes, kind="stable")
-    hashes, low, high = hashes[order], low[order], high[order]
-    starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
-    if not len(starts):
-        return hashes, low, high
-    return hashes[starts], np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+def _merged(hashes: np.ndarray, second: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One entry per pair of hashes, in order, with the range of its doc_ids."""
+    order = np.lexsort((second, hashes)) if second.any() else np.argsort(hashes, kind="stable")
+    hashes, second, low, high = hashes[order], second[order], low[order], high[order]
+    if not len(hashes):
+        return hashes, second, low, high
+    starts = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (second[1:] != second[:-1])))
+    return hashes[starts], second[starts], np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
 
 
-def _packed(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, parts: int) -> pa.RecordBatch:
+def _packed(hashes: np.ndarray, second: np.ndarray, low: np.ndarray, high: np.ndarray, parts: int) -> pa.RecordBatch:
     """Rows (part, run) of merged entries; a part is a range of hashes."""
     part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
@@ -114,37 +157,38 @@ def _packed(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, parts: int) -
         if b > a:
             base = low[a:b].min()
             raw = np.array([b - a, base], "<i8").tobytes()
-            raw += _bytes(np.diff(hashes[a:b], prepend=np.uint64(0)))
+            raw += _bytes(np.diff(hashes[a:b], prepend=np.uint64(0))) + _bytes(second[a:b])
             raw += _bytes((low[a:b] - base).view(np.uint64)) + _bytes((high[a:b] - low[a:b]).view(np.uint64))
             numbers.append(part[a])
             runs.append(raw)
     return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(runs, pa.binary())], ["part", "run"])
 
 
-def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(raw: bytes) -> tuple[np.ndarray, ...]:
     count, base = np.frombuffer(raw[:16], "<i8").tolist()
     steps, at = _unbytes(raw, 16, count)
+    second, at = _unbytes(raw, at, count)
     low, at = _unbytes(raw, at, count)
     more, _ = _unbytes(raw, at, count)
     low = low.view(np.int64) + base
-    return np.cumsum(steps, dtype=np.uint64), low, low + more.view(np.int64)
+    return np.cumsum(steps, dtype=np.uint64), second, low, low + more.view(np.int64)
+
+
+def _parts(docs: DataFrame) -> int:
+    """Ranges of hashes: one per ``PART_TEXT`` bytes of text, and no fewer than shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    return max(partitions(docs.sparkSession), -(-size // PART_TEXT))
 
 
-def _repeated(docs: DataFrame, size: int, seed: int, marked=None, of_seeds: bool = False, first: int | None = None) -> DataFrame:
-    """(h, lowest): hashes of windows, or of chosen seeds, found in more than one document,
+def _repeated(docs: DataFrame, size: int, length: int, before: int, marked, parts: int) -> DataFrame:
+    """(h, g, lowest): hashes of a level's windows found in more than one document,
     with the smallest doc_id."""
-    parts = partitions(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for ids, text, _, chosen, window in _windows_of(batches, size, seed, first or size, marked.value if marked else None):
-            hashes = chosen if of_seeds else window
-            if of_seeds and len(text):
-                # Neighbouring windows mostly choose the same seed.
-                new = np.append(True, (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1]))
-                hashes, text = hashes[new], text[new]
-            held.append((hashes, ids[text]))
-            if sum(len(h) for h, _ in held) > HELD:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for ids, text, _, window, second in _windows_of(batches, size, length, before, marked.value if marked else None):
+            held.append((window, second, ids[text]))
+            if sum(len(h) for h, _, _ in held) > HELD:
                 yield _entries(held, parts)
                 held = []
         if held:
@@ -154,32 +198,33 @@ def _repeated(docs: DataFrame, size: int, seed: int, marked=None, of_seeds: bool
         # A partition is one part.
         runs = [_unpacked(raw.as_py()) for batch in batches for raw in batch.column("run")]
         if runs:
-            hashes, low, high = _merged(*(np.concatenate(x) for x in zip(*runs)))
+            hashes, second, low, high = _merged(*(np.concatenate(x) for x in zip(*runs)))
             some = low < high
-            yield pa.RecordBatch.from_arrays([_signed(hashes[some]), pa.array(low[some])], ["h", "lowest"])
+            yield pa.RecordBatch.from_arrays([_signed(hashes[some]), _signed(second[some]), pa.array(low[some])], ["h", "g", "lowest"])
 
     packed = docs.mapInArrow(pack, "part int, run binary")
-    return packed.repartitionById(parts, F.col("part")).mapInArrow(merge, "h bigint, lowest bigint")
+    return packed.repartitionById(parts, F.col("part")).mapInArrow(merge, "h bigint, g bigint, lowest bigint")
 
 
-def _entries(held: list[tuple[np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
-    hashes, ids = (np.concatenate(x) for x in zip(*held))
-    return _packed(*_merged(hashes, ids, ids), parts)
+def _entries(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
+    hashes, second, ids = (np.concatenate(x) for x in zip(*held))
+    return _packed(*_merged(hashes, second, ids, ids), parts)
 
 
-def _occurrences(docs: DataFrame, size: int, seed: int, marked, first: int | None = None) -> DataFrame:
-    """(h, doc_id, at) of all windows whose seed is marked."""
+def _occurrences(docs: DataFrame, size: int, length: int, before: int, marked) -> DataFrame:
+    """(h, g, doc_id, at) of all windows of a level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, text, at, _, window in _windows_of(batches, size, seed, first or size, marked.value):
-            yield pa.RecordBatch.from_arrays([_signed(window), pa.array(ids[text]), pa.array(at.astype(np.int32))], ["h", "doc_id", "at"])
+        for ids, text, at, window, second in _windows_of(batches, size, length, before, marked.value if marked else None):
+            columns = [_signed(window), _signed(second), pa.array(ids[text]), pa.array(at.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "g", "doc_id", "at"])
 
-    return docs.mapInArrow(run, "h bigint, doc_id bigint, at int")
+    return docs.mapInArrow(run, "h bigint, g bigint, doc_id bigint, at int")
 
 
-def _marks(seeds: DataFrame):
+def _marks(found: DataFrame):
     """Bit set of a table of hashes as a broadcast of at most ``MOST_BITS`` bits."""
-    size = 1 << int(seeds.count() * BITS_PER_SEED).bit_length()
+    size = 1 << int(found.count() * BITS_PER_SEED).bit_length()
     size = min(max(size, _CELL), MOST_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,11 +240,11 @@ def _marks(seeds: DataFrame):
             yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["cell", "bits"])
 
     cell = F.col("h").bitwiseAND(F.lit(size - 1)) / F.lit(_CELL)
-    parts = seeds.select("h").repartition(F.floor(cell)).mapInArrow(run, "cell bigint, bits binary")
+    parts = found.select("h").repartition(F.floor(cell)).mapInArrow(run, "cell bigint, bits binary")
     bits = np.zeros(size // 8, np.uint8)
     for row in parts.collect():
         bits[row["cell"] * _CELL // 8 :][: _CELL // 8] |= np.frombuffer(row["bits"], np.uint8)
-    return seeds.sparkSession.sparkContext.broadcast(bits)
+    return found.sparkSession.sparkContext.broadcast(bits)
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -208,14 +253,29 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return named.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
+def _narrowed(docs: DataFrame, size: int, parts: int) -> tuple[int, object]:
+    """Length of the level below the full one and its marks, by doubling from the seeds.
+
+    (0, None) where the full window is no longer than a seed.
+    """
+    before, marked = 0, None
+    for length in _lengths(size)[:-1]:
+        found = stored(_repeated(docs, size, length, before, marked, parts), "level")
+        if marked is not None:
+            marked.unpersist()
+        before, marked = length, _marks(found)
+    return before, marked
+
+
 def earlier_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc_id, h): hashes of each document's windows that a smaller doc_id has too."""
-    rows, seed = _prepared(docs), min(SEED, size)
-    marked = _marks(stored(_repeated(rows, size, seed, of_seeds=True), "seeds"))
-    repeated = stored(_repeated(rows, size, seed, marked), "repeated")
-    windows = _occurrences(rows, size, seed, marked).select("h", "doc_id")
+    """(doc_id, h, g): hashes of each document's windows that a smaller doc_id has too."""
+    rows = _prepared(docs)
+    parts = _parts(rows)
+    before, marked = _narrowed(rows, size, parts)
+    repeated = stored(_repeated(rows, size, size, before, marked, parts), "repeated")
+    windows = _occurrences(rows, size, size, before, marked).select("h", "g", "doc_id")
     # Nothing but the scan and a file is joined, so a hot window's partition can be split.
-    return windows.join(repeated, "h").where("lowest < doc_id").select("doc_id", "h")
+    return windows.join(repeated, ["h", "g"]).where("lowest < doc_id").select("doc_id", "h", "g")
 
 
 def longest_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -226,17 +286,18 @@ def longest_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     search ends with the first length that has no repeat. Rows of one doc_id with
     different texts are not told apart here.
     """
-    rows, keys, length, seed = _prepared(docs), ["doc_id", "at"], size, min(SEED, size)
-    marked = _marks(stored(_repeated(rows, size, seed, of_seeds=True), "seeds"))
+    rows, keys, length = _prepared(docs), ["doc_id", "at"], size
+    parts = _parts(rows)
+    before, marked = _narrowed(rows, size, parts)
     level, found = None, None
     while True:
-        # The first ``size`` words of a longer window choose its seed.
-        windows = _occurrences(rows, length, seed, marked, size)
+        # The first ``size`` words of a longer window choose for it.
+        windows = _occurrences(rows, size, length, before, marked)
         if level is not None:
             second = level.withColumn("at", F.col("at") - F.lit(length // 2))
             windows = windows.join(level, keys, "left_semi").join(second, keys, "left_semi")
-        repeated = stored(_repeated(rows, length, seed, marked, first=size), "repeated")
-        level = stored(windows.join(repeated, "h", "left_semi").select(*keys).distinct(), "level")
+        repeated = stored(_repeated(rows, size, length, before, marked, parts), "repeated")
+        level = stored(windows.join(repeated, ["h", "g"], "left_semi").select(*keys).distinct(), "level")
         here = level.withColumn("length", F.lit(length))
         found = here if found is None else found.unionByName(here)
         if level.isEmpty():
@@ -253,7 +314,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     new names are replaced.
     """
     docs = docs.drop("n_words", "n_removed", "kept_text", "__earlier", "__key")
-    earlier = earlier_windows(docs, size).groupBy("doc_id").agg(F.collect_set("h").alias("__earlier"))
+    earlier = earlier_windows(docs, size).groupBy("doc_id").agg(F.collect_set(F.struct("h", "g")).alias("__earlier"))
     joined = docs.join(earlier.withColumnRenamed("doc_id", "__key"), F.col("doc_id") == F.col("__key"), "left").drop("__key")
     names = docs.columns
     added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())]
@@ -268,17 +329,29 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
+def _pairs(hashes: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Two hashes as one value of 16 bytes."""
+    return np.stack([hashes, second], axis=1).view("V16").reshape(-1)
+
+
 def _kept(part: pa.RecordBatch, names: list[str], out: list[str], data: np.ndarray, offsets: np.ndarray, size: int) -> pa.RecordBatch:
     words, lists, raw = Words(data, offsets), part.column("__earlier"), data.tobytes()
-    window, at = window_hashes(words.hashes(), size), window_starts(words, size)
+    at = window_starts(words, size)
+    window = window_hashes(words.hashes(), size)[at]
+    ends, pairs = lists.offsets.to_numpy(), lists.values
+    hashes, second = (pairs.field(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in (0, 1))
+    known = lists.is_valid().to_numpy(zero_copy_only=False)
+    # Only windows that may go get their second hash.
+    maybe = np.flatnonzero(np.isin(window, hashes)) if len(hashes) else np.zeros(0, np.int64)
+    at, window = at[maybe], window[maybe]
+    own_pairs, all_pairs = _pairs(window, _second(words, at, size)), _pairs(hashes, second)
     from_text = np.searchsorted(at, words.first)
     removed, kept = [], []
     for i in range(part.num_rows):
         own = raw[offsets[i] : offsets[i + 1]].split()
-        earlier = lists[i].values
-        if earlier is not None and len(earlier):
-            here = at[from_text[i] : from_text[i + 1]]
-            here = here[np.isin(window[here], earlier.to_numpy().view(np.uint64))] - words.first[i]
+        if known[i] and ends[i + 1] > ends[i]:
+            some = slice(from_text[i], from_text[i + 1])
+            here = at[some][np.isin(own_pairs[some], all_pairs[ends[i] : ends[i + 1]])] - words.first[i]
             steps = np.zeros(len(own) + 1, np.int32)
             np.add.at(steps, here, 1)
             np.add.at(steps, here + size, -1)

@@ -58,14 +58,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
     """64-bit hash of every span of bytes: eight bytes at a time, mixed into what came before.
 
     Each step is a bijection of what it mixes in, so there are no families of equal
-    hashes as a polynomial has them. Very long spans are hashed one by one.
+    hashes as a polynomial has them. Very long spans are hashed one by one. Another
+    ``salt`` gives another hash.
     """
     sizes = ends - starts
-    out = mix(sizes.astype(np.uint64) * _STEP + _BASE)
+    out = mix(sizes.astype(np.uint64) * _STEP + (_BASE ^ np.uint64(salt)))
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     live = np.flatnonzero(sizes <= LONG_SPAN)
@@ -78,7 +79,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         more = left > 8
         live, at, left = live[more], at[more] + 8, left[more] - 8
     for i in np.flatnonzero(sizes > LONG_SPAN).tolist():
-        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), salt)
     return out
 
 

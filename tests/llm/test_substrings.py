@@ -77,10 +77,12 @@ def test_runs_come_back():
     r = np.random.default_rng(1)
     hashes = np.sort(r.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
     low = r.integers(-50, 50, 500)
-    batch = S._packed(hashes, low, low + r.integers(0, 3, 500), 7)
+    second = r.integers(0, 1 << 62, 500).astype(np.uint64)
+    batch = S._packed(hashes, second, low, low + r.integers(0, 3, 500), 7)
     parts = [S._unpacked(x.as_py()) for x in batch.column("run")]
     assert np.concatenate([p[0] for p in parts]).tolist() == hashes.tolist()
-    assert np.concatenate([p[1] for p in parts]).tolist() == low.tolist()
+    assert np.concatenate([p[1] for p in parts]).tolist() == second.tolist()
+    assert np.concatenate([p[2] for p in parts]).tolist() == low.tolist()
     assert batch.column("part").to_pylist() == sorted(set(batch.column("part").to_pylist()))
 
 
@@ -112,3 +114,37 @@ def test_mirrored_words_are_different(spark, documents):
     shared = " ".join(f"w{i}" for i in range(12))
     rows = S.remove_repeats(documents({1: f"{shared} {one}", 2: f"{shared} {other}", 3: f"{shared} {one}"})).collect()
     assert {r["doc_id"]: r["n_removed"] for r in rows} == {1: 0, 2: 0, 3: 13}
+
+
+def test_equal_windows_choose_equally_at_every_level():
+    passage = long_text(1, 13)
+    texts = [f"{long_text(k, k)} {passage} {long_text(9, 7)}".encode() for k in range(1, 30)]
+    for length in S._lengths(13):
+        chosen = []
+        for k, text in enumerate(texts, 1):
+            words = S.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+            at, hashes = S._level(words, 13, length, 0, None)
+            chosen.append({h for a, h in zip(at.tolist(), hashes.tolist()) if k <= a <= k + 13 - length})
+        assert set.intersection(*chosen)
+
+
+def test_each_level_has_fewer_windows(documents):
+    # Common short runs of words end the search at the first levels.
+    lines = [" ".join(f"{w} {w}a {w}b {w}c {w}d" for w in long_text(k, 12).split()) for k in range(6)]
+    rows = S._prepared(documents(dict(enumerate([*lines, long_text(77, 60), long_text(77, 60)[5:]]))))
+    before, marked = S._narrowed(rows, 13, 3)
+    assert before == 8
+    wide = S._occurrences(rows, 13, 13, 0, None).count()
+    assert 0 < S._occurrences(rows, 13, 13, before, marked).count() < wide
+
+
+def test_entries_of_one_hash_stay_apart_by_the_second():
+    hashes, second = np.array([3, 3, 3, 1], np.uint64), np.array([9, 8, 9, 9], np.uint64)
+    ids = np.array([4, 5, 6, 7])
+    got = S._merged(hashes, second, ids, ids)
+    assert [x.tolist() for x in got] == [[1, 3, 3], [9, 8, 9], [7, 5, 4], [7, 5, 6]]
+    text = long_text(1, 40).encode()
+    words = S.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    at = np.arange(5, 20)
+    again = S._second(words, at, 13)
+    assert len(set(again.tolist())) == 15 and not set(again.tolist()) & set(S.window_hashes(words.hashes(), 13).tolist())
