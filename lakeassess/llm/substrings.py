@@ -13,7 +13,8 @@ next level hashes only windows whose choice is marked. A bit may stand for
 several windows, which lets some through that are not repeated; the next level
 then counts exactly.
 
-The last level decides by 128 bits: two hashes from words hashed apart.
+The last level decides by 96 bits: two hashes from words hashed apart. Only a first
+hash that stands for several windows takes the second one along to the documents.
 
 Which hashes are repeated is found from packed runs: a task sorts its hashes,
 keeps one entry per hash with the range of its doc_ids, and sends each range of
@@ -69,6 +70,14 @@ def _chosen(rank: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
     return better(place[at], place[at + span - width])
 
 
+def _around(place: np.ndarray, at: np.ndarray, size: int, length: int) -> np.ndarray:
+    """Start of the window of ``length`` words at the seed in each full window: the
+    seed begins it, or ends it where it would reach beyond the full window."""
+    seed = min(SEED, size)
+    start = np.where(place + length <= at + size, place, place + seed - length)
+    return np.clip(start, at, at + size - length)
+
+
 def _level(words: Words, size: int, length: int, before: int, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(first word, hash) of a level's windows of ``length`` words.
 
@@ -81,11 +90,10 @@ def _level(words: Words, size: int, length: int, before: int, bits: np.ndarray |
     seed = min(SEED, size)
     place = _chosen(mix(window_hashes(hashes, seed)), at, size - seed + 1)
     if bits is not None:
-        some = np.flatnonzero(_is_marked(bits, window_hashes(hashes, before)[np.minimum(place, at + size - before)]))
+        some = np.flatnonzero(_is_marked(bits, window_hashes(hashes, before)[_around(place, at, size, before)]))
         at, place = at[some], place[some]
     if length < size:
-        # Choices never go back, so equal ones are neighbours.
-        at = np.unique(np.minimum(place, at + size - length))
+        at = np.unique(_around(place, at, size, length))
     return at, window_hashes(hashes, length)[at]
 
 
@@ -97,7 +105,7 @@ def _second(words: Words, at: np.ndarray, length: int) -> np.ndarray:
     inside = np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(at + length, minlength=n + 1))[:n] > 0
     hashes = np.zeros(n, np.uint64)
     hashes[inside] = span_hashes(words.data, words.start[inside], words.end[inside], _SALT)
-    return window_hashes(hashes, length)[at]
+    return window_hashes(hashes, length)[at] >> np.uint64(32)
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -126,7 +134,7 @@ def _is_marked(bits: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 def _bytes(values: np.ndarray) -> bytes:
     """Unsigned numbers in as few bytes each as the largest takes; one byte says how many."""
-    width = (int(values.max()).bit_length() + 7) // 8
+    width = (int(values.max(initial=0)).bit_length() + 7) // 8
     return bytes([width]) + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
@@ -158,7 +166,10 @@ def _packed(hashes: np.ndarray, second: np.ndarray, low: np.ndarray, high: np.nd
             base = low[a:b].min()
             raw = np.array([b - a, base], "<i8").tobytes()
             raw += _bytes(np.diff(hashes[a:b], prepend=np.uint64(0))) + _bytes(second[a:b])
-            raw += _bytes((low[a:b] - base).view(np.uint64)) + _bytes((high[a:b] - low[a:b]).view(np.uint64))
+            # Few hashes are in several documents of a task.
+            more = high[a:b] - low[a:b]
+            raw += _bytes((low[a:b] - base).view(np.uint64)) + np.packbits(more > 0).tobytes()
+            raw += _bytes(more[more > 0].view(np.uint64))
             numbers.append(part[a])
             runs.append(raw)
     return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(runs, pa.binary())], ["part", "run"])
@@ -169,9 +180,13 @@ def _unpacked(raw: bytes) -> tuple[np.ndarray, ...]:
     steps, at = _unbytes(raw, 16, count)
     second, at = _unbytes(raw, at, count)
     low, at = _unbytes(raw, at, count)
-    more, _ = _unbytes(raw, at, count)
     low = low.view(np.int64) + base
-    return np.cumsum(steps, dtype=np.uint64), second, low, low + more.view(np.int64)
+    end = at + (count + 7) // 8
+    several = np.flatnonzero(np.unpackbits(np.frombuffer(raw[at:end], np.uint8), count=count))
+    more, _ = _unbytes(raw, end, len(several))
+    high = low.copy()
+    high[several] += more.view(np.int64)
+    return np.cumsum(steps, dtype=np.uint64), second, low, high
 
 
 def _parts(docs: DataFrame) -> int:
@@ -181,8 +196,8 @@ def _parts(docs: DataFrame) -> int:
 
 
 def _repeated(docs: DataFrame, size: int, length: int, before: int, marked, parts: int) -> DataFrame:
-    """(h, g, lowest): hashes of a level's windows found in more than one document,
-    with the smallest doc_id."""
+    """(h, g, lowest): hash of a level's windows found in more than one document, with
+    the smallest doc_id; the second hash too where the first stands for several windows."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -199,8 +214,11 @@ def _repeated(docs: DataFrame, size: int, length: int, before: int, marked, part
         runs = [_unpacked(raw.as_py()) for batch in batches for raw in batch.column("run")]
         if runs:
             hashes, second, low, high = _merged(*(np.concatenate(x) for x in zip(*runs)))
+            next_same = np.append(hashes[1:] == hashes[:-1], False)
+            unsure = next_same | np.append(False, next_same[:-1])
             some = low < high
-            yield pa.RecordBatch.from_arrays([_signed(hashes[some]), _signed(second[some]), pa.array(low[some])], ["h", "g", "lowest"])
+            g = pa.array(second[some].view(np.int64), mask=~unsure[some])
+            yield pa.RecordBatch.from_arrays([_signed(hashes[some]), g, pa.array(low[some])], ["h", "g", "lowest"])
 
     packed = docs.mapInArrow(pack, "part int, run binary")
     return packed.repartitionById(parts, F.col("part")).mapInArrow(merge, "h bigint, g bigint, lowest bigint")
@@ -212,7 +230,7 @@ def _entries(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int)
 
 
 def _occurrences(docs: DataFrame, size: int, length: int, before: int, marked) -> DataFrame:
-    """(h, g, doc_id, at) of all windows of a level."""
+    """(h, g, doc_id, at) of all windows of a level; g is their second hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, text, at, window, second in _windows_of(batches, size, length, before, marked.value if marked else None):
@@ -268,14 +286,17 @@ def _narrowed(docs: DataFrame, size: int, parts: int) -> tuple[int, object]:
 
 
 def earlier_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc_id, h, g): hashes of each document's windows that a smaller doc_id has too."""
+    """(doc_id, h, g): hashes of each document's windows that a smaller doc_id has too.
+
+    Where g is not null, only windows with that second hash are meant.
+    """
     rows = _prepared(docs)
     parts = _parts(rows)
     before, marked = _narrowed(rows, size, parts)
     repeated = stored(_repeated(rows, size, size, before, marked, parts), "repeated")
-    windows = _occurrences(rows, size, size, before, marked).select("h", "g", "doc_id")
+    windows = _occurrences(rows, size, size, before, marked).select("h", "doc_id")
     # Nothing but the scan and a file is joined, so a hot window's partition can be split.
-    return windows.join(repeated, ["h", "g"]).where("lowest < doc_id").select("doc_id", "h", "g")
+    return windows.join(repeated, "h").where("lowest < doc_id").select("doc_id", "h", "g")
 
 
 def longest_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -297,7 +318,9 @@ def longest_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
             second = level.withColumn("at", F.col("at") - F.lit(length // 2))
             windows = windows.join(level, keys, "left_semi").join(second, keys, "left_semi")
         repeated = stored(_repeated(rows, size, length, before, marked, parts), "repeated")
-        level = stored(windows.join(repeated, ["h", "g"], "left_semi").select(*keys).distinct(), "level")
+        same = repeated.select(F.col("h").alias("__h"), F.col("g").alias("__g"))
+        meant = (F.col("h") == F.col("__h")) & (F.col("__g").isNull() | (F.col("__g") == F.col("g")))
+        level = stored(windows.join(same, meant, "left_semi").select(*keys).distinct(), "level")
         here = level.withColumn("length", F.lit(length))
         found = here if found is None else found.unionByName(here)
         if level.isEmpty():
@@ -313,8 +336,9 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     rows of one doc_id don't count as earlier than each other. Columns with the
     new names are replaced.
     """
-    docs = docs.drop("n_words", "n_removed", "kept_text", "__earlier", "__key")
-    earlier = earlier_windows(docs, size).groupBy("doc_id").agg(F.collect_set(F.struct("h", "g")).alias("__earlier"))
+    docs = docs.drop("n_words", "n_removed", "kept_text", "__earlier", "__unsure", "__key")
+    lists = (F.collect_set(F.when(F.col("g").isNull(), F.col("h"))), F.collect_set(F.when(F.col("g").isNotNull(), F.struct("h", "g"))))
+    earlier = earlier_windows(docs, size).groupBy("doc_id").agg(lists[0].alias("__earlier"), lists[1].alias("__unsure"))
     joined = docs.join(earlier.withColumnRenamed("doc_id", "__key"), F.col("doc_id") == F.col("__key"), "left").drop("__key")
     names = docs.columns
     added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())]
@@ -329,29 +353,28 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def _pairs(hashes: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Two hashes as one value of 16 bytes."""
-    return np.stack([hashes, second], axis=1).view("V16").reshape(-1)
+def _meant(words: Words, at: np.ndarray, window: np.ndarray, sure: np.ndarray, unsure: list[dict], size: int) -> np.ndarray:
+    """Positions of one text whose window is among the sure hashes or the unsure pairs."""
+    hit = np.isin(window, sure)
+    if unsure:
+        pairs = {(p["h"], p["g"]) for p in unsure}
+        own = zip(window.view(np.int64).tolist(), _second(words, at, size).tolist())
+        hit |= np.fromiter((pair in pairs for pair in own), bool, len(at))
+    return at[hit]
 
 
 def _kept(part: pa.RecordBatch, names: list[str], out: list[str], data: np.ndarray, offsets: np.ndarray, size: int) -> pa.RecordBatch:
-    words, lists, raw = Words(data, offsets), part.column("__earlier"), data.tobytes()
+    words, lists, unsure, raw = Words(data, offsets), part.column("__earlier"), part.column("__unsure"), data.tobytes()
     at = window_starts(words, size)
     window = window_hashes(words.hashes(), size)[at]
-    ends, pairs = lists.offsets.to_numpy(), lists.values
-    hashes, second = (pairs.field(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in (0, 1))
-    known = lists.is_valid().to_numpy(zero_copy_only=False)
-    # Only windows that may go get their second hash.
-    maybe = np.flatnonzero(np.isin(window, hashes)) if len(hashes) else np.zeros(0, np.int64)
-    at, window = at[maybe], window[maybe]
-    own_pairs, all_pairs = _pairs(window, _second(words, at, size)), _pairs(hashes, second)
     from_text = np.searchsorted(at, words.first)
     removed, kept = [], []
     for i in range(part.num_rows):
         own = raw[offsets[i] : offsets[i + 1]].split()
-        if known[i] and ends[i + 1] > ends[i]:
+        sure = lists[i].values
+        if sure is not None:
             some = slice(from_text[i], from_text[i + 1])
-            here = at[some][np.isin(own_pairs[some], all_pairs[ends[i] : ends[i + 1]])] - words.first[i]
+            here = _meant(words, at[some], window[some], sure.to_numpy().view(np.uint64), unsure[i].as_py(), size) - words.first[i]
             steps = np.zeros(len(own) + 1, np.int32)
             np.add.at(steps, here, 1)
             np.add.at(steps, here + size, -1)

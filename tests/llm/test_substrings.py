@@ -128,6 +128,48 @@ def test_equal_windows_choose_equally_at_every_level():
         assert set.intersection(*chosen)
 
 
+def test_windows_of_one_hash_are_told_apart(documents, monkeypatch):
+    # One first hash for all full windows: the second one decides.
+    texts = cases()
+    plain, widest = S.window_hashes, S._lengths(13)[-1]
+    words = [w for _, t in texts for w in words_of(t)]
+    assert len(words) > 100
+
+    def same(hashes, size):
+        found = plain(hashes, size)
+        return found & np.uint64(1) if size == widest and not same.second else found
+
+    same.second = False
+    second = S._second
+
+    def apart(words, at, length):
+        same.second = True
+        try:
+            return second(words, at, length)
+        finally:
+            same.second = False
+
+    found = []
+    monkeypatch.setattr(S, "window_hashes", same)
+    monkeypatch.setattr(S, "_second", apart)
+    blocks = [(i, t.encode()) for i, t in texts if i is not None and t]
+    for i, text in blocks:
+        w = S.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        at, h = S._level(w, 13, 13, 0, None)
+        found += [(i, x, y) for x, y in zip(h.tolist(), apart(w, at, 13).tolist())]
+    lowest = {}
+    for i, h, g in found:
+        lowest[h, g] = min(i, lowest.get((h, g), i))
+    wanted = {(i, t): row for (i, t), row in zip(texts, brute(texts))}
+    for i, text in blocks:
+        w = S.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        at, h = S._level(w, 13, 13, 0, None)
+        unsure = [{"h": a, "g": b} for j, a, b in found if j == i and lowest[a, b] < i]
+        here = S._meant(w, at, h, np.zeros(0, np.uint64), unsure, 13)
+        gone = {p for a in here.tolist() for p in range(a, a + 13)}
+        assert len(gone) == wanted[i, text.decode()][1]
+
+
 def test_each_level_has_fewer_windows(documents):
     # Common short runs of words end the search at the first levels.
     lines = [" ".join(f"{w} {w}a {w}b {w}c {w}d" for w in long_text(k, 12).split()) for k in range(6)]
