@@ -14,6 +14,7 @@ from lakeassess.functions.dates import to_date_value, to_seconds_of_day
 from lakeassess.functions.formulas import hardness_equation
 from lakeassess.functions.groups import HotSites, find_hot_sites
 from lakeassess.functions.missing import divide, numeric
+from lakeassess.operators import ammonia, tsi
 from lakeassess.operators.ammonia import ammonia_acute, ammonia_chronic_events, ammonia_chronic_standards
 from lakeassess.operators.chronic import SERIES, chronic_events, undersampled_series, with_chronic_standards
 from lakeassess.operators.dependent import hardness_dependent
@@ -26,6 +27,7 @@ from lakeassess.operators.tsi import (
     analyte_year_values,
     site_requirements,
     tsi_points,
+    tsi_readings,
     tsi_requirements,
     tsi_samples,
     tsi_use_support,
@@ -39,12 +41,16 @@ from lakeassess.sources.tables import read_standards, read_stations, read_table
 
 from . import derive
 
+#: Columns the checks without hardness read.
+READING = ("row_id", "mlid", "AUID", "start_date", "start_time", "sample_depth", "analyte", "sample_fraction", "result_value")
+
 
 class Lake:
     """Derived inputs of one data folder, and the tables shared by queries."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, dense: bool = False):
-        self.spark, self.sf_dir = tune(spark), sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, dense: bool = False, analytes: tuple[str, ...] = ()):
+        """``analytes``: those the query's checks read; all by default."""
+        self.spark, self.sf_dir, self.analytes = tune(spark), sf_dir, analytes
         self.samples = map_sample_columns(derive.raw_samples(spark, sf_dir, dense))
         self.stations = derive.stations(spark, sf_dir)
         self.hot: HotSites = find_hot_sites(derive.sample_sites(spark, sf_dir))
@@ -63,8 +69,18 @@ class Lake:
         return keep(self.prepared, "prepared", ["analyte"])
 
     @cached_property
-    def thermoclines(self) -> DataFrame:
-        return keep(thermocline(self.kept_prepared, self.hot), "thermocline")
+    def kept_needed(self) -> DataFrame:
+        """Prepared samples of the query's analytes, for one check that reads them more than once."""
+        return keep(self.prepared.where(F.col("analyte").isin(*self.analytes)), "needed", ["analyte"])
+
+    @cached_property
+    def kept_readings(self) -> DataFrame:
+        """The same for checks that know no hardness: the columns that place and date a reading."""
+        rows = usable_samples(self.samples, self.stations).where(F.col("analyte").isin(*self.analytes))
+        return keep(rows.select(*READING), "readings", ["analyte"])
+
+    def thermoclines_of(self, samples: DataFrame) -> DataFrame:
+        return keep(thermocline(samples, self.hot), "thermocline")
 
     @cached_property
     def macrophytes(self) -> DataFrame:
@@ -72,11 +88,11 @@ class Lake:
 
     @cached_property
     def tsi_samples(self) -> DataFrame:
-        return tsi_samples(self.kept_prepared, self.thermoclines, self.macrophytes, self.hot)
+        return tsi_samples(self.kept_needed, self.thermoclines_of(self.kept_needed), self.macrophytes)
 
     @cached_property
     def tsi_requirements(self) -> DataFrame:
-        return tsi_requirements(self.kept_prepared, self.thermoclines, self.macrophytes, self.hot)
+        return tsi_requirements(self.kept_needed, self.thermoclines_of(self.kept_needed), self.macrophytes)
 
     @cached_property
     def kept_requirements(self) -> DataFrame:
@@ -198,7 +214,8 @@ def sparse_series(spark, sf_dir):
 
 def chronic_event_rows(spark, sf_dir):
     lake = Lake(spark, sf_dir)
-    events = chronic_events(lake.kept_prepared, lake.standards, lake.thermoclines, hot_sites=lake.hot)
+    thermoclines = lake.thermoclines_of(usable_samples(lake.samples, lake.stations))
+    events = chronic_events(lake.prepared, lake.standards, thermoclines, hot_sites=lake.hot)
     return published(
         events,
         *ACUTE,
@@ -215,9 +232,9 @@ def chronic_event_rows(spark, sf_dir):
 
 
 def ammonia_chronic_standard(spark, sf_dir):
-    lake = Lake(spark, sf_dir, dense=True)
+    lake = Lake(spark, sf_dir, dense=True, analytes=ammonia.INPUT_ANALYTES)
     return published(
-        ammonia_chronic_standards(lake.kept_prepared, lake.thermoclines, hot_sites=lake.hot),
+        ammonia_chronic_standards(lake.kept_readings, lake.thermoclines_of(lake.kept_readings)),
         "row_id",
         "mlid",
         "start_date",
@@ -232,8 +249,9 @@ def ammonia_chronic_standard(spark, sf_dir):
 
 
 def _ammonia_events(spark, sf_dir, *columns):
-    lake = Lake(spark, sf_dir, dense=True)
-    events = ammonia_chronic_events(lake.kept_prepared, lake.thermoclines, hot_sites=lake.hot)
+    lake = Lake(spark, sf_dir, dense=True, analytes=ammonia.INPUT_ANALYTES)
+    readings = lake.kept_readings
+    events = ammonia_chronic_events(readings, lake.thermoclines_of(readings), hot_sites=lake.hot)
     return published(events, "row_id", "mlid", "start_date", "depth_narrative", *columns)
 
 
@@ -267,7 +285,7 @@ def ammonia_first_last(spark, sf_dir):
 
 def tsi_nvss(spark, sf_dir):
     return published(
-        Lake(spark, sf_dir).tsi_samples,
+        Lake(spark, sf_dir, analytes=tsi.INPUT_ANALYTES).tsi_samples,
         "mlid",
         "AUID",
         "start_date",
@@ -286,7 +304,9 @@ def tsi_nvss(spark, sf_dir):
 
 
 def tsi_site_requirements(spark, sf_dir):
-    rows = Lake(spark, sf_dir).tsi_samples.withColumns(
+    lake = Lake(spark, sf_dir, analytes=tsi.INPUT_ANALYTES)
+    readings = tsi_readings(lake.kept_readings, lake.thermoclines_of(lake.kept_readings), lake.macrophytes)
+    rows = readings.withColumns(
         {"collection_month": F.month("start_date"), "collection_year": F.year("start_date")}
     )
     return site_requirements(rows)
@@ -294,7 +314,7 @@ def tsi_site_requirements(spark, sf_dir):
 
 def tsi_param_requirements(spark, sf_dir):
     return published(
-        Lake(spark, sf_dir).tsi_requirements,
+        Lake(spark, sf_dir, analytes=tsi.INPUT_ANALYTES).tsi_requirements,
         "mlid",
         "AUID",
         "start_date",
@@ -316,12 +336,12 @@ def tsi_param_requirements(spark, sf_dir):
 
 
 def tsi_point_rows(spark, sf_dir):
-    return published(tsi_points(analyte_year_values(Lake(spark, sf_dir).kept_requirements)))
+    return published(tsi_points(analyte_year_values(Lake(spark, sf_dir, analytes=tsi.INPUT_ANALYTES).kept_requirements)))
 
 
 def tsi_support_rows(spark, sf_dir):
     return published(
-        tsi_use_support(Lake(spark, sf_dir).kept_requirements),
+        tsi_use_support(Lake(spark, sf_dir, analytes=tsi.INPUT_ANALYTES).kept_requirements),
         "AUID",
         "analyte",
         "collection_year",

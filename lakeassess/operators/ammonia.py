@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.donors import fill_all_from_donors
 from ..functions.formulas import ph_curve
 from ..functions.groups import GroupSpec, HotSites, day_position, find_hot_sites, group_window
 from ..functions.missing import divide, exceeds, matching_join, numeric, round_even
@@ -14,6 +15,9 @@ from .chronic import depth_class, undersampled_series
 from .events import EventColumns, span_totals
 from .standards import with_numbers
 
+#: Analytes whose samples the chronic check reads, thermoclines included.
+INPUT_ANALYTES = (AMMONIA, PH, TEMPERATURE)
+
 
 def ammonia_acute(
     data: DataFrame, params: AmmoniaParams | None = None, hot_sites: HotSites | None = None
@@ -72,7 +76,6 @@ def ammonia_chronic_standards(
     data: DataFrame,
     thermoclines: DataFrame,
     params: AmmoniaParams | None = None,
-    hot_sites: HotSites | None = None,
 ) -> DataFrame:
     """Ammonia samples above a known thermocline, with chronic and sub-chronic
     standards from that visit's pH and temperature.
@@ -81,7 +84,6 @@ def ammonia_chronic_standards(
     its ammonia has fewer than three visits.
     """
     params = params or AmmoniaParams()
-    hot = hot_sites or find_hot_sites(data)
     ammonia = data.where(F.col("analyte") == AMMONIA)
     sparse = (
         undersampled_series(ammonia, ["mlid", "sample_fraction"]).select("mlid", "depth_narrative").distinct()
@@ -93,13 +95,8 @@ def ammonia_chronic_standards(
         .withColumn("rounded_depth", round_even(F.col("sample_depth")))
         .withColumn("depth_narrative", depth_class(F.col("sample_depth"), include_limit=True))
     )
-    covered = matching_join(measured, sparse, ["mlid", "depth_narrative"], "left_anti").withColumns(
-        {
-            "pH": F.when(F.col("analyte") == PH, F.col("result_value")),
-            "temperature": F.when(F.col("analyte") == TEMPERATURE, F.col("result_value")),
-        }
-    )
-    spec = GroupSpec(keys=["mlid", "start_date"], order=["row_id"], fill=("pH", "temperature"))
+    covered = matching_join(measured, sparse, ["mlid", "depth_narrative"], "left_anti")
+    known = {name: F.when(F.col("analyte") == of, F.col("result_value")) for name, of in (("pH", PH), ("temperature", TEMPERATURE))}
     month = F.month("start_date")
     early = F.when(month.isin(*params.early_life_months), F.lit("Present")).otherwise(F.lit("Absent"))
     names = [
@@ -112,7 +109,7 @@ def ammonia_chronic_standards(
         "temperature",
     ]
     return (
-        group_window(covered, spec, hot)
+        fill_all_from_donors(covered, ["mlid", "start_date"], known)
         .select(*names)
         .where(F.col("analyte") == AMMONIA)
         .dropna(subset=["pH", "temperature", "result_value"])
@@ -143,7 +140,7 @@ def ammonia_chronic_events(
     subchronic = EventColumns(
         "quotient_subchronic", "subchronic", "standard_violation_subchronic", params.subchronic_days
     )
-    rows = ammonia_chronic_standards(data, thermoclines, params, hot).withColumn("__row", F.lit(True))
+    rows = ammonia_chronic_standards(data, thermoclines, params).withColumn("__row", F.lit(True))
     needed = ("numeric_date", "quotient_chronic", "quotient_subchronic", "__row")
     spec = GroupSpec(
         keys=["mlid", "depth_narrative"],

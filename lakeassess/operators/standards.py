@@ -76,8 +76,8 @@ def acute_single_value(data: DataFrame, standards: DataFrame) -> DataFrame:
 
 
 def with_numbers(data: DataFrame, names: tuple[str, ...] = ("result_value", "hardness")) -> DataFrame:
-    """Result and hardness as doubles."""
-    return data.withColumns({n: numeric(data, n) for n in names})
+    """Result and hardness, where present, as doubles."""
+    return data.withColumns({n: numeric(data, n) for n in names if n in data.columns})
 
 
 def filter_by_pairs(

@@ -8,11 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.donors import fill_all_from_donors
 from ..functions.formulas import half_of_sites
-from ..functions.groups import GroupSpec, HotSites, Total, find_hot_sites, group_window
 from ..functions.median import exact_median
 from ..functions.missing import matching_join, natural_log, numeric
-from ..schema import CHLOROPHYLL, LIMIT_COLUMNS, NVSS, PHOSPHORUS, SECCHI, TSS, VSS
+from ..schema import CHLOROPHYLL, LIMIT_COLUMNS, NVSS, PHOSPHORUS, SECCHI, TEMPERATURE, TSS, VSS
 from ..sources.storage import keep
 
 # Fixed values.
@@ -32,28 +32,27 @@ MIN_PARAMETERS = 2
 INCHES_PER_METER = 39.3700787
 SUPPORT_LIMIT = 75
 PARAMETER_ANALYTES = (PHOSPHORUS, NVSS, CHLOROPHYLL)
+#: Analytes whose samples the index reads, thermoclines included.
+INPUT_ANALYTES = (PHOSPHORUS, TSS, VSS, CHLOROPHYLL, SECCHI, TEMPERATURE)
 
 LAKE_YEAR = ["AUID", "collection_year"]
 ANALYTE_YEAR = ["AUID", "analyte", "collection_year"]
 
 
-def tsi_samples(
-    data: DataFrame, thermoclines: DataFrame, macrophytes: DataFrame, hot_sites: HotSites | None = None
-) -> DataFrame:
-    """Samples that enter the index, one row per distinct reading.
+def tsi_readings(data: DataFrame, thermoclines: DataFrame, macrophytes: DataFrame) -> DataFrame:
+    """Readings that enter the index, repeats included.
 
     Suspended solids count only where total and volatile were both measured at
     one site, day and depth; their difference replaces both. Secchi depths go
     from inches to meters. All readings but chlorophyll must lie at or above a
-    known thermocline.
+    known thermocline. A visit's solids are aggregated into one record, joined to
+    its readings; no window orders them.
     """
     analyte = F.col("analyte")
     relevant = data.where(
         ((analyte == PHOSPHORUS) & (F.col("sample_fraction") == "Total"))
         | analyte.isin(TSS, VSS, CHLOROPHYLL, SECCHI)
     ).where(F.col("result_value").isNotNull())
-    hot = hot_sites or find_hot_sites(relevant)
-    result = numeric(data, "result_value")
     above = F.when(
         F.col("thermocline_depth").isNotNull() & (analyte != CHLOROPHYLL),
         F.col("sample_depth") <= F.col("thermocline_depth"),
@@ -62,24 +61,17 @@ def tsi_samples(
         matching_join(relevant, macrophytes, ["AUID", "start_date"], "left")
         .join(thermoclines, ["mlid", "start_date"], "left")
         .where(above)
-        .withColumns(
-            {
-                "result_value": result,
-                "TSS": F.when(analyte == TSS, result),
-                "VSS": F.when(analyte == VSS, result),
-            }
-        )
+        .withColumn("result_value", numeric(data, "result_value"))
     )
-    spec = GroupSpec(
-        keys=["mlid", "start_date", "sample_depth"],
-        order=["row_id"],
-        fill=("TSS", "VSS"),
-        totals={
-            "__tss": Total(F.some(analyte == TSS), F.some),
-            "__vss": Total(F.some(analyte == VSS), F.some),
-        },
+    solids = analyte.isin(TSS, VSS)
+    filled = fill_all_from_donors(
+        readings,
+        ["mlid", "start_date", "sample_depth"],
+        {name: F.when(analyte == of, F.col("result_value")) for name, of in (("TSS", TSS), ("VSS", VSS))},
+        marks={"__tss": analyte == TSS, "__vss": analyte == VSS},
+        donating=solids,
     )
-    solids, paired = analyte.isin(TSS, VSS), F.col("__tss") & F.col("__vss")
+    paired = F.coalesce(F.col("__tss") & F.col("__vss"), F.lit(False))
     difference = F.col("TSS") - F.col("VSS")
     values = {
         "TSS": F.when(paired, F.col("TSS")),
@@ -91,18 +83,19 @@ def tsi_samples(
         analyte == SECCHI, F.col("result_value") / F.lit(INCHES_PER_METER)
     ).otherwise(F.col("result_value"))
     names = [c for c in data.columns if c not in ("row_id", "qualifiers", "data_usability", *LIMIT_COLUMNS)]
-    rows = group_window(readings, spec, hot).where(~solids | paired)
+    rows = filled.where(~solids | paired)
     for name, value in values.items():
         rows = rows.withColumn(name, value)
-    return (
-        rows.withColumn("result_value", converted)
-        .select(*names, "coverage", "thermocline_depth", "TSS", "VSS", "NVSS")
-        .distinct()
-    )
+    return rows.withColumn("result_value", converted).select(*names, "coverage", "thermocline_depth", "TSS", "VSS", "NVSS")
+
+
+def tsi_samples(data: DataFrame, thermoclines: DataFrame, macrophytes: DataFrame) -> DataFrame:
+    """Readings that enter the index, one row per distinct reading."""
+    return tsi_readings(data, thermoclines, macrophytes).distinct()
 
 
 def site_requirements(samples: DataFrame) -> DataFrame:
-    """Coverage of each lake, analyte and year.
+    """Coverage of each lake, analyte and year. Repeated readings change nothing.
 
     Each site's sampled months become bits of one number, so all distinct counts
     of months and of sites per month come from two aggregates with map-side
@@ -171,14 +164,12 @@ def parameter_requirements(sites: DataFrame) -> DataFrame:
     return sites.withColumn("use_param", F.when(counts, _yes_no(parameters >= MIN_PARAMETERS)))
 
 
-def tsi_requirements(
-    data: DataFrame, thermoclines: DataFrame, macrophytes: DataFrame, hot_sites: HotSites | None = None
-) -> DataFrame:
+def tsi_requirements(data: DataFrame, thermoclines: DataFrame, macrophytes: DataFrame) -> DataFrame:
     """Samples of the index with the requirement verdicts on every row.
 
     The samples are written once: counts and rows both start from them.
     """
-    samples = keep(tsi_samples(data, thermoclines, macrophytes, hot_sites), "tsi-samples").withColumns(
+    samples = keep(tsi_samples(data, thermoclines, macrophytes), "tsi-samples").withColumns(
         {"collection_month": F.month("start_date"), "collection_year": F.year("start_date")}
     )
     verdicts = parameter_requirements(site_requirements(samples))

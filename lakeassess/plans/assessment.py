@@ -61,7 +61,7 @@ def assess(inputs: Inputs, params: AssessmentParams | None = None) -> dict[str,
     }
     if params.trophic_state:
         required = keep(
-            tsi_requirements(prepared, thermoclines, inputs.macrophytes, hot), "tsi-requirements"
+            tsi_requirements(prepared, thermoclines, inputs.macrophytes), "tsi-requirements"
         )
         results["tsi_results"] = tsi_use_support(required)
     return results
