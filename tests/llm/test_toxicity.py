@@ -4,7 +4,16 @@ import zlib
 import numpy as np
 import pytest
 
-from lakeassess.llm.toxicity import WordModel, fit_toxicity, fit_unlabelled, op8_toxicity, score_toxicity, word_sets
+from lakeassess.llm.toxicity import (
+    WordModel,
+    fit_toxicity,
+    fit_unlabelled,
+    frequent_words,
+    op8_toxicity,
+    risk_gradient,
+    score_toxicity,
+    word_sets,
+)
 from lakeassess.llm.words import joined
 
 from .conftest import long_text
@@ -34,6 +43,48 @@ def test_learns_from_positives_and_unlabelled_alone():
     assert (scores[:100] < 0.3).all() and (scores[100:] > 0.5).all()
 
 
+def test_risk_and_gradient_against_differences():
+    r = np.random.default_rng(3)
+    # More of the inputs among positives: with weights above zero they fall apart.
+    xp, xu = (r.random((n, 5)) < share for n, share in ((30, 0.8), (200, 0.2)))
+    xp, xu = xp.astype(np.float32), xu.astype(np.float32)
+    signs = set()
+    for prior, mean in ((0.1, 0.0), (0.6, 2.0), (0.9, 2.0)):
+        w, bias = r.normal(mean, 0.5, size=5), float(r.normal(-mean, 0.5))
+
+        def parts(w, bias):
+            # Written out: loss of positives, and of unlabelled less positives, as negatives.
+            sp, su = (1 / (1 + np.exp(-(x.astype(float) @ w + bias))) for x in (xp, xu))
+            return np.array([-prior * np.log(sp).mean(), -np.log(1 - su).mean() + prior * np.log(1 - sp).mean()])
+
+        plus, minus, gw, gb = risk_gradient(xp, xu, w, bias, prior)
+        assert np.allclose([plus, minus], parts(w, bias), rtol=1e-4, atol=1e-5)
+        signs.add(minus < 0)
+        for k in range(6):
+            e = np.eye(6)[k] * 1e-5
+            slope = (parts(w + e[:5], bias + e[5]) - parts(w - e[:5], bias - e[5])) / 2e-5
+            wanted = -slope[1] if minus < 0 else slope.sum()
+            assert abs([*gw, gb][k] - wanted) < 1e-4
+    assert signs == {True, False}
+
+
+def test_frequent_words_count_each_document_once(spark):
+    rows = [("fool fool fool", 1)] + [(f"word{i} common", 0) for i in range(150)] + [(None, 0), ("", 0)]
+    found = frequent_words(spark.createDataFrame(rows, "text string, positive int").repartition(3))
+    assert found.tolist() == sorted(np.concatenate(sets(["fool", "common"])).tolist())
+
+
+def test_all_unlabelled_text_in_shards(spark, documents):
+    clean = {i: long_text(i, 40) for i in range(500)}
+    toxic = {1000 + i: long_text(2000 + i, 40) + (" fool" if i % 2 else " clown, fool") for i in range(80)}
+    labels = spark.createDataFrame([(i, 0) for i in range(300)] + [(1000 + i, 1) for i in range(40)], "doc_id bigint, toxic int")
+    docs = documents({**clean, **toxic, 5000: None, 5001: ""})
+    for shard in (100, 16_384):
+        model = fit_toxicity(docs, labels, shard=shard)
+        scores = {r["doc_id"]: r["score"] for r in score_toxicity(docs, model).collect()}
+        assert all(scores[i] > 0.5 for i in range(1040, 1080)) and all(scores[i] < 0.3 for i in [*range(300, 500), 5000, 5001])
+
+
 def test_edge_texts_and_columns(documents):
     model = WordModel(np.zeros(0, np.uint64), np.zeros(0), 0.0)
     docs = documents([(1, None), (2, ""), (None, "x"), (2, "")]).withColumnRenamed("lang", "score")
