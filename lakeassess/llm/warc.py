@@ -1,10 +1,11 @@
 """WARC archives: a writer with revisit records, and a reader that salvages damage.
 
 Records are gzip members of their own, written through Spark's text sink, so any
-file system Spark knows will do and a retried task leaves no half file. The sink
-ends every row with a separator byte; each row is therefore written without its
-last byte, which is made to be that separator: the high byte of a member's
-length, zero below 16 MiB, or of an empty member put behind larger ones.
+file system Spark knows will do and a retried task leaves no half file. A row of the
+sink holds consecutive members of a few MB, so the rows of a file bound its bytes. The
+sink ends every row with a separator byte; each row is therefore written without its
+last byte, which is made to be that separator: the high byte of the last member's
+length, zero below 16 MiB, or of an empty member put behind a larger one.
 
 The reader trusts nothing: a member must decompress and match its checksum, a
 record must have a version line, a length that fits, and its digests. Records of a
@@ -35,7 +36,9 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 DATE = "2020-01-01T00:00:00Z"
 LEVEL = 6
-RECORDS_PER_FILE = 10_000
+#: Members of a row end with the one that reaches this many bytes; a file has this many rows.
+ROW_BYTES = 1 << 22
+ROWS_PER_FILE = 16
 _STEP = 1 << 16
 _NAME = "urn:page:"
 
@@ -135,31 +138,42 @@ def repeated_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return digests.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, row_bytes: int = ROW_BYTES) -> None:
     """Write a record per page (page_id, url, html) to archives under ``path``.
 
     Null html is an empty payload. Of equal payloads of at least ``least_bytes``
     the smallest page_id is a response, the others are revisits of it; rows that
     repeat that page_id are responses too. A null page_id is written as none and is
-    never referred to.
+    never referred to. A file stays below ROWS_PER_FILE times ``row_bytes`` and the
+    largest packed record together: 64 MB and sixteen records at most.
     """
     again = stored(repeated_pages(pages, least_bytes), "again").withColumnsRenamed({"page_id": "__id", "digest": "__digest"})
     rows = pages.select(*_payload())
     same = rows["page_id"].eqNullSafe(again["__id"]) & (rows["digest"] == again["__digest"]) & (rows["size"] >= least_bytes)
     rows = rows.join(again, same, "left").select("page_id", "url", "html", "refers_to")
 
+    def packed(held: list[bytes]) -> pa.RecordBatch:
+        if held[-1][-1]:
+            held.append(member(b""))
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256).to_pydict()
-                out = []
                 for page_id, url, html, refers_to in zip(part["page_id"], part["url"], part["html"], part["refers_to"]):
-                    data = member(record_bytes(page_id, url, (html or "").encode(), refers_to))
-                    out.append((data if data[-1] == 0 else data + member(b""))[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                    held.append(member(record_bytes(page_id, url, (html or "").encode(), refers_to)))
+                    size += len(held[-1])
+                    if size >= row_bytes:
+                        yield packed(held)
+                        held, size = [], 0
+        if held:
+            yield packed(held)
 
     members = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    members.write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    members.write.option("lineSep", "\0").option("maxRecordsPerFile", ROWS_PER_FILE).text(path)
 
 
 def _unpack(content: memoryview, at: int) -> tuple[bytes, int, bool]:
@@ -292,8 +306,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
 
     Size and digest are those of the full payload: computed for a response, as
     declared for a revisit. ``payload`` adds the bytes, null for a revisit. One
-    file is read by one task, so archives should stay below a gigabyte, as those
-    of ``write_warc`` do.
+    file is read by one task and must stay below two gigabytes; those of ``write_warc``
+    do while no record packs to more than 120 MB.
     """
     schema = RECORDS_SCHEMA + (", payload binary" if payload else "")
     names = [p.split()[0] for p in schema.split(", ")]

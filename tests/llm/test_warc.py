@@ -120,3 +120,18 @@ def test_member_of_many_cut_or_with_a_wrong_checksum(level):
         found = names(one[:-20] + tail)
         kept = [x for x in found if isinstance(x, str)]
         assert kept in ([*ids[:38], *more], [*ids[:39], *more]) and (0, len(one) - 20) in found
+
+
+def test_files_follow_bytes(spark, tmp_path):
+    import random
+
+    path = f"file:{tmp_path}/sized"
+    r = random.Random(5)
+    pages = [(i, "u", r.randbytes(r.choice([0, 10, 3000])).hex() + f" {i}") for i in range(300)]
+    write_warc(spark.createDataFrame(pages, SCHEMA).coalesce(1), path, row_bytes=4000)
+    files = list((tmp_path / "sized").glob("part-*"))
+    largest = max(len(member(record_bytes(i, "u", html.encode(), None))) for i, _, html in pages)
+    assert len(files) > 4 and max(f.stat().st_size for f in files) <= 16 * (4000 + largest + 20)
+    rows = read_warc(spark, path, payload=True).collect()
+    assert not any(x["quarantined"] for x in rows)
+    assert sorted((x["page_id"], x["payload"].decode()) for x in rows) == [(i, html) for i, _, html in pages]
