@@ -65,7 +65,7 @@ def _read_csv(spark: SparkSession, path: str, start_row: int) -> DataFrame:
     text = spark.read.text(path)
     lines = text.select(
         "value",
-        F.regexp_replace("_metadata.file_path", "^([A-Za-z0-9+.-]+):/+", "$1:/").alias("__file"),
+        F.col("_metadata.file_path").alias("__file"),
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias(ROW_ID),
     )
@@ -73,8 +73,8 @@ def _read_csv(spark: SparkSession, path: str, start_row: int) -> DataFrame:
     # One row per file, and the driver holds the list of files to read them at all.
     found = lines.groupBy("__file").agg(F.min(at_start).alias("__first"), F.bool_or(opens(F.col("value"))).alias("__spans")).collect()
     found = {r["__file"]: r for r in found}
-    files = sorted(re.sub("^([A-Za-z0-9+.-]+):/+", r"\1:/", file) for file in text.inputFiles())
-    if empty := [file for file in files if file not in found]:
+    files, listed = sorted(found), {_one_slash(file) for file in found}
+    if empty := sorted(file for file in text.inputFiles() if _one_slash(file) not in listed):
         raise ValueError(f"{empty[0]}: no header at or after line {start_row}")
     headers = _headers(lines, {file: r["__first"] for file, r in found.items()}, start_row)
     layouts: dict[tuple[str, ...], int] = {}
@@ -84,12 +84,19 @@ def _read_csv(spark: SparkSession, path: str, start_row: int) -> DataFrame:
         if sorted(names) != sorted(next(iter(layouts))):
             raise ValueError(f"{file}: other columns than in {files[0]}")
     about = spark.createDataFrame(
-        [(file, found[file]["__first"], headers[file][0], layouts[headers[file][1]], found[file]["__spans"]) for file in files],
-        "__file string, __first bigint, __skipped bigint, __layout int, __spans boolean",
+        [
+            (file, number, found[file]["__first"], headers[file][0], layouts[headers[file][1]], found[file]["__spans"])
+            for number, file in enumerate(files)
+        ],
+        "__file string, __number int, __first bigint, __skipped bigint, __layout int, __spans boolean",
     )
     below = (F.col("__block") > 0) | (F.col(ROW_ID) - F.col("__first") >= F.col("__skipped"))
-    rows = lines.join(F.broadcast(about), "__file").where(below).drop("__first", "__skipped")
-    if any(r["__spans"] for r in found.values()):
+    rows = lines.join(F.broadcast(about), "__file").where(below)
+    rows = rows.select("value", F.col("__number").alias("__file"), "__block", ROW_ID, "__layout", "__spans")
+    spans = {r["__spans"] for r in found.values()}
+    if spans == {True}:
+        rows = records(rows)
+    elif spans == {True, False}:
         rows = rows.where(~F.col("__spans")).unionByName(records(rows.where("__spans")))
     width = len(files and next(iter(layouts)))
     cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(width))), {"escape": '"'})
@@ -105,6 +112,11 @@ def _read_csv(spark: SparkSession, path: str, start_row: int) -> DataFrame:
     return rows.select(ROW_ID, *[cell(name) for name in next(iter(layouts))])
 
 
+def _one_slash(file: str) -> str:
+    """A path as it is written by any file system: ``file:///a`` and ``file:/a`` are one."""
+    return re.sub("^([A-Za-z0-9+.-]+):/+", r"\1:/", file)
+
+
 def _headers(lines: DataFrame, first: dict[str, int], start_row: int) -> dict[str, tuple[int, tuple[str, ...]]]:
     """Of every file, the lines down to the end of its header and the clean names."""
     spark, wanted, headers = lines.sparkSession, start_row + 10, {}

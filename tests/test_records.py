@@ -2,6 +2,7 @@
 
 import csv
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +82,35 @@ def test_a_quote_never_closed_raises(spark, monkeypatch):
     lines = [(i, 'a,"b' if i == 3 else "c", "f", 0) for i in range(60)]
     with pytest.raises(Exception, match="never closed"):
         records(spark.createDataFrame(lines, "row_id bigint, value string, __file string, __block bigint")).collect()
+
+
+@pytest.mark.parametrize("lines", [1, 3, 7])
+def test_records_over_several_batches_and_blocks(spark, tmp_path, lines):
+    rows = made(lines, 120)
+    written(tmp_path / "a.csv", [["Key", "Text", "Value"], *rows])
+    old = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    for name, value in zip(old, ("500", str(lines))):
+        spark.conf.set(name, value)
+    try:
+        table = read_table(spark, str(tmp_path / "a.csv"), 1)
+        got, ids = found(table, ["key", "text", "value"]), [r.row_id for r in table.collect()]
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+    assert got == sorted(map(tuple, rows))
+    assert len(set(ids)) == len(ids)
+
+
+def test_text_is_neither_written_nor_moved(spark, tmp_path):
+    """What is written beside the files, and moved inside them, does not grow with their text."""
+    r = random.Random(5)
+    rows = [[str(i), "\n".join("".join(r.choices("abcdefghij", k=60)) for _ in range(3))] for i in range(3000)]
+    written(tmp_path / "a.csv", [["k", "t"], *rows])
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.rglob("*.parquet"))
+    table = read_table(spark, str(tmp_path / "a.csv"))
+    assert table.count() == 3000
+    kept = sum(f.stat().st_size for f in set(shared.rglob("*.parquet")) - before if f.is_file())
+    assert kept < (tmp_path / "a.csv").stat().st_size / 20
+    largest = table.where("length(t) = 182").groupBy(F.spark_partition_id()).count().agg(F.max("count")).head()[0]
+    assert largest == 3000  # one block: read and joined by one task, without an exchange
