@@ -201,9 +201,9 @@ def spreadsheet_date(date: Column) -> Column:
     return F.datediff(date, F.lit("1899-12-30").cast("date"))
 
 
-def uploads(spark: SparkSession, sf_dir: str, folder: str) -> None:
-    """The four inputs as CSV files: serial dates, times as a share of a day, and notes
-    of several lines with quotes and commas."""
+def uploads(spark: SparkSession, sf_dir: str, folder: str, names: tuple[str, ...]) -> None:
+    """Inputs as CSV files, of the four those named: serial dates, times as a share of a
+    day, and notes of several lines with quotes and commas."""
     raw = raw_samples(spark, sf_dir).withColumnRenamed("row_id", "Sample Key")
     notes = F.concat("monitoring_location_id", F.lit('\nas "'), "characteristic_name", F.lit('", see\n\nsheet '), F.col("Sample Key") % 7)
     raw = raw.withColumns({
@@ -214,8 +214,8 @@ def uploads(spark: SparkSession, sf_dir: str, folder: str) -> None:
     cover = raw_macrophytes(spark, sf_dir)
     cover = cover.withColumn("collection_date", spreadsheet_date(F.col("collection_date")))
     tables = {"samples": raw, "stations": stations(spark, sf_dir), "standards": standards(spark), "macrophytes": cover}
-    for name, rows in tables.items():
-        rows.write.options(header=True, escape='"').csv(f"{folder}/{name}")
+    for name in names:
+        tables[name].write.options(header=True, escape='"').csv(f"{folder}/{name}")
 
 
 def part_standards(spark: SparkSession, sf_dir: str) -> DataFrame:
