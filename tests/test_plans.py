@@ -5,6 +5,7 @@ import pytest
 from lakeassess.operators.ammonia import ammonia_acute
 from lakeassess.operators.chronic import with_chronic_standards
 from lakeassess.operators.dependent import hardness_dependent
+from lakeassess.operators.prepare import prepare_samples
 from lakeassess.operators.standards import acute_single_value
 from lakeassess.operators.sulfate import sulfate_standards
 from lakeassess.operators.thermocline import thermocline
@@ -89,3 +90,17 @@ def test_standards_override_reads_lines_once(spark):
 
     text = plan(QUERIES["standards_override"](spark, "/root/testdata/sf0.001"))
     assert text.count("lineitem.parquet") == 1 and "SinglePartition" not in text
+
+
+def test_samples_are_not_sorted_to_meet_their_hardness(spark, samples, stations):
+    """Beyond the limit of a broadcast, small shares of the visits' records are hashed instead."""
+    days = [{"mlid": f"S{i % 50}", "analyte": "Alkalinity, total" if i % 5 == 0 else "Iron", "result_value": float(i)} for i in range(600)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        prepared = prepare_samples(samples(days), stations)
+        assert len(prepared.collect()) == 600
+        final = prepared._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in final
+    assert "SortMergeJoin" not in final
