@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import to_date_value, to_seconds_of_day
-from ..functions.donors import fill_from_donors
+from ..functions.donors import fill_all_from_donors
 from ..functions.missing import matching_join, numeric
 from ..schema import ALKALINITY, PREPARED_COLUMNS, SITE_WATER_BODIES
 
@@ -110,8 +110,11 @@ def usable_samples(
 
 def with_hardness(samples: DataFrame) -> DataFrame:
     """Alkalinity of the visit, spread over all samples of that site and day."""
-    measured = F.when(F.col("analyte") == ALKALINITY, F.col("result_value"))
-    return fill_from_donors(samples, ["mlid", "start_date"], measured, "hardness")
+    alkalinity = F.col("analyte") == ALKALINITY
+    known = {"hardness": F.when(alkalinity, F.col("result_value"))}
+    # Named on its own, the analyte reaches the scan: all other rules run over its rows only.
+    donating = alkalinity & F.col("result_value").isNotNull()
+    return fill_all_from_donors(samples, ["mlid", "start_date"], known, donating=donating)
 
 
 def prepare_samples(

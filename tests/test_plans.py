@@ -3,6 +3,7 @@
 import pytest
 
 from checks import registry
+from lakeassess.functions import donors
 from lakeassess.operators.ammonia import ammonia_acute
 from lakeassess.operators.chronic import with_chronic_standards
 from lakeassess.operators.dependent import hardness_dependent
@@ -119,3 +120,16 @@ def test_sulfate_moves_and_keeps_its_own_columns(spark, monkeypatch):
     assert kept == {"columns": ["mlid", "start_date", "analyte", "result_value", "hardness"]}
     registry.sulfate_checks(spark, "/root/testdata/sf0.001")
     assert kept["columns"] == [*registry.ACUTE, "hardness"]
+
+
+def test_donors_of_hardness_are_found_by_their_analyte_first(spark, monkeypatch):
+    plans = {}
+
+    def spy(df, name, *args):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return keep(df, name, *args)
+
+    monkeypatch.setattr(donors, "keep", spy)
+    assert registry.Lake(spark, "/root/testdata/sf0.001").prepared.columns[-1] == "hardness"
+    # Lines of other analytes leave at the code table, before any rule looks at them.
+    assert "Join Inner" in plans["donors"]
