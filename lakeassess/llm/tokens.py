@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+import re
+from array import array
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +22,10 @@ _NUMBER = regex.compile(r"\p{N}")
 _MARK = " 0"
 #: Both pre-tokenizers end a run of letters before these, and keep them together.
 SIGNS = ".,!#*$%&"
+#: Letters that do not join with each other under normalization.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+_WORD = re.compile(f"([ \\n]?)([{_LETTERS}]+)")
+_EVERY = "".join(filter(re.compile(f"[{_LETTERS}]").fullmatch, map(chr, range(0x180))))
 
 
 class _Words:
@@ -34,14 +40,54 @@ class _Words:
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
+def _words_of(tokenizer) -> Callable[[str], list[int] | None]:
+    """Ids of a word of ``_LETTERS``, with a space, a line end or nothing before it, from the
+    tokenizer's model alone; None for other texts.
+
+    Most of the time of a new word is spent before the model sees it. What the model then
+    sees is known letter by letter: each is asked of the normalizer and the pre-tokenizer
+    once, and one word of all letters must come out as those joined. Where it does not, or
+    an added token could lie within a word, no word is asked directly.
+    """
+    model = tokenizer.model
+
+    def pieces(text: str) -> list[str]:
+        if tokenizer.normalizer:
+            text = tokenizer.normalizer.normalize_str(text)
+        return [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)] if tokenizer.pre_tokenizer else [text]
+
+    def run(piece: str) -> list[int]:
+        return [token.id for token in model.tokenize(piece)]
+
+    seen = {ord(c): "".join(pieces(c)) for c in _EVERY}
+    every = _EVERY.translate(seen)
+    # What comes before a word: ids of pieces of their own, and what is joined to the word.
+    leads: dict[str, tuple[list[int], str]] = {}
+    if not any(set(t.content) <= set(_EVERY + " \n") for t in tokenizer.get_added_tokens_decoder().values()):
+        for lead in ("", " ", "\n"):
+            *before, last = pieces(lead + _EVERY)
+            if last.endswith(every):
+                leads[lead] = ([i for p in before for i in run(p)], last.removesuffix(every))
+
+    def ids(text: str) -> list[int] | None:
+        found = _WORD.fullmatch(text)
+        if not found or found[1] not in leads:
+            return None
+        before, joined = leads[found[1]]
+        return before + run(joined + found[2].translate(seen))
+
+    return ids
+
+
 @lru_cache(maxsize=2)
 def encoder(definition: str) -> ChunkEncoder:
     """Encoder for a tokenizer's JSON definition; kept by the worker between tasks, with
     its bounded table of words.
 
     As the library does by default, the string of a special token in a text becomes
-    that token. Many chunks go into one call, a mark before each; chunks with digits,
-    which could grow into the mark, are encoded one by one.
+    that token. Words of plain letters are asked of the tokenizer's model. Of the others
+    many go into one call, a mark before each; chunks with digits, which could grow into
+    the mark, are encoded one by one.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -62,20 +108,32 @@ def encoder(definition: str) -> ChunkEncoder:
             return singly(texts)
         return ids[~marks], np.diff(np.append(at, len(ids))) - 1
 
-    words = _Words()
+    words, word_ids = _Words(), _words_of(tokenizer)
 
     def learn() -> None:
         """Encode the words met for the first time."""
         new, words.index.new = words.index.new, []
         if not new:
             return
-        odd = [i for i, t in enumerate(new) if _NUMBER.search(t) or t[-1:].isspace()]
-        plain = np.ones(len(new), bool)
-        plain[odd] = False
-        order = np.concatenate([np.flatnonzero(plain), np.array(odd, np.int64)]).tolist()
-        found = [together([new[i] for i in order[k : min(k + CHUNKS_PER_CALL, len(new) - len(odd))]]) for k in range(0, len(new) - len(odd), CHUNKS_PER_CALL)]
+        order: list[int] = []
+        rest: list[int] = []
+        flat, counts = array("i"), []
+        for i, text in enumerate(new):
+            run = word_ids(text)
+            if run is None:
+                rest.append(i)
+            else:
+                order.append(i)
+                counts.append(len(run))
+                flat.extend(run)
+        found = [(np.array(flat, np.int32), np.array(counts, np.int64))]
+        odd = [i for i in rest if _NUMBER.search(new[i]) or new[i][-1:].isspace()]
+        apart = set(odd)
+        plain = [i for i in rest if i not in apart]
+        found += [together([new[i] for i in plain[k : k + CHUNKS_PER_CALL]]) for k in range(0, len(plain), CHUNKS_PER_CALL)]
         if odd:
             found.append(singly([new[i] for i in odd]))
+        order += plain + odd
         flat, counts = (np.concatenate(x) for x in zip(*found))
         # Where each word's run lies; runs are in the order they were encoded in.
         starts = np.empty(len(new), np.int64)

@@ -6,7 +6,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from lakeassess.llm import bpe, tokens
 
@@ -85,3 +85,38 @@ def test_chunks_give_the_tokenizers_ids(name):
     texts = odd_texts() + SPECIAL
     wanted = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert ids_of(tokens.encoder(definition), texts) == wanted
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_plain_words_go_to_the_model_alone(name, monkeypatch):
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        definition = file.read()
+    tokenizer, handed = Tokenizer.from_str(definition), []
+
+    class Watched:
+        def __getattr__(self, attribute):
+            return getattr(tokenizer, attribute)
+
+        def encode_batch_fast(self, texts, **options):
+            handed.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr("tokenizers.Tokenizer", type("Fake", (), {"from_str": staticmethod(lambda _: Watched())}))
+    r, letters = random.Random(5), [c for c in map(chr, range(0x180)) if c.isalpha() and c not in "ªµºİ"]
+    words = ["".join(r.choices(letters, k=r.randint(1, 20))) for _ in range(300)] + ["".join(letters), "I", "ŉ", "ſs", "Straße", "ŀl"]
+    texts = [" ".join(words[i : i + 9]) + "\n" + words[i] for i in range(0, len(words), 9)] + words
+    assert ids_of(tokens.encoder.__wrapped__(definition), texts) == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert not handed
+
+
+@pytest.mark.parametrize("change", ["added token", "cut at capitals"])
+def test_words_a_tokenizer_cuts_are_not_asked_of_its_model(change):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        tokenizer = Tokenizer.from_str(file.read())
+    if change == "added token":
+        tokenizer.add_tokens(["kind"])
+    else:
+        cut = pre_tokenizers.Split(Regex("[A-Z]"), "merged_with_next")
+        tokenizer.pre_tokenizer = pre_tokenizers.Sequence([cut, tokenizer.pre_tokenizer])
+    texts = ["an unkindly MacDonald", "kind\nkindness mankind"]
+    assert ids_of(tokens.encoder.__wrapped__(tokenizer.to_str()), texts) == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
