@@ -8,7 +8,7 @@ import pytest
 import tiktoken
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from lakeassess.llm import bpe, tokens
+from lakeassess.llm import bpe, chunks, tokens
 
 PATH = public_tokenizers.path(bpe.RANKS)
 
@@ -120,3 +120,20 @@ def test_words_a_tokenizer_cuts_are_not_asked_of_its_model(change):
         tokenizer.pre_tokenizer = pre_tokenizers.Sequence([cut, tokenizer.pre_tokenizer])
     texts = ["an unkindly MacDonald", "kind\nkindness mankind"]
     assert ids_of(tokens.encoder.__wrapped__(tokenizer.to_str()), texts) == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_repeated_chunks_are_looked_up_once(monkeypatch, reference):
+    looked = []
+
+    class Watched(chunks.Index):
+        def __getitem__(self, key):
+            looked.append(key)
+            return super().__getitem__(key)
+
+    monkeypatch.setattr(chunks, "Index", Watched)
+    with open(PATH, "rb") as file:
+        encoder = bpe.encoder.__wrapped__(file.read(), public_tokenizers.PATTERN)
+    texts = ["", "one", "one two\ntwo one  one", " two one two\none", "two"] * 50
+    assert ids_of(encoder, texts) == [reference.encode_ordinary(t) for t in texts]
+    inner = [key for key in looked if not key.startswith("\ud800")]
+    assert len(inner) == len(set(inner))
