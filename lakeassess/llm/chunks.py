@@ -75,7 +75,60 @@ class ChunkEncoder:
         self.flat = np.concatenate([self.flat, flat])
         self.open = np.concatenate([self.open, np.array([t[-1:].isspace() or not t for t in texts], bool)])
 
-    def _numbers(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Chunk numbers of all texts, and the end of each text's chunks."""
+        chunks: list[str] = []
+        ends = []
+        for text in texts:
+            parts = text.replace("\n", " \n").split(" ")
+            parts[0] = "\ud800" + parts[0]
+            chunks += parts
+            ends.append(len(chunks))
+        numbers = np.fromiter(map(self.index.__getitem__, chunks), np.int32, len(chunks))
+        return numbers, np.array(ends, np.int64)
+
+    def _ids(self, block: tuple, numbers: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat, bounds = gather(self.flat, self.offsets, numbers)
+        offsets = np.concatenate([[0], bounds[ends - 1]])
+        loose = self.open[numbers]
+        loose[ends - 1] = False  # nothing is cut after the last chunk
+        whole = np.flatnonzero(np.add.reduceat(loose, np.concatenate([[0], ends[:-1]])))
+        if len(whole):
+            texts = texts_of(*block)
+            again, again_offsets = self.encode([texts[i] for i in whole])
+            runs = [flat[offsets[i] : offsets[i + 1]] for i in range(len(ends))]
+            for k, i in enumerate(whole):
+                runs[i] = again[again_offsets[k] : again_offsets[k + 1]]
+            flat = np.concatenate(runs)
+            offsets = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
+        return flat, offsets
+
+    def __call__(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, end row, flat int32 ids, offsets) for every block of a text column.
+
+        New chunks of a few blocks are encoded together.
+        """
+        found: list[tuple] = []
+        for block in blocks(column):
+            if len(found) == BLOCKS_TOGETHER:
+                yield from self._finish(found)
+                found = []
+            if not found and len(self.index) > self.known:
+                self._clear()
+            found.append((*block, *self._numbers(texts_of(*block[2:]))))
+        yield from self._finish(found)
+
+    def _finish(self, found: list[tuple]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        self._learn()
+        for start, end, data, offsets, numbers, ends in found:
+            yield start, end, *self._ids((data, offsets), numbers, ends)
+
+
+class DistinctChunkEncoder(ChunkEncoder):
+    """Looks up each distinct chunk of a few blocks once. Takes less time and more memory,
+    which replaying merges (``bpe``) has no room for."""
+
+    def _numbers_of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Chunk numbers of all texts, and the end of each text's chunks.
 
         Arrow cuts the texts and finds the distinct chunks, so that each is looked up once.
@@ -97,22 +150,6 @@ class ChunkEncoder:
         numbers[at] = [self.index["\ud800" + c] for c in chunks.take(pa.array(at)).to_pylist()]
         return numbers, ends
 
-    def _ids(self, block: tuple, numbers: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        flat, bounds = gather(self.flat, self.offsets, numbers)
-        offsets = np.concatenate([[0], bounds[ends - 1]])
-        loose = self.open[numbers]
-        loose[ends - 1] = False  # nothing is cut after the last chunk
-        whole = np.flatnonzero(np.add.reduceat(loose, np.concatenate([[0], ends[:-1]])))
-        if len(whole):
-            texts = texts_of(*block)
-            again, again_offsets = self.encode([texts[i] for i in whole])
-            runs = [flat[offsets[i] : offsets[i + 1]] for i in range(len(ends))]
-            for k, i in enumerate(whole):
-                runs[i] = again[again_offsets[k] : again_offsets[k + 1]]
-            flat = np.concatenate(runs)
-            offsets = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
-        return flat, offsets
-
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, flat int32 ids, offsets) for every block of a text column.
 
@@ -123,17 +160,17 @@ class ChunkEncoder:
         found: list[tuple] = []
         for block in blocks(column):
             if len(found) == BLOCKS_TOGETHER:
-                yield from self._finish(column, found)
+                yield from self._finish_of(column, found)
                 found = []
             found.append(block)
         if found:
-            yield from self._finish(column, found)
+            yield from self._finish_of(column, found)
 
-    def _finish(self, column: pa.Array, found: list[tuple]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def _finish_of(self, column: pa.Array, found: list[tuple]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         if len(self.index) > self.known:
             self._clear()
         top = found[0][0]
-        numbers, ends = self._numbers(column.slice(top, found[-1][1] - top))
+        numbers, ends = self._numbers_of(column.slice(top, found[-1][1] - top))
         self._learn()
         bounds = np.concatenate([[0], ends])
         for start, end, *block in found:

@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-from .chunks import ChunkEncoder, Index
+from .chunks import ChunkEncoder, DistinctChunkEncoder, Index
 
 CHUNKS_PER_CALL = 2000
 #: Chunks, and words, kept at most.
@@ -165,4 +165,4 @@ def encoder(definition: str) -> ChunkEncoder:
         each[pairs] = 2
         return words.flat[at], np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(each)])].astype(np.int64)
 
-    return ChunkEncoder(encode, KNOWN, words.clear)
+    return DistinctChunkEncoder(encode, KNOWN, words.clear)
